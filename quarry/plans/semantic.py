@@ -240,6 +240,7 @@ def semantic_query(
     limit: int | None = None,
     fact: DataFrame | None = None,
     fact_transform: Callable[[DataFrame], DataFrame] | None = None,
+    transform_columns: Sequence[str] = (),
     model: SemanticModel = SALES_MODEL,
 ) -> DataFrame:
     """Build the plan for ``metrics`` grouped by ``dimensions``.
@@ -248,7 +249,7 @@ def semantic_query(
     ``<dimension>_<grain>``. ``fact`` replaces the fact source (for example a
     policy-filtered view); ``fact_transform`` is applied to the fact rows
     before any join (row policies use it so that they act below every
-    aggregate and join).
+    aggregate and join); ``transform_columns`` are fact columns it reads.
     """
     time_grain = dict(time_grain or {})
     for name in metrics:
@@ -267,7 +268,7 @@ def semantic_query(
     for f in filters:
         filt_by_table.setdefault(model.table_of(f.column), []).append(f)
 
-    fact_cols: set[str] = set(by_table.get(fact_name, set()))
+    fact_cols: set[str] = set(by_table.get(fact_name, set())) | set(transform_columns)
     for m in metrics:
         fact_cols.update(model.metrics[m].needs)
     fact_cols.update(f.column for f in filt_by_table.get(fact_name, []))
