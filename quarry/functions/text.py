@@ -26,7 +26,7 @@ def tokens(col: str | Column) -> Column:
 
 def sql_tokens(expr: str) -> str:
     """DuckDB form of :func:`tokens`."""
-    return f"list_filter(regexp_split_to_array(lower({expr}), '{TOKEN_SPLIT}'), t -> length(t) > 0)"
+    return f"list_filter(regexp_split_to_array(lower({expr}), '{TOKEN_SPLIT}'), lambda t: length(t) > 0)"
 
 
 # English stop words dropped from theme terms.

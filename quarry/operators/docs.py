@@ -138,7 +138,22 @@ register("chunk_fixed",
          f"WHERE length(substring(text, k * {X.CHUNK_SIZE - X.CHUNK_OVERLAP} + 1, {X.CHUNK_SIZE})) > 0"
          )(lambda spark, sf_dir: document_chunks(spark, sf_dir, "fixed"))
 
-register("chunk_lines")(lambda spark, sf_dir: document_chunks(spark, sf_dir, "lines"))
+def _sql_line_chunks() -> str:
+    """Line packing in DuckDB: the fold state is one string, finished chunks
+    separated by chr(1) and the open chunk last."""
+    n = X.CHUNK_SIZE
+    return (
+        "WITH p AS (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda l: "
+        f"list_transform(range(0, greatest(CAST(ceil(length(l) / {n}.0) AS BIGINT), 1)), "
+        f"lambda k: substring(l, k * {n} + 1, {n})))) AS pieces FROM documents), "
+        "f AS (SELECT doc_id, string_split(list_reduce(pieces, lambda acc, x: CASE WHEN "
+        f"length(string_split(acc, chr(1))[-1]) + 1 + length(x) <= {n} THEN acc || chr(10) || x "
+        "ELSE acc || chr(1) || x END), chr(1)) AS chunks FROM p) "
+        "SELECT doc_id, CAST(i - 1 AS BIGINT) AS chunk_index, chunks[i] AS chunk_text "
+        "FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM f) WHERE length(chunks[i]) > 0")
+
+
+register("chunk_lines", _sql_line_chunks())(lambda spark, sf_dir: document_chunks(spark, sf_dir, "lines"))
 
 
 @F.pandas_udf(ST.ArrayType(ST.StringType()))

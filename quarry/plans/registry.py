@@ -38,6 +38,6 @@ def register(key: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 def load_all() -> None:
     # Importing the modules fills the maps.
     from quarry.plans import verified  # noqa: F401
-    from quarry.operators import analytics, docs, policy, quality  # noqa: F401
+    from quarry.operators import analytics, docs, policy, quality, search  # noqa: F401
     from quarry.sources import csv, files  # noqa: F401
     from quarry.functions import json  # noqa: F401
