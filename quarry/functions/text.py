@@ -62,6 +62,14 @@ _HTML_STEPS: list[tuple[str, str]] = (
 )
 
 
+# Leading/trailing whitespace including line breaks (Java and RE2 agree on this class).
+_EDGE_SPACE = r"^[ \t\r\n]+|[ \t\r\n]+$"
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, _EDGE_SPACE, F.lit(""))
+
+
 def _unescape(c: Column) -> Column:
     for ent, ch in ENTITIES:
         c = F.replace(c, F.lit(ent), F.lit(ch))
@@ -70,7 +78,7 @@ def _unescape(c: Column) -> Column:
 
 def html_title(col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.trim(_unescape(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return _strip(_unescape(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def html_to_markdown(col: str | Column) -> Column:
@@ -80,7 +88,7 @@ def html_to_markdown(col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     for pattern, repl in _HTML_STEPS:
         c = F.regexp_replace(c, pattern, F.lit(repl))
-    return F.trim(_unescape(c))
+    return _strip(_unescape(c))
 
 
 def _sql_str(s: str) -> str:
@@ -93,7 +101,7 @@ def sql_html_to_markdown(expr: str) -> str:
         out = f"regexp_replace({out}, {_sql_str(pattern)}, {_sql_repl(repl)}, 'g')"
     for ent, ch in ENTITIES:
         out = f"replace({out}, {_sql_str(ent)}, {_sql_str(ch)})"
-    return f"trim({out})"
+    return f"regexp_replace({out}, {_sql_str(_EDGE_SPACE)}, '', 'g')"
 
 
 def _sql_repl(repl: str) -> str:
@@ -104,7 +112,7 @@ def sql_html_title(expr: str) -> str:
     out = f"regexp_extract({expr}, {_sql_str('(?is)<title[^>]*>(.*?)</title>')}, 1)"
     for ent, ch in ENTITIES:
         out = f"replace({out}, {_sql_str(ent)}, {_sql_str(ch)})"
-    return f"trim({out})"
+    return f"regexp_replace({out}, {_sql_str(_EDGE_SPACE)}, '', 'g')"
 
 
 # --- chunking ---------------------------------------------------------------

@@ -35,17 +35,22 @@ def entitlements(spark: SparkSession, grants: dict[str, tuple[str, ...]] = ROLE_
     return spark.createDataFrame(rows, "role string, article_category string")
 
 
-def apply_policy(spark: SparkSession, sf_dir: str, fact: DataFrame, role: str,
-                 grants: dict[str, tuple[str, ...]] = ROLE_GRANTS) -> DataFrame:
-    """Rows of ``fact`` (must carry ``article_id``) visible to ``role``."""
+def apply_policy(spark: SparkSession, sf_dir: str | None, fact: DataFrame, role: str,
+                 grants: dict[str, tuple[str, ...]] = ROLE_GRANTS,
+                 articles: DataFrame | None = None) -> DataFrame:
+    """Rows of ``fact`` (must carry ``article_id``) visible to ``role``.
+
+    ``articles`` (``article_id``, ``article_category``) defaults to the bound
+    product dimension of ``sf_dir``.
+    """
     if role in ADMIN_ROLES:
         return fact
     cats = grants.get(role)
     if not cats:
         return fact.filter(F.lit(False))
-    allowed = (T.dim_article(spark, sf_dir)
-               .filter(F.col("article_category").isin(*cats))
-               .select("article_id"))
+    if articles is None:
+        articles = T.dim_article(spark, sf_dir)
+    allowed = articles.filter(F.col("article_category").isin(*cats)).select("article_id")
     return fact.join(allowed, "article_id", "left_semi")
 
 

@@ -60,13 +60,14 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, attributes=(),
     so that filters are predicates on the postings, not joins."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = (docs.select(F.col(id_col).alias("doc_id"), X.tokens(text_col).alias("tok"), *attributes)
-            .repartition(n, "doc_id")
-            .withColumn("dl", F.size("tok")))
-    postings = (base.select("doc_id", "dl", *attributes, F.explode("tok").alias("term"))
+    tok = docs.select(F.col(id_col).alias("doc_id"), X.tokens(text_col).alias("tok"), *attributes) \
+        .withColumn("dl", F.size("tok"))
+    postings = (tok.repartition(n, "doc_id")
+                .select("doc_id", "dl", *attributes, F.explode("tok").alias("term"))
                 .groupBy("doc_id", "dl", *attributes, "term")
                 .agg(F.count(F.lit(1)).alias("tf")))
-    stats = base.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    # Corpus statistics straight from the scan: a two-stage global aggregate.
+    stats = tok.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     return TextIndex(postings, stats, "doc_id", tuple(attributes))
 
 

@@ -91,9 +91,9 @@ ARTICLE_SPEC = CsvSpec(columns=(
     ("article_id", "bigint"), ("article_name", "string"), ("article_category", "string"),
     ("article_brand", "string"), ("article_price", T.PRICE)), header=True)
 
-_PART_AS_STRINGS = [
-    F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_type"), F.col("p_brand"),
-    F.col("p_retailprice").cast("string")]
+def _part_as_strings() -> list[Column]:
+    return [F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_type"), F.col("p_brand"),
+            F.col("p_retailprice").cast("string")]
 
 _ARTICLE_SQL = ("SELECT p_partkey AS article_id, p_name AS article_name, p_type AS article_category, "
                 "p_brand AS article_brand, CAST(p_retailprice AS DECIMAL(10,2)) AS article_price FROM part")
@@ -109,7 +109,7 @@ BAD_PRICE_TEXT = "n/a"
 def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "csv_ingest")
     part = T.read(spark, sf_dir, "part")
-    write_csv(part.select(*[c.alias(n) for c, (n, _) in zip(_PART_AS_STRINGS, ARTICLE_SPEC.columns)]),
+    write_csv(part.select(*[c.alias(n) for c, (n, _) in zip(_part_as_strings(), ARTICLE_SPEC.columns)]),
               path, header=True)
     return read_typed(spark, path, ARTICLE_SPEC)
 
@@ -127,7 +127,7 @@ def _brand_with_tokens() -> Column:
 def csv_null_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "csv_null_tokens")
     part = T.read(spark, sf_dir, "part")
-    cols = list(_PART_AS_STRINGS)
+    cols = _part_as_strings()
     cols[3] = _brand_with_tokens()
     write_csv(part.select(*[c.alias(n) for c, (n, _) in zip(cols, ARTICLE_SPEC.columns)]), path, header=True)
     return read_typed(spark, path, ARTICLE_SPEC).select("article_id", "article_brand")
@@ -139,7 +139,7 @@ def csv_null_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "csv_rejects")
     part = T.read(spark, sf_dir, "part")
-    cols = list(_PART_AS_STRINGS)
+    cols = _part_as_strings()
     cols[4] = F.when(F.col("p_size") > BAD_PRICE_MIN_SIZE, F.lit(BAD_PRICE_TEXT)).otherwise(cols[4])
     write_csv(part.select(*[c.alias(n) for c, (n, _) in zip(cols, ARTICLE_SPEC.columns)]), path, header=False)
     spec = CsvSpec(columns=ARTICLE_SPEC.columns, header=False)
