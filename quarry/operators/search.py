@@ -55,19 +55,31 @@ class TextIndex:
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, attributes=(),
-                partitions: int | None = None) -> TextIndex:
+                partitions: int | None = None, materialize: bool = True) -> TextIndex:
     """Tokenise, explode and count; attributes ride along with each posting
-    so that filters are predicates on the postings, not joins."""
+    so that filters are predicates on the postings, not joins.
+
+    With ``materialize`` the postings are written once with ``checkpoint()``
+    to the session's shared checkpoint folder: tokenising (the costly regex
+    work) runs once however many consumers the plan has, lineage is cut, and
+    the checkpointed rows keep their ``hashpartitioning(doc_id)``, so
+    per-document aggregation downstream still needs no shuffle. A document
+    without tokens keeps one row with a NULL term, so corpus statistics come
+    from the same rows.
+    """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or spark.sparkContext.defaultParallelism
     tok = docs.select(F.col(id_col).alias("doc_id"), X.tokens(text_col).alias("tok"), *attributes) \
         .withColumn("dl", F.size("tok"))
-    postings = (tok.repartition(n, "doc_id")
-                .select("doc_id", "dl", *attributes, F.explode("tok").alias("term"))
-                .groupBy("doc_id", "dl", *attributes, "term")
-                .agg(F.count(F.lit(1)).alias("tf")))
-    # Corpus statistics straight from the scan: a two-stage global aggregate.
-    stats = tok.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    rows = (tok.repartition(n, "doc_id")
+            .select("doc_id", "dl", *attributes, F.explode_outer("tok").alias("term"))
+            .groupBy("doc_id", "dl", *attributes, "term")
+            .agg(F.count("term").alias("tf")))
+    if materialize:
+        rows = rows.checkpoint(eager=True)
+    per_doc = rows.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+    stats = per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    postings = rows.filter(F.col("term").isNotNull())
     return TextIndex(postings, stats, "doc_id", tuple(attributes))
 
 
