@@ -179,7 +179,8 @@ def with_dense_id(df: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """
     from pyspark.sql import Window
 
-    base = df.checkpoint(eager=True)
+    from quarry.operators.search import materialize
+    base = materialize(df)
     tagged = base.withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_pos", F.monotonically_increasing_id())
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

@@ -46,47 +46,72 @@ MAX_INLINE_QUERY_VECTORS = 4096
 
 @dataclass
 class TextIndex:
-    """Postings ``(doc_id, dl, term, tf, *attributes)`` partitioned by doc_id,
-    plus one-row corpus statistics ``(n_docs, avgdl)``."""
+    """Postings ``(doc_id, dl, *attributes, term, tf)`` hash-partitioned by
+    doc_id, the lexicon ``(term, df, total_tf)`` and the corpus statistics
+    (document count, mean document length) as two numbers."""
     postings: DataFrame
-    stats: DataFrame
-    id_col: str
+    lexicon: DataFrame
+    n_docs: int
+    avgdl: float
     attributes: tuple[str, ...]
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder, computing the
+    rows once: a checkpoint re-runs its input to write the files unless the
+    input is persisted, so it is persisted for the duration of the write."""
+    from pyspark import StorageLevel
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    done = held.checkpoint(eager=True)
+    held.unpersist()
+    return done
+
+
+def _finish_index(rows: DataFrame, attributes, materialized: bool) -> TextIndex:
+    """Postings rows (one NULL-term row per token-less document) → index."""
+    if materialized:
+        rows = materialize(rows)
+    per_doc = rows.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+    st = per_doc.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    postings = rows.filter(F.col("term").isNotNull())
+    # The lexicon stays a plan over the materialised postings (a partial +
+    # final aggregate by term); write it with ``materialize`` when many query
+    # batches share one index.
+    lexicon = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+    return TextIndex(postings, lexicon, int(st["n"]), float(st["avgdl"] or 0.0), tuple(attributes))
+
+
 def build_index(docs: DataFrame, id_col: str, text_col: str, attributes=(),
                 partitions: int | None = None, materialize: bool = True) -> TextIndex:
     """Tokenise, explode and count; attributes ride along with each posting
     so that filters are predicates on the postings, not joins.
 
-    With ``materialize`` the postings are written once with ``checkpoint()``
-    to the session's shared checkpoint folder: tokenising (the costly regex
-    work) runs once however many consumers the plan has, lineage is cut, and
-    the checkpointed rows keep their ``hashpartitioning(doc_id)``, so
-    per-document aggregation downstream still needs no shuffle. A document
-    without tokens keeps one row with a NULL term, so corpus statistics come
-    from the same rows.
+    With ``materialize`` the postings are written once with
+    ``checkpoint()`` to the session's shared checkpoint folder: tokenising
+    (the costly regex work) runs once however many consumers the plan has,
+    lineage is cut, and the checkpointed postings keep their
+    ``hashpartitioning(doc_id)``, so per-document aggregation downstream
+    needs no shuffle. The lexicon is what query batches join against to get
+    term weights (vocabulary-sized, not postings-sized).
     """
     spark = docs.sparkSession
     n = partitions or spark.sparkContext.defaultParallelism
-    tok = docs.select(F.col(id_col).alias("doc_id"), X.tokens(text_col).alias("tok"), *attributes) \
-        .withColumn("dl", F.size("tok"))
-    rows = (tok.repartition(n, "doc_id")
-            .select("doc_id", "dl", *attributes, F.explode_outer("tok").alias("term"))
-            .groupBy("doc_id", "dl", *attributes, "term")
-            .agg(F.count("term").alias("tf")))
-    if materialize:
-        rows = rows.checkpoint(eager=True)
-    per_doc = rows.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    stats = per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = rows.filter(F.col("term").isNotNull())
-    return TextIndex(postings, stats, "doc_id", tuple(attributes))
+    # Raw rows are partitioned by id (collapses with an earlier spread of the
+    # same table); tokens are made after the shuffle, never shuffled.
+    tok = (docs.repartition(n, id_col)
+           .select(F.col(id_col).alias("doc_id"), X.tokens(text_col).alias("tok"), *attributes)
+           .withColumn("dl", F.size("tok")))
+    rows = (tok.select("doc_id", "dl", *attributes, F.explode_outer("tok").alias("term"))
+            .groupBy("doc_id", "term")
+            .agg(F.count("term").alias("tf"), F.first("dl").alias("dl"),
+                 *[F.first(a).alias(a) for a in attributes])
+            .select("doc_id", "dl", *attributes, "term", "tf"))
+    return _finish_index(rows, attributes, materialize)
 
 
 def index_stats(index: TextIndex) -> DataFrame:
     """Per term: document frequency and total term frequency."""
-    return index.postings.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
+    return index.lexicon.select("term", "df", "total_tf")
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -95,13 +120,12 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _bm25_pass(index: TextIndex, qterms: DataFrame, k: int, doc_filter: Column | None) -> DataFrame:
-    st = index.stats.select(F.struct("n_docs", "avgdl")).scalar()
-    n_docs, avgdl = st["n_docs"], st["avgdl"]
-    qt = F.broadcast(qterms)
-    df = (index.postings.join(F.broadcast(qterms.select("term").distinct()), "term", "left_semi")
-          .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    weights = qt.join(F.broadcast(df), "term").select("query_id", "term", idf.alias("idf"))
+    n_docs, avgdl = F.lit(index.n_docs), F.lit(index.avgdl)
+    # Term weights: the (small, broadcast) query terms looked up in the lexicon.
+    df = F.col("df").cast("double")
+    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (df + F.lit(0.5)))
+    weights = (index.lexicon.join(F.broadcast(qterms), "term")
+               .select("query_id", "term", idf.alias("idf")))
     post = index.postings if doc_filter is None else index.postings.filter(doc_filter)
     tf = F.col("tf").cast("double")
     norm = tf + F.lit(BM25_K1) * (F.lit(1.0 - BM25_B) + F.lit(BM25_B) * F.col("dl") / avgdl)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.functions import text as X
-from quarry.operators.search import index_stats, TextIndex
+from quarry.operators.search import TextIndex, _finish_index, index_stats
 from quarry.plans.registry import register
 from quarry.session import scratch_path
 from quarry.sources import tables as T
@@ -52,14 +52,11 @@ def start_refresh(spark: SparkSession, input_dir: str, postings_dir: str, checkp
 
 
 def read_index(spark: SparkSession, postings_dir: str) -> TextIndex:
-    """The refreshed index: postings of all batches, statistics re-aggregated.
-    A document has postings only if it has tokens; empty documents are kept
-    as one row with a NULL term so that N and avgdl count them."""
-    allp = spark.read.parquet(postings_dir)
-    docs = allp.select("doc_id", "dl").distinct()
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = allp.filter(F.col("term").isNotNull()).drop("batch_id")
-    return TextIndex(postings, stats, "doc_id", ("lang", "source"))
+    """The refreshed index: postings of all batches (token-less documents are
+    one NULL-term row each, so document count and mean length include them);
+    lexicon and corpus statistics are re-aggregated here."""
+    rows = spark.read.parquet(postings_dir).drop("batch_id")
+    return _finish_index(rows, ("lang", "source"), materialized=False)
 
 
 # Arrival order of the test: English documents first, then all others.
