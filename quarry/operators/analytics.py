@@ -346,3 +346,11 @@ def summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.concat(F.lit("Sales summary: "), F.col("customer_region")).alias("subject"),
                  F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("body")))
     return b.withColumn("word_count", F.size(F.split("body", r"\s+")))
+
+
+def write_outbox(rows: DataFrame, path: str) -> None:
+    """Append summary rows to the outbox table (the re-aimed mail step):
+    one Parquet folder per run date, rewritten whole on retry."""
+    (rows.withColumn("run_date", F.current_date())
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_date").parquet(path))

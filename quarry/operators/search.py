@@ -421,3 +421,21 @@ def vector_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     recall = (approx.join(exact, ["query_id", "vec_id"], "left")
               .groupBy("query_id").agg((F.count("hit") / F.lit(TOP_K)).alias("recall")))
     return approx.join(recall, "query_id")
+
+
+def search_preview(index: TextIndex, docs: DataFrame, request: str) -> DataFrame:
+    """The reference's preview call: a JSON request ``{"query": ..., "columns":
+    [...], "limit": k, "filter": {"col": value}}`` (parsed on the driver; it is
+    a request, not data) → one row with the ``results`` JSON array."""
+    import json as _json
+
+    req = _json.loads(request)
+    spark = docs.sparkSession
+    q = spark.createDataFrame([(0, req["query"])], "item_id long, text string")
+    flt = None
+    for col, val in (req.get("filter") or {}).items():
+        cond = F.col(col) == F.lit(val)
+        flt = cond if flt is None else flt & cond
+    hits = bm25_search(index, q, "item_id", "text", k=int(req.get("limit", TOP_K)), doc_filter=flt)
+    cols = tuple(req.get("columns") or ())
+    return results_json(hits, docs, cols).select("results")

@@ -183,3 +183,41 @@ def test_file_inventory_and_manifest(spark):
     assert sorted(r.file_name for r in pdfs.collect()) == ["a.pdf", "b.PDF"]
     st = {r.file_name: r.status for r in manifest_check(spark, d, ["a.pdf", "b.PDF", "zz.pdf"], "*.[pP][dD][fF]").collect()}
     assert st == {"a.pdf": "present", "b.PDF": "present", "zz.pdf": "missing"}
+
+
+def test_read_contents_and_copy_by_manifest(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    for name in ["a.pdf", "b.jpg", "c.txt"]:
+        (src / name).write_bytes(name.encode())
+    manifest = spark.createDataFrame([("a.pdf", "BIKE"), ("b.jpg", "SNOW"), ("zz.pdf", "BIKE")],
+                                     "file_name string, stage string")
+    from quarry.sources.files import copy_by_manifest, read_contents
+    got = {r.file_name: bytes(r.content) for r in read_contents(spark, str(src), manifest).collect()}
+    assert got == {"a.pdf": b"a.pdf", "b.jpg": b"b.jpg"}
+    missing = copy_by_manifest(spark, str(src), manifest, str(tmp_path / "dst"))
+    assert [r.file_name for r in missing.collect()] == ["zz.pdf"]
+    copied = spark.read.parquet(str(tmp_path / "dst"))
+    assert sorted((r.file_name, r.stage) for r in copied.collect()) == [("a.pdf", "BIKE"), ("b.jpg", "SNOW")]
+
+
+def test_search_preview_request(spark):
+    import json
+    from conftest import SF_SMALL
+    from quarry.operators.search import build_index, search_preview
+    from quarry.sources import tables as T
+    docs = T.read(spark, SF_SMALL, "documents")
+    idx = build_index(docs, "doc_id", "text", attributes=("lang", "source"))
+    text = docs.select("text").head()[0][:200]
+    req = json.dumps({"query": text, "columns": ["source", "lang"], "limit": 3, "filter": {"lang": "en"}})
+    out = json.loads(search_preview(idx, docs, req).collect()[0].results)
+    assert 1 <= len(out) <= 3 and [r["rank"] for r in out] == list(range(1, len(out) + 1))
+    assert all(r["lang"] == "en" for r in out)
+
+
+def test_outbox_write(spark, tmp_path):
+    from quarry.operators.analytics import write_outbox
+    df = spark.createDataFrame([("EUROPE", "s", "b", 1)], "customer_region string, subject string, body string, word_count int")
+    write_outbox(df, str(tmp_path / "outbox"))
+    write_outbox(df, str(tmp_path / "outbox"))
+    assert spark.read.parquet(str(tmp_path / "outbox")).count() == 1
