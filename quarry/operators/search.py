@@ -67,16 +67,38 @@ def materialize(df: DataFrame) -> DataFrame:
     return done
 
 
-def _finish_index(rows: DataFrame, attributes, materialized: bool) -> TextIndex:
+SCRATCH_DB = "quarry_scratch"
+
+
+def write_bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key`` under the shared checkpoint
+    folder and read it back. The table cuts lineage (a replacement executor
+    reads files, it does not recompute), and a bucketed scan reports
+    ``hashpartitioning(key)``, so later per-key aggregates need no shuffle."""
+    from quarry.session import scratch_path
+
+    spark = df.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH_DB} "
+              f"LOCATION '{scratch_path(spark, SCRATCH_DB)}'")
+    table = f"{SCRATCH_DB}.{name}"
+    (df.write.mode("overwrite").bucketBy(buckets, key)
+     .option("path", scratch_path(spark, name)).saveAsTable(table))
+    return spark.table(table)
+
+
+def _finish_index(rows: DataFrame, attributes, materialized: bool, buckets: int | None = None) -> TextIndex:
     """Postings rows (one NULL-term row per token-less document) → index."""
     if materialized:
-        rows = materialize(rows)
+        import uuid
+        spark = rows.sparkSession
+        rows = write_bucketed(rows, "doc_id", buckets or spark.sparkContext.defaultParallelism,
+                              f"postings_{uuid.uuid4().hex[:12]}")
     per_doc = rows.groupBy("doc_id").agg(F.first("dl").alias("dl"))
     st = per_doc.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     postings = rows.filter(F.col("term").isNotNull())
     # The lexicon stays a plan over the materialised postings (a partial +
-    # final aggregate by term); write it with ``materialize`` when many query
-    # batches share one index.
+    # final aggregate by term); materialise it too when many query batches
+    # share one index.
     lexicon = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
     return TextIndex(postings, lexicon, int(st["n"]), float(st["avgdl"] or 0.0), tuple(attributes))
 
@@ -86,12 +108,11 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, attributes=(),
     """Tokenise, explode and count; attributes ride along with each posting
     so that filters are predicates on the postings, not joins.
 
-    With ``materialize`` the postings are written once with
-    ``checkpoint()`` to the session's shared checkpoint folder: tokenising
-    (the costly regex work) runs once however many consumers the plan has,
-    lineage is cut, and the checkpointed postings keep their
-    ``hashpartitioning(doc_id)``, so per-document aggregation downstream
-    needs no shuffle. The lexicon is what query batches join against to get
+    With ``materialize`` the postings are written once as a table bucketed by
+    ``doc_id`` in the session's shared checkpoint folder: tokenising (the
+    costly regex work) runs once however many consumers the plan has,
+    lineage is cut, and the bucketed scan keeps ``hashpartitioning(doc_id)``,
+    so per-document aggregation downstream needs no shuffle. The lexicon is what query batches join against to get
     term weights (vocabulary-sized, not postings-sized).
     """
     spark = docs.sparkSession
@@ -106,7 +127,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, attributes=(),
             .agg(F.count("term").alias("tf"), F.first("dl").alias("dl"),
                  *[F.first(a).alias(a) for a in attributes])
             .select("doc_id", "dl", *attributes, "term", "tf"))
-    return _finish_index(rows, attributes, materialize)
+    return _finish_index(rows, attributes, materialize, n)
 
 
 def index_stats(index: TextIndex) -> DataFrame:

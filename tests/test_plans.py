@@ -49,10 +49,13 @@ def test_grouped_topk_uses_window_group_limit(spark):
 
 
 def test_bm25_scores_without_pair_shuffle(spark):
+    import re
     p = plan(spark, "search_topk")
-    assert "hashpartitioning(query_id" in p          # only the top-k merge
-    assert "hashpartitioning(query_id#" in p and "hashpartitioning(doc_id" in p
-    assert "hashpartitioning(query_id, doc_id" not in p.replace("#", "")
+    assert "Bucketed: true" in p                      # postings read with their doc_id buckets
+    exchanges = re.findall(r"Arguments: hashpartitioning\(([^)]*)\)", p)
+    keys = [re.sub(r"#\d+L?", "", e) for e in exchanges]
+    assert not any("query_id" in k and "doc_id" in k for k in keys)   # no (query, doc) pair shuffle
+    assert any(k.startswith("query_id,") for k in keys)               # only the top-k merge
 
 
 def test_scan_prunes_columns(spark):
