@@ -96,12 +96,23 @@ def duplicate_keys(df: DataFrame, key) -> DataFrame:
     f"FROM (SELECT COUNT(*) AS n FROM {t} GROUP BY {', '.join(k)})"
     for t, k in PRIMARY_KEYS.items()))
 def pk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
+    """All tables' keys in one aggregate: ``(table, key)`` rows are counted
+    in a single partial + final aggregate (one shuffle for every table)."""
+    keys = None
     for t, key in PRIMARY_KEYS.items():
-        part = duplicate_keys(T.read(spark, sf_dir, t).select(*key), key) \
-            .select(F.lit(t).alias("table_name"), "duplicate_keys", "surplus_rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+        k = F.struct(*[F.col(c).cast("bigint").alias(f"k{i}") for i, c in enumerate(key)],
+                     *[F.lit(None).cast("bigint").alias(f"k{i}") for i in range(len(key), 2)])
+        part = T.read(spark, sf_dir, t).select(F.lit(t).alias("table_name"), k.alias("key"))
+        keys = part if keys is None else keys.unionByName(part)
+    counts = keys.groupBy("table_name", "key").agg(F.count(F.lit(1)).alias("n"))
+    per_table = counts.groupBy("table_name").agg(
+        F.count_if(F.col("n") > 1).alias("duplicate_keys"),
+        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).cast("bigint").alias("surplus_rows"))
+    names = spark.createDataFrame([(t,) for t in PRIMARY_KEYS], "table_name string")
+    return (names.join(per_table, "table_name", "left")
+            .select("table_name",
+                    F.coalesce("duplicate_keys", F.lit(0).cast("bigint")).alias("duplicate_keys"),
+                    F.coalesce("surplus_rows", F.lit(0).cast("bigint")).alias("surplus_rows")))
 
 
 # --- Q7 foreign keys --------------------------------------------------------
@@ -129,6 +140,18 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
                        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("orphans"))
 
 
+def _stacked_keys(spark: SparkSession, sf_dir: str, by_table: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """``(relation, k)`` for every (relation, column) of every table, one
+    scan per table: the table's key columns are stacked with ``explode``."""
+    out = None
+    for table, rels in by_table.items():
+        arr = F.array(*[F.struct(F.lit(name).alias("relation"), F.col(col).cast("bigint").alias("k"))
+                        for name, col in rels])
+        part = T.read(spark, sf_dir, table).select(F.explode(arr).alias("s")).select("s.relation", "s.k")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("fk_orphans", " UNION ALL ".join(
     f"SELECT '{name}' AS relation, CAST(COUNT(*) AS BIGINT) AS orphan_keys, "
     f"CAST(COALESCE(SUM(n), 0) AS BIGINT) AS orphans FROM "
@@ -136,12 +159,26 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
     f"WHERE NOT EXISTS (SELECT 1 FROM {p} WHERE {p}.{pk} = x.k)"
     for name, c, fk, p, pk in FOREIGN_KEYS))
 def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
+    """Every foreign key checked in one job: each child table is scanned once
+    with its foreign-key columns stacked, collapsed to ``(relation, key,
+    rows)`` (a hot key becomes one row before the shuffle), and anti-joined
+    once against the stacked parent keys on ``(relation, key)``."""
+    children: dict[str, list[tuple[str, str]]] = {}
+    parents: dict[str, list[tuple[str, str]]] = {}
     for name, c, fk, p, pk in FOREIGN_KEYS:
-        part = orphans(T.read(spark, sf_dir, c).select(fk), fk, T.read(spark, sf_dir, p).select(pk), pk) \
-            .select(F.lit(name).alias("relation"), "orphan_keys", "orphans")
-        out = part if out is None else out.unionByName(part)
-    return out
+        children.setdefault(c, []).append((name, fk))
+        parents.setdefault(p, []).append((name, pk))
+    child = (_stacked_keys(spark, sf_dir, children).filter(F.col("k").isNotNull())
+             .groupBy("relation", "k").agg(F.count(F.lit(1)).alias("n")))
+    parent = _stacked_keys(spark, sf_dir, parents)
+    missing = (child.join(parent, ["relation", "k"], "left_anti")
+               .groupBy("relation").agg(F.count(F.lit(1)).alias("orphan_keys"),
+                                        F.sum("n").cast("bigint").alias("orphans")))
+    names = spark.createDataFrame([(r[0],) for r in FOREIGN_KEYS], "relation string")
+    return (names.join(missing, "relation", "left")
+            .select("relation",
+                    F.coalesce("orphan_keys", F.lit(0).cast("bigint")).alias("orphan_keys"),
+                    F.coalesce("orphans", F.lit(0).cast("bigint")).alias("orphans")))
 
 
 # --- Q8 declared lengths ----------------------------------------------------

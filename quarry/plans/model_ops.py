@@ -10,7 +10,7 @@ which is what allows them to be broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
@@ -144,28 +144,43 @@ PROFILE_TABLES = {
 }
 
 
+def _sort_key(df: DataFrame, c: str) -> Column:
+    """An order-preserving key for min/max of any profiled type:
+    ``struct(number, text)`` — numbers, dates and booleans in the first
+    field, strings in the second."""
+    t = df.schema[c].dataType.simpleString()
+    col = F.col(c)
+    if t == "date":
+        num = F.unix_date(col).cast("double")
+    elif t == "boolean":
+        num = col.cast("int").cast("double")
+    elif t == "string":
+        return F.struct(F.lit(None).cast("double").alias("n"), col.alias("s"))
+    else:
+        num = col.cast("double")
+    return F.struct(num.alias("n"), F.lit(None).cast("string").alias("s"))
+
+
 def profile_table(df: DataFrame, table: str, columns) -> DataFrame:
     """Per column: nulls, distinct non-null values, min, max (as text).
 
-    Nulls/min/max are one typed aggregate pass; exact distinct counts come
-    from the columns stacked to (column, value) and de-duplicated — a plain
-    shuffle aggregate that does not multiply rows per distinct column the
-    way several COUNT(DISTINCT) in one aggregate would.
+    One pass: every row is stacked into ``(column, value text, sort key)``
+    with ``explode`` and reduced by one partial + final aggregate to
+    distinct values with their counts; nulls, distinct count and min/max
+    (``min_by``/``max_by`` on the typed key) then come from that small
+    result. No COUNT(DISTINCT) fan-out per column, one scan of the table.
     """
-    typed = df.agg(*[F.struct(F.count_if(F.col(c).isNull()).alias("nulls"),
-                              F.min(c).cast("string").alias("min_value"),
-                              F.max(c).cast("string").alias("max_value")).alias(c) for c in columns])
-    typed_long = typed.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`.nulls").alias("nulls"),
-                 F.col(f"`{c}`.min_value").alias("min_value"), F.col(f"`{c}`.max_value").alias("max_value"))
-        for c in columns])).alias("p")).select("p.*")
     stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("s"))
-    distinct = (stacked.select("s.column_name", "s.value").filter(F.col("value").isNotNull()).distinct()
-                .groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values")))
-    return (typed_long.join(distinct, "column_name", "left")
-            .select(F.lit(table).alias("table_name"), "column_name", "nulls",
-                    F.coalesce("distinct_values", F.lit(0).cast("bigint")).alias("distinct_values"),
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"),
+                 _sort_key(df, c).alias("key")) for c in columns])).alias("s")).select("s.*")
+    values = stacked.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"))
+    nn = F.col("value").isNotNull()
+    return (values.groupBy("column_name")
+            .agg(F.coalesce(F.sum(F.when(~nn, F.col("n"))), F.lit(0)).cast("bigint").alias("nulls"),
+                 F.count_if(nn).alias("distinct_values"),
+                 F.min_by(F.when(nn, F.col("value")), F.when(nn, F.col("key"))).alias("min_value"),
+                 F.max_by(F.when(nn, F.col("value")), F.when(nn, F.col("key"))).alias("max_value"))
+            .select(F.lit(table).alias("table_name"), "column_name", "nulls", "distinct_values",
                     "min_value", "max_value"))
 
 
