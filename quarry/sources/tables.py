@@ -54,32 +54,46 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 # Tables that may arrive as few large row groups, with the key they are
-# spread by (see :func:`spread`). Fixed-size lookups (region, nation) and
-# small side tables are left as scanned.
+# spread by (see :func:`spread`): a unique row id, or None for round-robin
+# where no unique single-column id exists (a hash on a repeated key such as
+# an order or conversation id would put a hot key's rows in one task).
+# Fixed-size lookups (region, nation) and small side tables are left as read.
 SPREAD_KEYS = {
-    "lineitem": "l_orderkey", "orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey",
-    "events": "event_id", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id",
+    "lineitem": None, "orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey",
+    "events": "event_id", "documents": "doc_id", "pages": "page_id", "conversations": None,
     "benchmark": "item_id", "embeddings": "vec_id",
 }
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` only when the scan yields fewer
-    partitions than the session's parallelism (few large row groups). On a
-    cluster reading many splits this is a no-op; on a one-row-group file it
-    turns one busy task into ``defaultParallelism`` of them. Partitioning by
-    the row key also satisfies later per-key operators (the text index)."""
+def spread(df: DataFrame, key: str | None) -> DataFrame:
+    """Repartition ``df`` only when the scan yields fewer partitions than the
+    session's parallelism (few large row groups). On a cluster reading many
+    splits this is a no-op; on a one-row-group file it turns one busy task
+    into ``defaultParallelism`` of them. Partitioning by a unique row id also
+    satisfies later per-id operators (the text index); without one, rows are
+    spread by their position in the input split, which no key distribution
+    can skew."""
     spark = df.sparkSession
     n = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
+    try:
+        few = df.rdd.getNumPartitions() < n
+    except Exception:  # noqa: BLE001 — e.g. a session without RDD access
+        return df
+    if not few:
+        return df
+    if key:
         return df.repartition(n, key)
-    return df
+    # A row's position in its input split is unique and the same on a task
+    # retry (the scan order is fixed), so hashing it spreads rows evenly
+    # without the per-partition sort a round-robin repartition needs.
+    return df.repartition(n, F.monotonically_increasing_id())
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
-    key = SPREAD_KEYS.get(name)
-    return spread(df, key) if key else df
+    if name not in SPREAD_KEYS:
+        return df
+    return spread(df, SPREAD_KEYS[name])
 
 
 def register_base_views(spark: SparkSession, sf_dir: str) -> None:
