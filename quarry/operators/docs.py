@@ -43,14 +43,25 @@ register("parse_pages",
 
 # --- files of both stages, classified once ------------------------------------
 
-def staged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_file, file_type, stage_name, doc_text) for documents and pages."""
-    docs = T.read(spark, sf_dir, "documents").select(
+def staged_files(spark: SparkSession, sf_dir: str, with_text_only: bool = False) -> DataFrame:
+    """(source_file, file_type, stage_name, doc_text) for documents and pages.
+
+    ``with_text_only`` drops files without text on the raw columns, before
+    parsing: the parsed text is NULL exactly when the raw text is, and a
+    predicate on the parsed column would be pushed below the projection and
+    run the whole parse twice.
+    """
+    raw_docs = T.read(spark, sf_dir, "documents")
+    raw_pages = T.read(spark, sf_dir, "pages")
+    if with_text_only:
+        raw_docs = raw_docs.filter(F.col("text").isNotNull())
+        raw_pages = raw_pages.filter(F.col("html").isNotNull())
+    docs = raw_docs.select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"),
         F.lit("TEXT").alias("file_type"),
         F.col("source").alias("stage_name"),
         F.col("text").alias("doc_text"))
-    pages = parse_pages(spark, sf_dir).select(
+    pages = raw_pages.select("page_id", "url", X.html_to_markdown("html").alias("markdown")).select(
         F.col("url").alias("source_file"),
         F.lit("PAGE").alias("file_type"),
         F.try_parse_url(F.col("url"), F.lit("HOST")).alias("stage_name"),
@@ -61,7 +72,7 @@ def staged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with ``product_category`` from the keyword scorer on name + first
     500 characters; files without text are dropped (as the reference does)."""
-    files = staged_files(spark, sf_dir).filter(F.col("doc_text").isNotNull())
+    files = staged_files(spark, sf_dir, with_text_only=True)
     return files.withColumn(
         "product_category", X.keyword_class(X.classify_input("source_file", "doc_text")))
 
