@@ -89,7 +89,8 @@ def _sql_synonyms(model: SemanticModel = SALES_MODEL) -> str:
 @register("synonym_resolution", _sql_synonyms())
 def synonym_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Business words in the user turns of ``conversations`` mapped to the model."""
-    conv = T.read(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    conv = T.spread_table(T.read(spark, sf_dir, "conversations", spread_rows=False)
+                          .filter(F.col("role") == "user"), "conversations")
     return resolve_synonyms(spark, conv, "text")
 
 
@@ -314,5 +315,6 @@ def _sql_lookup() -> str:
 @register("verified_query_lookup", _sql_lookup())
 def verified_query_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn of ``conversations`` matched to its nearest stored question."""
-    conv = T.read(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    conv = T.spread_table(T.read(spark, sf_dir, "conversations", spread_rows=False)
+                          .filter(F.col("role") == "user"), "conversations")
     return lookup_verified(spark, conv, ["conv_id", "turn"], "text")
