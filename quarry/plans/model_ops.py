@@ -45,11 +45,14 @@ def synonym_rows(model: SemanticModel = SALES_MODEL) -> list[tuple[str, str, str
 
 def ngrams(tok, n_max: int = MAX_NGRAM):
     """All 1..n_max-grams of a token array, as space-joined strings."""
+    def gram_at(n: int):
+        # one-argument lambda: a two-argument one is read as (element, index)
+        return lambda i: F.array_join(F.slice(tok, i + 1, n), " ")
+
     grams = []
     empty = F.array().cast("array<string>")
     for n in range(1, n_max + 1):
-        g = F.transform(F.sequence(F.lit(0), F.size(tok) - n),
-                        lambda i, n=n: F.array_join(F.slice(tok, i + 1, n), " "))
+        g = F.transform(F.sequence(F.lit(0), F.size(tok) - n), gram_at(n))
         grams.append(F.when(F.size(tok) >= n, g).otherwise(empty))
     return F.flatten(F.array(*grams))
 
@@ -64,7 +67,6 @@ def resolve_synonyms(spark: SparkSession, texts: DataFrame, text_col: str,
             .agg(F.min_by(F.struct("kind", "target"), F.struct("priority", "target")).alias("t"))
             .select("word", "t.kind", "t.target"))
     tok = X.tokens(text_col)
-    # Guard n-grams of short texts: sequence(0, size - n) is empty when n > size.
     phrases = texts.select(F.explode(F.array_distinct(ngrams(tok))).alias("word"))
     hits = phrases.join(F.broadcast(best), "word")
     return hits.groupBy("word", "kind", "target").agg(F.count(F.lit(1)).alias("occurrences"))

@@ -42,8 +42,13 @@ class Metric:
     additive: bool = True
     synonyms: tuple[str, ...] = ()
 
-    def column(self) -> Column:
-        c = F.expr(self.expr)
+    def column(self, approximate: bool = False) -> Column:
+        expr = self.expr
+        if approximate and expr.lower().startswith("count(distinct "):
+            # HyperLogLog++ (relative error ~1%): a fixed-size sketch per
+            # group instead of shuffling every distinct value.
+            expr = "approx_count_distinct(" + expr[len("count(distinct "):-1] + ", 0.01)"
+        c = F.expr(expr)
         if self.output_type:
             c = c.cast(self.output_type)
         return c.alias(self.name)
@@ -242,6 +247,7 @@ def semantic_query(
     fact_transform: Callable[[DataFrame], DataFrame] | None = None,
     transform_columns: Sequence[str] = (),
     model: SemanticModel = SALES_MODEL,
+    approximate_distinct: bool = False,
 ) -> DataFrame:
     """Build the plan for ``metrics`` grouped by ``dimensions``.
 
@@ -250,6 +256,8 @@ def semantic_query(
     policy-filtered view); ``fact_transform`` is applied to the fact rows
     before any join (row policies use it so that they act below every
     aggregate and join); ``transform_columns`` are fact columns it reads.
+    ``approximate_distinct`` computes distinct-count metrics with
+    HyperLogLog++ (exact is the default and what the oracle checks).
     """
     time_grain = dict(time_grain or {})
     for name in metrics:
@@ -313,7 +321,7 @@ def semantic_query(
             group_cols.append(time_bucket(d, time_grain[d]).alias(f"{d}_{time_grain[d]}"))
         else:
             group_cols.append(F.col(d))
-    aggs = [model.metrics[m].column() for m in metrics]
+    aggs = [model.metrics[m].column(approximate_distinct) for m in metrics]
     out = df.groupBy(*group_cols).agg(*aggs) if group_cols else df.agg(*aggs)
 
     if order_by:
