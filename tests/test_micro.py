@@ -280,3 +280,29 @@ def test_synonyms_match_oracle_sql_on_fixture(spark):
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     d = sorted(tuple(r) for r in con.sql(_sql_synonyms()).fetchall())
     assert s == d and len(s) == 11
+
+
+def test_keyword_classes_match_sql_form(spark):
+    import duckdb
+    names = ["Mondracer_Infant_Bike.pdf", "Premium_Bicycle.jpeg", "XTREME-road.PNG", "Carver_Skis.pdf",
+             "Ski_Boots_TDBootz.jpg", "downhill notes", "snowboard"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    s = {r.name: r.c for r in df.select("name", X.keyword_class("name").alias("c")).collect()}
+    assert s["Mondracer_Infant_Bike.pdf"] == "BIKE" and s["XTREME-road.PNG"] == "BIKE"
+    assert s["Carver_Skis.pdf"] == "SNOW" and s["snowboard"] == "SNOW"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE f(name VARCHAR)")
+    con.executemany("INSERT INTO f VALUES (?)", [(n,) for n in names])
+    d = dict(con.sql(f"SELECT name, {X.sql_keyword_class('name')} FROM f").fetchall())
+    assert s == d
+
+
+def test_orphans_and_duplicates_with_a_hot_key(spark):
+    from quarry.operators.quality import duplicate_keys, orphans
+    # key 1 holds a third of the child rows; keys 7 and 8 have no parent
+    child = spark.createDataFrame([(1,)] * 30 + [(k,) for k in range(2, 62)] + [(7,), (8,), (None,)], "fk long")
+    parent = spark.createDataFrame([(k,) for k in range(1, 62) if k not in (7, 8)], "pk long")
+    r = orphans(child, "fk", parent, "pk").collect()[0]
+    assert (r.orphan_keys, r.orphans) == (2, 4)
+    d = duplicate_keys(child.filter("fk IS NOT NULL"), ["fk"]).collect()[0]
+    assert (d.duplicate_keys, d.surplus_rows) == (3, 29 + 1 + 1)
