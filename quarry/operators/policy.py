@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.plans.registry import register
-from quarry.plans.semantic import semantic_query
 from quarry.sources import tables as T
 
 # The policy's roles. Admin role names are the reference's;
@@ -136,22 +135,50 @@ def _metric_under_policy_sql() -> str:
     return T.with_views(" UNION ALL ".join(parts), "fact_sales", "dim_article")
 
 
+def visibility(spark: SparkSession, sf_dir: str, roles=_POLICY_ROLES,
+               grants: dict[str, tuple[str, ...]] = ROLE_GRANTS) -> DataFrame:
+    """``(role, article_id)``: which products each role may see. Admin roles
+    get every product (``explode``, no join); granted roles get the products
+    of their categories (the grant table is config-sized and broadcast);
+    other roles get nothing."""
+    art = T.dim_article(spark, sf_dir).select("article_id", "article_category")
+    admins = [r for r in roles if r in ADMIN_ROLES]
+    granted = {r: c for r, c in grants.items() if r in roles}
+    parts = []
+    if admins:
+        parts.append(art.select(F.explode(F.array(*[F.lit(r) for r in admins])).alias("role"), "article_id"))
+    if granted:
+        parts.append(art.join(F.broadcast(entitlements(spark, granted)), "article_category")
+                     .select("role", "article_id"))
+    if not parts:
+        return spark.createDataFrame([], "role string, article_id bigint")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @register("metric_under_policy", _metric_under_policy_sql())
 def metric_under_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five metrics as each role sees them; the policy acts on fact rows
-    before the metric layer aggregates (R4)."""
-    outs = []
-    for role in _POLICY_ROLES:
-        m = semantic_query(
-            spark, sf_dir,
-            metrics=["total_revenue", "transaction_count", "units_sold", "unique_customers", "avg_order_value"],
-            fact_transform=lambda df, r=role: apply_policy(spark, sf_dir, df, r),
-            transform_columns=["article_id"])
-        outs.append(m.select(F.lit(role).alias("role"), "*"))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    """The five metrics as each role sees them, all roles in one scan of the
+    fact: every sale row meets the roles allowed to see its product (the
+    policy, applied below the aggregate — R4), then the model's own metric
+    expressions aggregate per role. A role that sees nothing keeps its row
+    (counts 0, sums NULL), as the per-role view would give."""
+    from quarry.plans.semantic import SALES_MODEL
+    metrics = ["total_revenue", "transaction_count", "units_sold", "unique_customers", "avg_order_value"]
+    need = sorted({c for m in metrics for c in SALES_MODEL.metrics[m].needs} | {"article_id"})
+    fact = T.fact_sales(spark, sf_dir, need)
+    seen = fact.join(visibility(spark, sf_dir), "article_id")
+    per_role = seen.groupBy("role").agg(*[SALES_MODEL.metrics[m].column() for m in metrics])
+    roles = spark.createDataFrame([(r,) for r in _POLICY_ROLES], "role string")
+    zero = F.lit(0).cast("bigint")
+    return (roles.join(per_role, "role", "left")
+            .select("role", "total_revenue",
+                    F.coalesce("transaction_count", zero).alias("transaction_count"),
+                    "units_sold",
+                    F.coalesce("unique_customers", zero).alias("unique_customers"),
+                    "avg_order_value"))
 
 
 def _grants_sql() -> str:

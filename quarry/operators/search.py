@@ -437,16 +437,25 @@ def vector_search_lsh(vectors: DataFrame, queries: DataFrame, dim: int, k: int =
     query (equi-join on (band, code), the query side broadcast), then exact
     cosine re-rank of the candidates only."""
     planes = _hyperplanes(dim)
-    qb = (queries.select("query_id", "vec", F.posexplode(band_codes(F.col("vec"), planes)).alias("band", "code")))
     vb = (vectors.select("vec_id", "embedding",
                          F.posexplode(band_codes(_as_double(F.col("embedding")), planes)).alias("band", "code")))
-    cand = (vb.join(F.broadcast(qb), ["band", "code"])
-            .groupBy("query_id", "vec_id")
-            .agg(F.first("embedding").alias("embedding"), F.first("vec").alias("vec")))
+    # The broadcast side is (query, band) rows: checked against the same
+    # limit as exact search; larger query sets run in several passes.
+    passes = max(1, math.ceil(queries.count() / MAX_INLINE_QUERY_VECTORS))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return (cand.select("query_id", "vec_id", F.round(cosine(F.col("vec"), _as_double(F.col("embedding"))), 6).alias("score"))
-            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    out = None
+    for i in range(passes):
+        qs = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
+        qb = qs.select("query_id", "vec", F.posexplode(band_codes(F.col("vec"), planes)).alias("band", "code"))
+        cand = (vb.join(F.broadcast(qb), ["band", "code"])
+                .groupBy("query_id", "vec_id")
+                .agg(F.first("embedding").alias("embedding"), F.first("vec").alias("vec")))
+        part = (cand.select("query_id", "vec_id",
+                            F.round(cosine(F.col("vec"), _as_double(F.col("embedding"))), 6).alias("score"))
+                .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                .select("query_id", "rank", "vec_id", "score"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("vector_topk_lsh")

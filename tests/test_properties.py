@@ -100,3 +100,17 @@ def test_docs_chunk_table_written_with_ids(spark, tmp_path):
 
 def test_summary_rows_under_word_limit(spark):
     assert run(spark, "summary_rows").filter(F.col("word_count") > 500).count() == 0
+
+
+def test_one_scan_policy_metrics_equal_per_role_view(spark):
+    """metric_under_policy (all roles in one scan) equals the metric layer run
+    once per role with the policy applied below it."""
+    from quarry.operators.policy import _POLICY_ROLES, apply_policy
+    from quarry.plans.semantic import semantic_query
+    metrics = ["total_revenue", "transaction_count", "units_sold", "unique_customers", "avg_order_value"]
+    got = {r.role: tuple(r)[1:] for r in run(spark, "metric_under_policy").collect()}
+    for role in _POLICY_ROLES:
+        m = semantic_query(spark, SF_SMALL, metrics,
+                           fact_transform=lambda df, r=role: apply_policy(spark, SF_SMALL, df, r),
+                           transform_columns=["article_id"]).collect()[0]
+        assert got[role] == tuple(m), role
