@@ -9,6 +9,7 @@ is absent (local tests), never on a configured cluster.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,6 +41,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -59,3 +61,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in the Python workers (once per application).
+
+    Arrow-batch functions (``mapInPandas``, pandas UDFs) are pickled by module
+    reference, so executors must be able to import the package. The package
+    is zipped into the shared checkpoint folder and registered with
+    ``SparkContext.addPyFile``, which distributes it to every executor. When
+    the checkpoint folder is not a local path (a cluster file system), the
+    package is expected to be installed on the executors (``--py-files`` or
+    the cluster's library setup) and nothing is shipped from here.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    base = ensure_checkpoint_dir(spark)
+    local = base.startswith("/") or base.startswith("file:")
+    if local:
+        folder = scratch_path(spark, "pyfiles").removeprefix("file:")
+        os.makedirs(folder, exist_ok=True)
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        staging = os.path.join(folder, "src")
+        shutil.copytree(pkg, os.path.join(staging, "quarry"),
+                        ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+        archive = shutil.make_archive(os.path.join(folder, "quarry"), "zip", root_dir=staging, base_dir="quarry")
+        sc.addPyFile(archive)
+    _SHIPPED.add(app)
