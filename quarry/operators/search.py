@@ -136,10 +136,12 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, attributes=(),
     tok = (docs.repartition(n, id_col)
            .select(F.col(id_col).alias("doc_id"), X.tokens(text_col).alias("tok"), *attributes)
            .withColumn("dl", F.size("tok")))
+    # dl and the attributes depend on doc_id alone, so grouping by them too
+    # gives the same groups while the aggregate stays a plain count (a
+    # fixed-width hash aggregate; first() over strings would not be).
     rows = (tok.select("doc_id", "dl", *attributes, F.explode_outer("tok").alias("term"))
-            .groupBy("doc_id", "term")
-            .agg(F.count("term").alias("tf"), F.first("dl").alias("dl"),
-                 *[F.first(a).alias(a) for a in attributes])
+            .groupBy("doc_id", "dl", *attributes, "term")
+            .agg(F.count("term").alias("tf"))
             .select("doc_id", "dl", *attributes, "term", "tf"))
     return _finish_index(rows, attributes, materialize, n)
 

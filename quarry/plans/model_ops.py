@@ -176,7 +176,9 @@ def profile_table(df: DataFrame, table: str, columns) -> DataFrame:
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"),
                  _sort_key(df, c).alias("key")) for c in columns])).alias("s")).select("s.*")
-    values = stacked.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"))
+    # key depends on value alone; grouping by it keeps the aggregate a plain
+    # count (fixed-width hash aggregate) instead of a first() over a struct.
+    values = stacked.groupBy("column_name", "value", "key").agg(F.count(F.lit(1)).alias("n"))
     nn = F.col("value").isNotNull()
     return (values.groupBy("column_name")
             .agg(F.coalesce(F.sum(F.when(~nn, F.col("n"))), F.lit(0)).cast("bigint").alias("nulls"),
