@@ -436,8 +436,8 @@ def band_codes(vec: Column, planes: list[list[float]]) -> Column:
 
 def vector_search_lsh(vectors: DataFrame, queries: DataFrame, dim: int, k: int = TOP_K) -> DataFrame:
     """Approximate top-k: candidates share at least one LSH band code with the
-    query (equi-join on (band, code), the query side broadcast), then exact
-    cosine re-rank of the candidates only."""
+    query (equi-join on (band, code), the query side broadcast); only they
+    are scored with the exact cosine and ranked."""
     planes = _hyperplanes(dim)
     vb = (vectors.select("vec_id", "embedding",
                          F.posexplode(band_codes(_as_double(F.col("embedding")), planes)).alias("band", "code")))
@@ -449,12 +449,14 @@ def vector_search_lsh(vectors: DataFrame, queries: DataFrame, dim: int, k: int =
     for i in range(passes):
         qs = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
         qb = qs.select("query_id", "vec", F.posexplode(band_codes(F.col("vec"), planes)).alias("band", "code"))
+        # Each band match is re-scored exactly where it is found (map side);
+        # duplicates of a (query, vector) pair then collapse with max(score),
+        # a fixed-width aggregate — no embedding array is shuffled.
         cand = (vb.join(F.broadcast(qb), ["band", "code"])
-                .groupBy("query_id", "vec_id")
-                .agg(F.first("embedding").alias("embedding"), F.first("vec").alias("vec")))
-        part = (cand.select("query_id", "vec_id",
-                            F.round(cosine(F.col("vec"), _as_double(F.col("embedding"))), 6).alias("score"))
-                .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                .select("query_id", "vec_id",
+                        F.round(cosine(F.col("vec"), _as_double(F.col("embedding"))), 6).alias("s"))
+                .groupBy("query_id", "vec_id").agg(F.max("s").alias("score")))
+        part = (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select("query_id", "rank", "vec_id", "score"))
         out = part if out is None else out.unionByName(part)
     return out
