@@ -175,16 +175,29 @@ def _bm25_pass(index: TextIndex, qterms: DataFrame, k: int, doc_filter: Column |
             .filter(F.col("rank") <= k))
 
 
-def bm25_search(index: TextIndex, queries: DataFrame, id_col: str, text_col: str,
-                k: int = TOP_K, doc_filter: Column | None = None) -> DataFrame:
+@dataclass
+class QueryBatch:
+    """A batch's distinct ``(query_id, term)`` rows and their checked count."""
+    terms: DataFrame
+    n_terms: int
+
+
+def query_batch(queries: DataFrame, id_col: str, text_col: str) -> QueryBatch:
+    qterms = query_terms(queries, id_col, text_col)
+    return QueryBatch(qterms, qterms.count())
+
+
+def bm25_search(index: TextIndex, queries: DataFrame | QueryBatch, id_col: str = "item_id",
+                text_col: str = "text", k: int = TOP_K, doc_filter: Column | None = None) -> DataFrame:
     """Top-k documents per query: ``(query_id, rank, doc_id, score)``.
 
     Corpus statistics (N, avgdl, df) always come from the whole index; a
     ``doc_filter`` on attribute columns only restricts which documents can be
-    returned (search-service semantics).
+    returned (search-service semantics). ``queries`` may be a prepared
+    :class:`QueryBatch`, so several indexes can be searched with one batch.
     """
-    qterms = query_terms(queries, id_col, text_col)
-    n_terms = qterms.count()
+    batch = queries if isinstance(queries, QueryBatch) else query_batch(queries, id_col, text_col)
+    qterms, n_terms = batch.terms, batch.n_terms
     if n_terms <= MAX_BROADCAST_QUERY_TERMS:
         out = _bm25_pass(index, qterms, k, doc_filter)
     else:
@@ -288,12 +301,12 @@ SUMMARY_CHARS = 500
           "r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM f) "
           f"SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, rrf FROM r WHERE rank <= {TOP_K}")
 def search_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _benchmark(spark, sf_dir)
-    a = bm25_search(_documents_index(spark, sf_dir), q, "item_id", "text", k=FUSION_DEPTH)
+    q = query_batch(_benchmark(spark, sf_dir), "item_id", "text")
+    a = bm25_search(_documents_index(spark, sf_dir), q, k=FUSION_DEPTH)
     # The 500-character field is cheap to tokenise again; its postings keep
     # their doc_id partitioning without being written.
     b = bm25_search(_documents_index(spark, sf_dir, F.left(F.col("text"), F.lit(SUMMARY_CHARS)), materialize=False),
-                    q, "item_id", "text", k=FUSION_DEPTH)
+                    q, k=FUSION_DEPTH)
     return rrf([a, b], TOP_K)
 
 
