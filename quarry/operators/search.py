@@ -438,22 +438,37 @@ def _hyperplanes(dim: int) -> list[list[float]]:
     return rng.standard_normal((LSH_BANDS * LSH_BITS, dim)).round(6).tolist()
 
 
-def band_codes(vec: Column, planes: list[list[float]]) -> Column:
-    """Array of ``LSH_BANDS`` integer codes: the sign bits of the projections."""
-    pl = F.array(*[F.array(*[F.lit(x) for x in p]) for p in planes])
-    bits = F.transform(pl, lambda p: F.when(dot(p, vec) >= 0, 1).otherwise(0))
-    return F.transform(F.sequence(F.lit(0), F.lit(LSH_BANDS - 1)),
-                       lambda b: F.aggregate(F.slice(bits, b * LSH_BITS + 1, LSH_BITS), F.lit(0),
-                                             lambda acc, x: acc * 2 + x))
+def band_rows(df: DataFrame, id_col: str, vec_col: str, planes: list[list[float]]) -> DataFrame:
+    """``(id, band, code)`` for every row: per Arrow batch, one matrix product
+    with the (fixed, 72 × dim) hyperplanes gives the sign bits, packed into
+    ``LSH_BANDS`` codes of ``LSH_BITS`` bits (first bit most significant)."""
+    import numpy as np
+    import pandas as pd
+
+    pmat = np.asarray(planes, dtype=np.float64)
+    weights = 1 << np.arange(LSH_BITS - 1, -1, -1)
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            v = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
+            bits = (v @ pmat.T >= 0).astype(np.int64).reshape(len(v), LSH_BANDS, LSH_BITS)
+            codes = (bits * weights).sum(axis=2)
+            yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), LSH_BANDS),
+                                "band": np.tile(np.arange(LSH_BANDS, dtype=np.int32), len(v)),
+                                "code": codes.ravel().astype(np.int32)})
+
+    return df.select(id_col, vec_col).mapInPandas(run, f"{id_col} {id_type}, band int, code int")
 
 
 def vector_search_lsh(vectors: DataFrame, queries: DataFrame, dim: int, k: int = TOP_K) -> DataFrame:
     """Approximate top-k: candidates share at least one LSH band code with the
-    query (equi-join on (band, code), the query side broadcast); only they
-    are scored with the exact cosine and ranked."""
+    query (equi-join on (band, code), the query side broadcast, size-checked);
+    only they are scored with the exact cosine and ranked."""
     planes = _hyperplanes(dim)
-    vb = (vectors.select("vec_id", "embedding",
-                         F.posexplode(band_codes(_as_double(F.col("embedding")), planes)).alias("band", "code")))
+    vb = band_rows(vectors, "vec_id", "embedding", planes)
     # The broadcast side is (query, band) rows: checked against the same
     # limit as exact search; larger query sets run in several passes.
     passes = max(1, math.ceil(queries.count() / MAX_INLINE_QUERY_VECTORS))
@@ -461,14 +476,14 @@ def vector_search_lsh(vectors: DataFrame, queries: DataFrame, dim: int, k: int =
     out = None
     for i in range(passes):
         qs = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        qb = qs.select("query_id", "vec", F.posexplode(band_codes(F.col("vec"), planes)).alias("band", "code"))
-        # Each band match is re-scored exactly where it is found (map side);
-        # duplicates of a (query, vector) pair then collapse with max(score),
-        # a fixed-width aggregate — no embedding array is shuffled.
-        cand = (vb.join(F.broadcast(qb), ["band", "code"])
+        qb = band_rows(qs, "query_id", "vec", planes)
+        # Candidate pairs (ids only, de-duplicated), then the exact cosine for
+        # candidates only: vectors joined by id, query vectors broadcast.
+        pairs = vb.join(F.broadcast(qb), ["band", "code"]).select("query_id", "vec_id").distinct()
+        cand = (pairs.join(vectors.select("vec_id", "embedding"), "vec_id")
+                .join(F.broadcast(qs.select("query_id", "vec")), "query_id")
                 .select("query_id", "vec_id",
-                        F.round(cosine(F.col("vec"), _as_double(F.col("embedding"))), 6).alias("s"))
-                .groupBy("query_id", "vec_id").agg(F.max("s").alias("score")))
+                        F.round(cosine(F.col("vec"), _as_double(F.col("embedding"))), 6).alias("score")))
         part = (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select("query_id", "rank", "vec_id", "score"))
         out = part if out is None else out.unionByName(part)
