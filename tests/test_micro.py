@@ -306,3 +306,16 @@ def test_orphans_and_duplicates_with_a_hot_key(spark):
     assert (r.orphan_keys, r.orphans) == (2, 4)
     d = duplicate_keys(child.filter("fk IS NOT NULL"), ["fk"]).collect()[0]
     assert (d.duplicate_keys, d.surplus_rows) == (3, 29 + 1 + 1)
+
+
+def test_spread_by_position_is_even_under_a_hot_key(spark):
+    from quarry.sources.tables import spread
+    rows = [(1, i) for i in range(300)] + [(k, k) for k in range(2, 602)]   # key 1 = a third of the rows
+    df = spark.createDataFrame(rows, "k long, v long").coalesce(1)
+    out = spread(df, None)
+    n = spark.sparkContext.defaultParallelism
+    sizes = [len(p) for p in out.rdd.glom().collect()]
+    assert len(sizes) == n and sum(sizes) == 900
+    assert max(sizes) <= 2 * 900 / n                      # no partition carries the hot key's third
+    keyed = [len(p) for p in spread(df, "k").rdd.glom().collect()]
+    assert max(keyed) >= 300                              # why non-unique keys are not used
