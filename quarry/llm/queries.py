@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup
+from quarry.llm import exact_dedup, packing
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_packing": op8_packing,
 }
 
 ORACLE: dict[str, str] = {
