@@ -38,11 +38,11 @@ def bit_positions(keys: np.ndarray, bits: int) -> np.ndarray:
                      for i in range(HASHES)], axis=1).astype(np.int64)
 
 
-def _pack(offsets: np.ndarray) -> bytes:
+def _pack(offsets: np.ndarray, seg_bits: int) -> bytes:
     """Segment-local sorted bit numbers: a bitmap, or the numbers where that is shorter."""
-    if len(offsets) * 4 < SEGMENT_BITS // 8:
+    if len(offsets) * 4 < seg_bits // 8:
         return b"s" + offsets.astype(np.uint32).tobytes()
-    plane = np.zeros(SEGMENT_BITS, np.uint8)
+    plane = np.zeros(seg_bits, np.uint8)
     plane[offsets] = 1
     return b"d" + np.packbits(plane).tobytes()
 
@@ -61,6 +61,7 @@ def repeated_plane(df: DataFrame, key: str, bits: int) -> np.ndarray:
 
     Tasks emit packed bit planes by segment, one task merges one segment, and
     only the finished plane (size bound: ``max_bytes``) reaches the driver."""
+    seg_bits = min(SEGMENT_BITS, bits)
 
     def emit(keys: np.ndarray) -> Iterator[pd.DataFrame]:
         pos = bit_positions(keys, bits)
@@ -68,12 +69,12 @@ def repeated_plane(df: DataFrame, key: str, bits: int) -> np.ndarray:
         own = np.ones_like(pos, bool)
         own[:, 1:] = pos[:, 1:] != pos[:, :-1]          # a key counts once per bit
         at, n = np.unique(pos[own], return_counts=True)
-        cuts = np.flatnonzero(np.diff(at // SEGMENT_BITS)) + 1
+        cuts = np.flatnonzero(np.diff(at // seg_bits)) + 1
         rows = []
         for lo, hi in zip([0, *cuts], [*cuts, len(at)]):
-            seg = int(at[lo]) // SEGMENT_BITS
-            local = at[lo:hi] - seg * SEGMENT_BITS
-            rows.append((seg, _pack(local), _pack(local[n[lo:hi] > 1])))
+            seg = int(at[lo]) // seg_bits
+            local = at[lo:hi] - seg * seg_bits
+            rows.append((seg, _pack(local, seg_bits), _pack(local[n[lo:hi] > 1], seg_bits)))
         yield pd.DataFrame(rows, columns=["seg", "once", "twice"])
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,7 +89,7 @@ def repeated_plane(df: DataFrame, key: str, bits: int) -> np.ndarray:
             yield from emit(np.concatenate(held))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        plane = np.zeros(SEGMENT_BITS, np.uint8)
+        plane = np.zeros(seg_bits, np.uint8)
         for once, twice in zip(group["once"], group["twice"]):
             _add(plane, once)
             _add(plane, twice)
@@ -98,8 +99,8 @@ def repeated_plane(df: DataFrame, key: str, bits: int) -> np.ndarray:
     merged = parts.groupBy("seg").applyInPandas(merge, "seg int, plane binary")
     out = np.zeros(bits // 8, np.uint8)
     for row in merged.toLocalIterator():
-        at = row["seg"] * (SEGMENT_BITS // 8)
-        out[at:at + SEGMENT_BITS // 8] = np.frombuffer(row["plane"], np.uint8)
+        at = row["seg"] * (seg_bits // 8)
+        out[at:at + seg_bits // 8] = np.frombuffer(row["plane"], np.uint8)
     return out
 
 
