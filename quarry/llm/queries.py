@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, packing, warc
+from quarry.llm import exact_dedup, language, packing, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -28,10 +28,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_packing": op8_packing,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE: dict[str, str] = {
