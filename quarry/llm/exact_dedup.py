@@ -20,6 +20,7 @@ from quarry.llm.bloom import filter_bits, may_contain, repeated_plane
 from quarry.llm.common import prepare, stash
 
 MAX_FILTER_BYTES = 64 << 20    # size bound of the broadcast filter
+SALTS = 64                     # parts that a group of equal texts is dealt into for its join
 
 
 def normalised(text: Column) -> Column:
@@ -41,9 +42,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     unique = tested.filter(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), "digest")
-    maybe = tested.filter("maybe").select("doc_id", "digest")
-    groups = maybe.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    shared = maybe.join(groups, "digest").select("doc_id", "keep_id", "group_size", "digest")
+    # A group of copies may hold a third of all rows: its parts are summed first, and the result goes
+    # back to each part, so that no task joins the whole group.
+    maybe = tested.filter("maybe").select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    parts = maybe.groupBy("digest", "salt").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    groups = parts.groupBy("digest").agg(F.min("low").alias("keep_id"), F.sum("n").alias("group_size"))
+    whole = parts.select("digest", "salt").join(groups, "digest")
+    shared = maybe.join(whole, ["digest", "salt"]).select("doc_id", "keep_id", "group_size", "digest")
     return unique.unionAll(shared).select(
         "doc_id", "keep_id", "group_size", F.equal_null("doc_id", "keep_id").alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
