@@ -57,7 +57,17 @@ def _add(plane: np.ndarray, packed: bytes) -> None:
 
 
 def repeated_plane(df: DataFrame, key: str, bits: int) -> np.ndarray:
-    """Packed bitmap (``bits``/8 bytes) of the bits that two rows of ``df`` set.
+    """Packed bitmap (``bits``/8 bytes) of the bits that two rows of ``df`` set."""
+    return _plane(df, key, bits, 2)
+
+
+def member_plane(df: DataFrame, key: str, bits: int) -> np.ndarray:
+    """Packed bitmap of the bits that any row of ``df`` sets: a plain Bloom filter."""
+    return _plane(df, key, bits, 1)
+
+
+def _plane(df: DataFrame, key: str, bits: int, least: int) -> np.ndarray:
+    """Bits that ``least`` rows set.
 
     Tasks emit packed bit planes by segment, one task merges one segment, and
     only the finished plane (size bound: ``max_bytes``) reaches the driver."""
@@ -93,7 +103,7 @@ def repeated_plane(df: DataFrame, key: str, bits: int) -> np.ndarray:
         for once, twice in zip(group["once"], group["twice"]):
             _add(plane, once)
             _add(plane, twice)
-        return pd.DataFrame([(int(group["seg"].iloc[0]), np.packbits(plane == 2).tobytes())], columns=["seg", "plane"])
+        return pd.DataFrame([(int(group["seg"].iloc[0]), np.packbits(plane >= least).tobytes())], columns=["seg", "plane"])
 
     parts = df.select(key).mapInPandas(build, "seg int, once binary, twice binary")
     merged = parts.groupBy("seg").applyInPandas(merge, "seg int, plane binary")

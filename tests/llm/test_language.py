@@ -24,7 +24,7 @@ def corpus():
 
 def test_learns_held_out_and_edge_cases(spark):
     data = corpus()
-    extra = [(9001, None, "aa"), (9002, "", "bb"), (9003, "123 !!", None), (9004, "abc abd " * 40_000, None), (9005, "é", None)]
+    extra = [(9001, None, "aa"), (9002, "", "bb"), (9003, "123 !!", None), (9004, "abc abd " * 40_000, None), (9005, "éüñi ñüé jñé", None)]
     got = {r.doc_id: r for r in language.identify(rows(spark, data + extra)).collect()}
     assert len(got) == len(data) + 5
     for i, _, lang in data:
