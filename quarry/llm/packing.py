@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,9 @@ WINDOW = 4096
 END_ID = 2
 MAX_PIECE = 1024               # longest piece of what does not fill a window alone
 GROUP_WINDOWS = 256            # windows' worth of tokens that one task packs
-CACHE_WORDS = 400_000          # words whose ids a task remembers before it starts anew
+CACHE_WORDS = 1_000_000        # words whose ids a task remembers before it starts anew
 BATCH_WORDS = 20_000           # unknown words encoded at a time
+BATCH_CHARS = 1 << 19          # characters of texts whose words are looked up together
 
 PIECE_SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, uid bigint")
 
@@ -44,15 +47,58 @@ class Encoder:
 
     The tokenizer's pre-tokenizer never joins characters across white space and
     its normaliser works within a word, so the ids of a text are those of its
-    space-separated words in order; a word is encoded once and remembered."""
+    space-separated words in order; a word is encoded once and remembered. A
+    word of plain Latin letters, perhaps with closing punctuation, is one
+    letter run and one punctuation run to the pre-tokenizer: its letters go, in
+    lower case, straight to the merges, many words a call (the mark that ends a
+    word tells their ids apart)."""
+
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+)([.,;:!?%&$#*)]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # one thread per Spark task slot
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {"": b""}
 
     def learn(self, words: list[str]) -> None:
+        plain, other, fresh = [], [], set()
+        match, stems, known = self.PLAIN.fullmatch, self.stems, self.known
+        for word in words:
+            if (m := match(word)) is None:
+                other.append(word)
+                continue
+            stem, tail = m.group(1, 2)
+            stem = stem.lower()
+            plain.append((word, stem, tail))
+            if stem not in stems:
+                fresh.add(stem)
+            if tail not in known:
+                self.slow([tail])
+        if fresh:
+            fresh = list(fresh)
+            ids = np.array(self.merges.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
+            marks = np.flatnonzero(self.closes[ids]) + 1
+            if len(marks) == len(fresh):
+                raw, lo = ids.tobytes(), 0
+                for stem, hi in zip(fresh, (marks * 4).tolist()):
+                    self.stems[stem] = raw[lo:hi]
+                    lo = hi
+            else:                                           # a vocabulary without that mark
+                other += [word for word, _, _ in plain]
+                plain = []
+        known.update([(word, stems[stem] + known[tail]) for word, stem, tail in plain])
+        self.slow(other)
+
+    def slow(self, words: list[str]) -> None:
         for lo in range(0, len(words), BATCH_WORDS):
             some = words[lo:lo + BATCH_WORDS]
             for word, enc in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
@@ -60,15 +106,26 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            new = set(words).difference(self.known)
-            if new:
-                if len(self.known) + len(new) > CACHE_WORDS:
-                    self.known = {"": b""}
-                    new = set(words) - {""}
-                self.learn(list(new))
-            yield b"".join(map(self.known.__getitem__, words))
+        at = 0
+        while at < len(texts):
+            size, lo = 0, at
+            while at < len(texts) and (at == lo or size < BATCH_CHARS):
+                size += len(texts[at])
+                at += 1
+            split = [t.replace("\n", " ").split(" ") for t in texts[lo:at]]
+            new = set().union(*split).difference(self.known)
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known, self.stems = {"": b""}, {"": b""}
+                new = set().union(*split) - {""}
+            self.learn(list(new))
+            for words in split:
+                yield b"".join(map(self.known.__getitem__, words))
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One a worker process: later tasks find the words that earlier ones met."""
+    return Encoder(path)
 
 
 def cut(tokens: int, window: int, max_piece: int) -> list[tuple[int, int]]:
@@ -89,12 +146,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        ids_of = encoder(tokenizer_path)
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
-            texts = (t or "" for t in batch.column(1).to_pylist())
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), ids_of.encode(texts)):
                 ids += end
                 total = len(ids) // 4
                 for start, length in cut(total, window, max_piece):
