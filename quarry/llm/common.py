@@ -148,10 +148,10 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return words
     weights = mix64(np.arange(1, k + 1, dtype=np.uint64) * _POW_BASE) | np.uint64(1)
     if n < k:
-        total = np.uint64(n)
+        total = np.array([n], np.uint64)
         for j in range(n):
-            total = total + words[j] * weights[j]
-        return mix64(np.array([total], np.uint64))
+            total = total + words[j:j + 1] * weights[j:j + 1]
+        return mix64(total)
     out = words[:n - k + 1] * weights[0]
     for j in range(1, k):
         out = out + words[j:n - k + 1 + j] * weights[j]
