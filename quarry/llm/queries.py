@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, exact_dedup, language, near_dedup, packing, secrets, toxicity, warc
+from quarry.llm import decontaminate, exact_dedup, language, near_dedup, packing, secrets, site_tree, toxicity, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, QueryFn] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_site_tree": op4_site_tree,
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_packing": op8_packing,
