@@ -114,14 +114,18 @@ def _plane(df: DataFrame, key: str, bits: int, least: int) -> np.ndarray:
     return out
 
 
+def in_plane(keys: np.ndarray, plane: np.ndarray, bits: int) -> np.ndarray:
+    """Which keys have every bit set in ``plane``."""
+    pos = bit_positions(keys, bits)
+    return ((plane[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
 def may_contain(df: DataFrame, key: str, plane: np.ndarray, bits: int) -> Column:
     """Boolean column: every bit of the key is set in ``plane`` (broadcast once)."""
     shared = df.sparkSession.sparkContext.broadcast(plane)
 
     @pandas_udf("boolean")
     def test(keys: pd.Series) -> pd.Series:
-        pos = bit_positions(keys.to_numpy(), bits)
-        hit = (shared.value[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1
-        return pd.Series(hit.all(axis=1))
+        return pd.Series(in_plane(keys.to_numpy(), shared.value, bits))
 
     return test(F.col(key))

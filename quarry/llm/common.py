@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.session import ensure_checkpoint_dir, scratch_path, ship_package
 
-CHUNK_BYTES = 1 << 20          # text bytes hashed at a time (a longer single text is one chunk)
+CHUNK_BYTES = 1 << 18          # text bytes hashed at a time (a longer single text is one chunk)
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

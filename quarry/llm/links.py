@@ -19,6 +19,13 @@ def with_minimum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     return df.join(whole, [key, "_salt"]).drop("_salt")
 
 
+def minima(edges: DataFrame, name: str) -> DataFrame:
+    """(u, low): least neighbour of every u. Written out, so that the join with the
+    edges has a plain shuffle on either side (a hot node is then split as a skewed
+    join) or a broadcast where Spark finds the table small enough."""
+    return stash(edges.groupBy("u").agg(F.min("v").alias("low")), name)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): component is the least
     node reachable. Alternates large-star and small-star steps until nothing moves;
@@ -28,12 +35,11 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (with_minimum(both, "u", "v", "low").withColumn("low", F.least("low", "u"))
-                 .filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
-        small = with_minimum(large, "u", "v", "low")
-        edges = stash(small.select("u", F.col("low").alias("v"))
-                      .unionAll(small.filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))).distinct(),
-                      "links")
+        large = (both.join(minima(both, "links-low"), "u").filter("v > u")
+                 .select(F.col("v").alias("u"), F.least("low", "u").alias("v")))
+        small = large.join(minima(large, "links-low"), "u")
+        stars = F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))
+        edges = stash(small.select(F.explode(stars).alias("e")).select("e.*").filter("u <> v").distinct(), "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == mark:
             break

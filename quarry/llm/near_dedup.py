@@ -32,13 +32,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.bloom import filter_bits, may_contain, member_plane
+from quarry.llm.bloom import filter_bits, in_plane, member_plane
 from quarry.llm.common import Words, chunks, mix64, prepare, separators, shingle_hashes, stash, text_buffers
 from quarry.llm.links import components, with_minimum
 
 PERMUTATIONS = 128
 TREES = 48
-DEPTHS = (6, 8, 10, 12)        # prefix lengths that a region can take
+DEPTHS = (6, 9, 12)            # prefix lengths that a region can take
 REGION = 32                    # members of a region whose pairs are all candidates
 SKETCH_MARGIN = 20             # bits below the expected agreement of a pair at the threshold (6 sigma)
 MAX_FILTER_BYTES = 64 << 20
@@ -144,33 +144,27 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
         return pairs
     bits = filter_bits(count, MAX_FILTER_BYTES)
     plane = member_plane(ids, "id", bits)
-    picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    picked = picked.filter(may_contain(picked, "id", plane, bits))
+    shared = docs.sparkSession.sparkContext.broadcast(plane)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sep = separators()
         for batch in batches:
+            batch = batch.filter(pa.array(in_plane(batch.column(0).to_numpy(zero_copy_only=False), shared.value, bits)))
             raw, offsets = text_buffers(batch.column(1))
             for lo, hi in chunks(offsets):
                 sets = shingle_sets(raw, offsets[lo:hi + 1], k, sep)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+                ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+                values = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(ends, values)],
+                                                 names=["id", "set"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sets = stash(picked.mapInArrow(make, "id bigint, set binary"), "near-sets")
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    sets = stash(own.mapInArrow(make, "id bigint, set array<bigint>"), "near-sets")
     wide = (pairs.join(sets.withColumnRenamed("id", "a").withColumnRenamed("set", "set_a"), "a")
             .join(sets.withColumnRenamed("id", "b").withColumnRenamed("set", "set_b"), "b"))
-    return stash(wide.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a bigint, b bigint"), "near-links")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    linked = 100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)
+    return stash(wide.filter(linked).select("a", "b"), "near-links")
 
 
 def deepened(members: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
@@ -215,23 +209,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     star = members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
     links = confirmed(sketch_passes(star, reps, percent), docs, shingle_words, percent, id_col, text_col)
 
-    salt = 0
+    groups, salt = stash(components(links), "near-groups"), 0
     while True:
-        groups = stash(components(links), "near-groups")
         own = (members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                .withColumn("component", F.coalesce("component", "doc_id")))
         mixed = stash(own.groupBy(key).agg(F.min("component").alias("x"), F.max("component").alias("y"))
                       .filter("x <> y").select(key), "near-mixed")
+        if mixed.isEmpty():
+            break
         open_ = stash(own.join(mixed, key).select("doc_id", key, "component"), "near-open")
         deep = tree_keys(reps.join(open_.select("doc_id").distinct(), "doc_id"), DEPTHS)
         done, crowded = deepened(stash(open_.join(deep, ["doc_id", key]), "near-deep"), salt)
         tests = cross_pairs(crowded if salt else done.unionAll(crowded))
         new = confirmed(sketch_passes(tests, reps, percent), docs, shingle_words, percent, id_col, text_col)
-        grown = new.count()
-        if grown:
-            links = links.unionAll(new)
-            groups = stash(components(links), "near-groups")
-        if not grown or crowded.isEmpty():
+        if new.isEmpty():
+            break
+        links = links.unionAll(new)
+        groups = stash(components(links), "near-groups")
+        if crowded.isEmpty():
             break
         salt += 1
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, exact_dedup, language, near_dedup, packing, secrets, site_tree, toxicity, warc
+from quarry.llm import decontaminate, exact_dedup, language, near_dedup, packing, secrets, site_tree, substring_dedup, toxicity, warc
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.span_report(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -59,6 +63,7 @@ QUERIES: dict[str, QueryFn] = {
     "op4_site_tree": op4_site_tree,
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_secrets": op10_secrets,
