@@ -30,8 +30,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from quarry.llm.common import Words, chunks, mix64, prepare, separators, shingle_hashes, stash, text_buffers
 
@@ -261,7 +263,23 @@ def leak_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
                      ",").alias("spans"))
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT, text_col: str = "text",
+          item_id: str = "item_id", item_text: str = "text", limit: int = MAX_ITEM_WORDS) -> DataFrame:
     """Rows of ``docs`` without a leak, all columns as they were."""
-    bad = leaks(docs, items, id_col=id_col, **options).filter(F.size("leaks") > 0).select(F.col("doc_id").alias("_leaked"))
-    return docs.join(bad, F.col(id_col) == F.col("_leaked"), "left_anti")
+    prepare(docs.sparkSession)
+    for i, portion in enumerate(passes(items, item_id, item_text, limit)):
+        shared = docs.sparkSession.sparkContext.broadcast((portion, percent))
+
+        @pandas_udf("boolean")
+        def leaks_nothing(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
+            index, sep = Index(*shared.value), separators(white_only=False)
+            for texts in batches:
+                raw, offsets = text_buffers(pa.array(texts, pa.string(), from_pandas=True))
+                ok = np.ones(len(texts), bool)
+                for lo, hi in chunks(offsets):
+                    for d in index.leaks(Words(raw, offsets[lo:hi + 1], sep, fold_latin=True), hi - lo):
+                        ok[lo + d] = False
+                yield pd.Series(ok)
+
+        docs = (docs if i == 0 else stash(docs, "clean")).filter(leaks_nothing(F.col(text_col)))
+    return docs

@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from quarry.llm.common import prepare
 from quarry.llm.letters import gram_codes, letter_runs, text_chunks
@@ -122,39 +123,55 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return [lang for lang, _ in rows], np.stack([v / np.linalg.norm(v) for _, v in rows]).astype(np.float32)
 
 
+def classify(texts: list, langs: list[str], protos: np.ndarray, order: int, space: Space) -> tuple[np.ndarray, np.ndarray]:
+    """Language and cosine of every text."""
+    lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+    for lo, hi in text_chunks(texts) if langs else ():
+        sym, doc, has = letter_runs(texts[lo:hi])
+        codes, of = gram_codes(sym, doc, order, SYMBOL_BITS)
+        if not len(codes):
+            continue
+        at, each = pd.factorize(codes)
+        vectors = np.zeros((hi - lo, protos.shape[1]), np.float32)
+        for a in range(0, len(each), 2048):                      # bounded blocks of n-gram vectors
+            own = (at >= a) & (at < a + 2048)
+            width = min(2048, len(each) - a)
+            n = np.bincount(of[own] * width + at[own] - a, minlength=(hi - lo) * width)
+            vectors += n.reshape(hi - lo, width).astype(np.float32) @ space.bind(each[a:a + width], order)
+        length = np.linalg.norm(vectors, axis=1)
+        cosine = vectors @ protos.T / np.maximum(length, 1e-9)[:, None]
+        best = cosine.argmax(axis=1)
+        lang[lo:hi] = np.where(has, np.array(langs, object)[best], "und")
+        score[lo:hi] = np.where(has, np.clip(cosine.max(axis=1), 0, 1), 0)
+    return lang, score
+
+
+def predicted(docs: DataFrame, langs: list[str], protos: np.ndarray, text_col: str = "text", order: int = ORDER) -> Column:
+    """Column struct<lang_pred, score> of every row of ``docs``."""
+    model = docs.sparkSession.sparkContext.broadcast(protos)
+
+    @pandas_udf("lang_pred string, score double")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        lang, score = classify(texts.tolist(), langs, model.value, order, Space(model.value.shape[1]))
+        return pd.DataFrame({"lang_pred": lang, "score": score})
+
+    return found(F.col(text_col))
+
+
 def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
             order: int = ORDER) -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
-    model = docs.sparkSession.sparkContext.broadcast(protos)
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return own.select("doc_id", predicted(own, langs, protos, "text", order).alias("found")).select("doc_id", "found.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        protos = model.value
-        space = Space(protos.shape[1])
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lang, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            for lo, hi in text_chunks(texts) if langs else ():
-                sym, doc, has = letter_runs(texts[lo:hi])
-                codes, of = gram_codes(sym, doc, order, SYMBOL_BITS)
-                if not len(codes):
-                    continue
-                at, each = pd.factorize(codes)
-                vectors = np.zeros((hi - lo, protos.shape[1]), np.float32)
-                for a in range(0, len(each), 2048):                      # bounded blocks of n-gram vectors
-                    own = (at >= a) & (at < a + 2048)
-                    width = min(2048, len(each) - a)
-                    n = np.bincount(of[own] * width + at[own] - a, minlength=(hi - lo) * width)
-                    vectors += n.reshape(hi - lo, width).astype(np.float32) @ space.bind(each[a:a + width], order)
-                length = np.linalg.norm(vectors, axis=1)
-                cosine = vectors @ protos.T / np.maximum(length, 1e-9)[:, None]
-                best = cosine.argmax(axis=1)
-                lang[lo:hi] = np.where(has, np.array(langs, object)[best], "und")
-                score[lo:hi] = np.where(has, np.clip(cosine.max(axis=1), 0, 1), 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)],
-                                             names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(
-        run, "doc_id bigint, lang_pred string, score double")
+
+def accepted(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+             dim: int = DIM, order: int = ORDER) -> DataFrame:
+    """Rows of ``docs`` whose language is known with a cosine of at least ``least``, columns as they were."""
+    prepare(docs.sparkSession)
+    langs, protos = prototypes(docs.filter(fold(F.col(id_col)) != 2), text_col, lang_col, dim, order)
+    verdict = docs.withColumn("_found", predicted(docs, langs, protos, text_col, order))
+    return verdict.filter((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least)).select(*docs.columns)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

@@ -34,6 +34,7 @@ from quarry.llm.common import Words, chunks, mix64, prepare, separators, stash,
 
 UNIT_WORDS = 8                 # least words of a unit (but for a text's last)
 CUT = 6                        # beyond that, one word in CUT begins a new unit
+LONGEST = 64                   # words after which a unit ends without a mark
 CONTEXT = 16                   # words compared on either side of a marked unit
 MIN_WORDS = 40                 # least words of a removed stretch
 MAX_FILTER_BYTES = 64 << 20
@@ -68,8 +69,11 @@ class Units:
                 continue
             starts.append(lo)
             least = lo + UNIT_WORDS
-            for i in marks[np.searchsorted(marks, least):np.searchsorted(marks, hi)].tolist():
-                if i >= least:
+            for i in [*marks[np.searchsorted(marks, least):np.searchsorted(marks, hi)].tolist(), hi]:
+                while i - starts[-1] > LONGEST:               # no mark for long, as in a word said over and over
+                    starts.append(starts[-1] + LONGEST)
+                    least = starts[-1] + UNIT_WORDS
+                if least <= i < hi:
                     starts.append(i)
                     least = i + UNIT_WORDS
         self.first = np.array(starts)

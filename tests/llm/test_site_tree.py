@@ -50,8 +50,8 @@ def site(n, host="h.example"):
     rows = []
     for i in range(n):
         body = " ".join(f"unique{i}x{j}" for j in range(30))
-        rows.append((i, f"http://{host}/{i}", f"<html><body><div class=q1><p>Welcome to our lovely place</p></div>"
-                     f"<div class=q2><h2>Story {i}</h2><p>{body}</p></div><div class=q3><span>All the rest of it here</span></div>"))
+        rows.append((i, f"http://{host}/{i}", f"<html><body><div class=qa><p>Welcome to our lovely place</p></div>"
+                     f"<div class=qb><h2>Story {i}</h2><p>{body}</p></div><div class=qc><span>All the rest of it here</span></div>"))
     return rows
 
 
@@ -60,7 +60,7 @@ def want(i):
 
 
 def test_template_branches_go_by_entropy(spark):
-    rows = site(12) + [(100 + i, f"http://tiny{i}.example/", "<div class=q1><p>Welcome to our lovely place</p></div><p>own</p>")
+    rows = site(12) + [(100 + i, f"http://tiny{i}.example/", "<div class=qa><p>Welcome to our lovely place</p></div><p>own</p>")
                        for i in range(3)]
     got = {r.page_id: r for r in site_tree.extract(pages(spark, rows)).collect()}
     for i in range(12):
