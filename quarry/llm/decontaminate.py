@@ -269,17 +269,22 @@ def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT, text_col: s
     prepare(docs.sparkSession)
     for i, portion in enumerate(passes(items, item_id, item_text, limit)):
         shared = docs.sparkSession.sparkContext.broadcast((portion, percent))
+        docs = (docs if i == 0 else stash(docs, "clean")).filter(leaks_nothing(shared)(F.col(text_col)))
+    return docs
 
-        @pandas_udf("boolean")
-        def leaks_nothing(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            index, sep = Index(*shared.value), separators(white_only=False)
-            for texts in batches:
-                raw, offsets = text_buffers(pa.array(texts, pa.string(), from_pandas=True))
-                ok = np.ones(len(texts), bool)
-                for lo, hi in chunks(offsets):
-                    for d in index.leaks(Words(raw, offsets[lo:hi + 1], sep, fold_latin=True), hi - lo):
-                        ok[lo + d] = False
-                yield pd.Series(ok)
 
-        docs = (docs if i == 0 else stash(docs, "clean")).filter(leaks_nothing(F.col(text_col)))
-    return docs
+def leaks_nothing(shared):
+    """Pandas UDF: the text holds none of the items of the broadcast."""
+
+    @pandas_udf("boolean")
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index, sep = Index(*shared.value), separators(white_only=False)
+        for texts in batches:
+            raw, offsets = text_buffers(pa.array(texts, pa.string(), from_pandas=True))
+            ok = np.ones(len(texts), bool)
+            for lo, hi in chunks(offsets):
+                for d in index.leaks(Words(raw, offsets[lo:hi + 1], sep, fold_latin=True), hi - lo):
+                    ok[lo + d] = False
+            yield pd.Series(ok)
+
+    return test

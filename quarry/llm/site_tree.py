@@ -338,7 +338,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     base = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).alias("html"))
     if low.count() <= MAX_BROADCAST_NODES:
-        shared = spark.sparkContext.broadcast(np.array([r[0] for r in low.toLocalIterator()], np.int64))
+        shared = spark.sparkContext.broadcast(low.toArrow().column(0).to_numpy())
         found = base.mapInArrow(reader(lambda _: shared), TEXT_SCHEMA)
     else:
         found = joined(base, low)
