@@ -249,6 +249,25 @@ def top_n_products(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFram
                                        "article_id", "total_revenue")))
 
 
+@register("top_n_by_quantity", T.with_views(
+    "WITH p AS (SELECT article_id, CAST(SUM(quantity_sold) AS BIGINT) AS units_sold FROM fact_sales GROUP BY article_id), "
+    "r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY units_sold DESC NULLS LAST, article_id) AS rt, "
+    "ROW_NUMBER() OVER (ORDER BY units_sold ASC NULLS LAST, article_id) AS rb FROM p) "
+    f"SELECT 'top' AS side, CAST(rt AS INTEGER) AS rank, article_id, units_sold FROM r WHERE rt <= {TOP_K} "
+    f"UNION ALL SELECT 'bottom', CAST(rb AS INTEGER), article_id, units_sold FROM r WHERE rb <= {TOP_K}",
+    "fact_sales"))
+def top_n_by_quantity(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
+    """Top and bottom k products by units sold; ranks are given to those k rows only."""
+    p = (T.fact_sales(spark, sf_dir, ["article_id", "quantity_sold"]).groupBy("article_id")
+         .agg(F.sum("quantity_sold").alias("units_sold")))
+    sides = []
+    for side, order in (("top", F.desc_nulls_last("units_sold")), ("bottom", F.asc_nulls_last("units_sold"))):
+        best = p.orderBy(order, F.asc("article_id")).limit(k)
+        rank = F.row_number().over(Window.orderBy(order, F.asc("article_id")))
+        sides.append(best.select(F.lit(side).alias("side"), rank.alias("rank"), "article_id", "units_sold"))
+    return sides[0].unionByName(sides[1])
+
+
 @register("top_n_per_category", T.with_views(
     "WITH p AS (SELECT da.article_category, fs.article_id, CAST(SUM(fs.total_price) AS DECIMAL(38,2)) AS total_revenue "
     "FROM fact_sales fs JOIN dim_article da ON fs.article_id = da.article_id "

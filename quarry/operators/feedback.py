@@ -16,8 +16,6 @@ from quarry.functions import text as X
 from quarry.plans.registry import TOP_K, register
 from quarry.sources import tables as T
 
-MIN_THEME_TOKEN = 3
-
 
 def satisfaction(comments: DataFrame) -> DataFrame:
     return comments.groupBy("article_id").agg(
@@ -30,14 +28,13 @@ def satisfaction(comments: DataFrame) -> DataFrame:
     "SELECT article_id, CAST(COUNT(*) AS BIGINT) AS comments, CAST(COUNT(satisfaction) AS BIGINT) AS rated, "
     "ROUND(AVG(CAST(satisfaction AS DOUBLE)), 6) AS satisfaction FROM comments GROUP BY article_id", "comments"))
 def satisfaction_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return satisfaction(T.comments(spark, sf_dir))
+    return satisfaction(T.comments(spark, sf_dir, ("article_id", "satisfaction")))
 
 
 def themes(comments: DataFrame, group_col: str, k: int = TOP_K) -> DataFrame:
-    """Top-k terms per group by number of comments using them (stop words and
-    tokens shorter than 3 characters dropped; ties by term)."""
-    toks = F.filter(F.array_distinct(X.tokens("comment_text")),
-                    lambda t: (F.length(t) >= MIN_THEME_TOKEN) & ~t.isin(*X.STOP_WORDS))
+    """Top-k terms per group by number of comments using them (stop words
+    dropped; ties by term)."""
+    toks = F.filter(F.array_distinct(X.tokens("comment_text")), lambda t: ~t.isin(*X.STOP_WORDS))
     terms = comments.select(group_col, F.explode(toks).alias("term"))
     counts = terms.groupBy(group_col, "term").agg(F.count(F.lit(1)).alias("comments"))
     w = Window.partitionBy(group_col).orderBy(F.desc("comments"), F.asc("term"))
@@ -53,13 +50,13 @@ def _stop_list_sql() -> str:
     "FROM comments cm JOIN dim_article da ON cm.article_id = da.article_id), "
     "t AS (SELECT article_category, unnest(tok) AS term FROM c), "
     f"n AS (SELECT article_category, term, CAST(COUNT(*) AS BIGINT) AS comments FROM t "
-    f"WHERE length(term) >= {MIN_THEME_TOKEN} AND term NOT IN ({_stop_list_sql()}) GROUP BY 1, 2), "
+    f"WHERE term NOT IN ({_stop_list_sql()}) GROUP BY 1, 2), "
     "r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY article_category ORDER BY comments DESC, term) AS rank FROM n) "
     f"SELECT article_category, term, comments, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {TOP_K}",
     "comments", "dim_article"))
 def themes_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recurring terms in the feedback of each product category."""
-    c = T.comments(spark, sf_dir)
+    c = T.comments(spark, sf_dir, ("article_id", "comment_text"))
     art = T.dim_article(spark, sf_dir).select("article_id", "article_category")
     return themes(c.join(art, "article_id"), "article_category")
 
@@ -74,7 +71,7 @@ def themes_by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     "LEFT JOIN s ON da.article_id = s.article_id", "comments", "fact_sales", "dim_article"))
 def feedback_vs_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per product: comment count, mean satisfaction, revenue and returns."""
-    f = satisfaction(T.comments(spark, sf_dir)).select("article_id", "comments", "satisfaction")
+    f = satisfaction(T.comments(spark, sf_dir, ("article_id", "satisfaction"))).select("article_id", "comments", "satisfaction")
     s = (T.fact_sales(spark, sf_dir, ["article_id", "total_price", "is_return"])
          .groupBy("article_id")
          .agg(F.sum("total_price").cast(T.SUM_MONEY).alias("total_revenue"),

@@ -189,11 +189,13 @@ def _grants_sql() -> str:
 
 
 @register("entitled_counts_by_role", T.with_views(
-    f"WITH grants AS ({_grants_sql()}) "
-    "SELECT g.role, da.article_category, CAST(COUNT(*) AS BIGINT) AS sale_rows, "
+    f"WITH grants AS ({_grants_sql()}), "
+    "v AS (SELECT g.role, da.article_category, CAST(COUNT(*) AS BIGINT) AS sale_rows, "
     "CAST(SUM(fs.total_price) AS DECIMAL(38,2)) AS total_revenue "
     "FROM fact_sales fs JOIN dim_article da ON fs.article_id = da.article_id "
-    "JOIN grants g ON g.article_category = da.article_category GROUP BY 1, 2",
+    "JOIN grants g ON g.article_category = da.article_category GROUP BY 1, 2) "
+    "SELECT * FROM v UNION ALL "
+    f"SELECT '{ROLE_OTHER}', article_category, 0, CAST(0 AS DECIMAL(38,2)) FROM v WHERE role = '{ADMIN_ROLES[0]}'",
     "fact_sales", "dim_article"))
 def entitled_counts_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible rows per role and category for every role, in one job.
@@ -212,6 +214,10 @@ def entitled_counts_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     admin = (per_category.select("article_category")
              .select(F.explode(F.array(*[F.lit(r) for r in ADMIN_ROLES])).alias("role"), "article_category"))
     grants = entitlements(spark).unionByName(admin)
-    return (per_category.join(grants, "article_category")
-            .select("role", "article_category", "sale_rows", "total_revenue")
+    granted = (per_category.join(grants, "article_category")
+               .select("role", "article_category", "sale_rows", "total_revenue"))
+    # A role without any grant sees no sale of any category the data has.
+    denied = per_category.select(F.lit(ROLE_OTHER).alias("role"), "article_category", F.lit(0).cast("bigint").alias("sale_rows"),
+                                 F.lit(0).cast("decimal(38,2)").alias("total_revenue"))
+    return (granted.unionByName(denied)
             .orderBy("role", "article_category"))

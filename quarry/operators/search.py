@@ -37,7 +37,8 @@ from quarry.sources import tables as T
 BM25_K1 = 1.2
 BM25_B = 0.75
 RRF_K = 60
-FUSION_DEPTH = 10
+# Second ranked field of a document: its heading line.
+TITLE_SQL = "split_part(text, chr(10), 1)"
 # Largest query batch (query-term rows) shipped to tasks as a broadcast.
 MAX_BROADCAST_QUERY_TERMS = 2_000_000
 # Largest number of query vectors inlined per scoring pass.
@@ -71,14 +72,11 @@ class TextIndex:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder, computing the
-    rows once: a checkpoint re-runs its input to write the files unless the
-    input is persisted, so it is persisted for the duration of the write."""
-    from pyspark import StorageLevel
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    done = held.checkpoint(eager=True)
-    held.unpersist()
-    return done
+    """Write the rows once to the shared checkpoint folder and read them back."""
+    from quarry.session import scratch_path
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 SCRATCH_DB = "quarry_scratch"
@@ -131,8 +129,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, attributes=(),
     """
     spark = docs.sparkSession
     n = partitions or spark.sparkContext.defaultParallelism
-    # Raw rows are partitioned by id (collapses with an earlier spread of the
-    # same table); tokens are made after the shuffle, never shuffled.
+    # Raw rows are partitioned by id; tokens are made after the shuffle, never shuffled.
     tok = (docs.repartition(n, id_col)
            .select(F.col(id_col).alias("doc_id"), X.tokens(text_col).alias("tok"), *attributes)
            .withColumn("dl", F.size("tok")))
@@ -156,7 +153,8 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
                           F.explode(F.array_distinct(X.tokens(text_col))).alias("term"))
 
 
-def _bm25_pass(index: TextIndex, qterms: DataFrame, k: int, doc_filter: Column | None) -> DataFrame:
+def _bm25_scores(index: TextIndex, qterms: DataFrame, doc_filter: Column | None = None) -> DataFrame:
+    """``(query_id, doc_id, score)`` of every document that holds a query term."""
     n_docs, avgdl = F.lit(index.n_docs), F.lit(index.avgdl)
     # Term weights: the (small, broadcast) query terms looked up in the lexicon.
     df = F.col("df").cast("double")
@@ -169,10 +167,16 @@ def _bm25_pass(index: TextIndex, qterms: DataFrame, k: int, doc_filter: Column |
     part = F.col("idf") * tf * F.lit(BM25_K1 + 1.0) / norm
     scored = (post.join(F.broadcast(weights), "term")
               .groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw")))
+    return scored.select("query_id", "doc_id", F.round("raw", 6).alias("score"))
+
+
+def _best(scores: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return (scored.select("query_id", "doc_id", F.round("raw", 6).alias("score"))
-            .withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _bm25_pass(index: TextIndex, qterms: DataFrame, k: int, doc_filter: Column | None) -> DataFrame:
+    return _best(_bm25_scores(index, qterms, doc_filter), k)
 
 
 @dataclass
@@ -288,26 +292,61 @@ def search_results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results_json(hits, T.read(spark, sf_dir, "documents"))
 
 
-# Second ranked field for fusion: the first 500 characters (classification input).
-SUMMARY_CHARS = 500
+def exact_ranks(scores: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, rank)`` in the full ranking of ``scores``, for the rows of
+    ``asked`` (query_id, doc_id) that the ranking holds.
+
+    A rank is one plus the number of better rows. Every scored row falls into a
+    bucket, the number of asked rows of its query that are better than it; the
+    buckets are counted with a partial aggregate, so no scored row is shuffled
+    or sorted, and running sums over a query's few buckets are the ranks.
+    """
+    better = F.struct((-F.col("score")).alias("s"), F.col("doc_id").alias("d"))
+    own = scores.join(asked, ["query_id", "doc_id"]).select("query_id", "doc_id", better.alias("key"))
+    marks = own.groupBy("query_id").agg(F.array_sort(F.collect_list("key")).alias("marks"))
+    counts = (scores.join(marks, "query_id")
+              .select("query_id", F.size(F.filter("marks", lambda m: m < better)).alias("bucket"), "marks")
+              .groupBy("query_id", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    w = Window.partitionBy("query_id").orderBy("bucket")
+    sums = counts.select("query_id", "bucket", F.sum("n").over(w).alias("rank"))
+    places = marks.select("query_id", F.posexplode("marks").alias("bucket", "key"))
+    return places.join(sums, ["query_id", "bucket"]).select("query_id", F.col("key.d").alias("doc_id"), "rank")
+
+
+def fuse(rankings: list[DataFrame], k: int) -> DataFrame:
+    """Reciprocal rank fusion of full-depth rankings, each given as all its scores
+    ``(query_id, doc_id, score)``.
+
+    With constant c, a document outside the best ``c + 2k`` of both rankings scores
+    at most 2 / (2c + 2k + 1), less than the k-th document of one ranking alone
+    (1 / (c + k)). So candidates from that depth are enough, and each gets its
+    exact rank in every ranking."""
+    depth = RRF_K + 2 * k
+    tops = [_best(r, depth).select("query_id", "doc_id") for r in rankings]
+    asked = tops[0]
+    for t in tops[1:]:
+        asked = asked.unionByName(t)
+    asked = materialize(asked.distinct())
+    return rrf([exact_ranks(r, asked) for r in rankings], k)
+
+
+def _ranked_sql(name: str, text_expr: str) -> str:
+    return f"{name} AS (SELECT * FROM ({sql_bm25(text_expr, 2**31 - 1)}))"
 
 
 @register("search_fused",
-          f"WITH a AS ({sql_bm25('text', FUSION_DEPTH)}), "
-          f"b AS ({sql_bm25(f'left(text, {SUMMARY_CHARS})', FUSION_DEPTH)}), "
+          f"WITH {_ranked_sql('a', 'text')}, {_ranked_sql('b', TITLE_SQL)}, "
           f"u AS (SELECT query_id, doc_id, 1.0 / ({RRF_K} + rank) AS c FROM a UNION ALL "
           f"SELECT query_id, doc_id, 1.0 / ({RRF_K} + rank) FROM b), "
           "f AS (SELECT query_id, doc_id, ROUND(SUM(c), 6) AS rrf FROM u GROUP BY 1, 2), "
           "r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM f) "
           f"SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, rrf FROM r WHERE rank <= {TOP_K}")
 def search_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = query_batch(_benchmark(spark, sf_dir), "item_id", "text")
-    a = bm25_search(_documents_index(spark, sf_dir), q, k=FUSION_DEPTH)
-    # The 500-character field is cheap to tokenise again; its postings keep
-    # their doc_id partitioning without being written.
-    b = bm25_search(_documents_index(spark, sf_dir, F.left(F.col("text"), F.lit(SUMMARY_CHARS)), materialize=False),
-                    q, k=FUSION_DEPTH)
-    return rrf([a, b], TOP_K)
+    """Fusion of two fields of a document: its whole text, and its heading (first line)."""
+    terms = query_terms(_benchmark(spark, sf_dir), "item_id", "text")
+    body = _documents_index(spark, sf_dir)
+    heading = _documents_index(spark, sf_dir, F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), materialize=False)
+    return fuse([materialize(_bm25_scores(i, terms)) for i in (body, heading)], TOP_K)
 
 
 def rrf(rankings: list[DataFrame], k: int) -> DataFrame:

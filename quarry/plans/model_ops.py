@@ -21,8 +21,6 @@ from quarry.sources import tables as T
 
 # --- M7 synonyms ----------------------------------------------------------------
 
-MAX_NGRAM = 3
-
 
 def synonym_rows(model: SemanticModel = SALES_MODEL) -> list[tuple[str, str, str, int]]:
     """(phrase, kind, target, priority). Priority (D11): metric 0, dimension of
@@ -43,7 +41,12 @@ def synonym_rows(model: SemanticModel = SALES_MODEL) -> list[tuple[str, str, str
     return rows
 
 
-def ngrams(tok, n_max: int = MAX_NGRAM):
+def longest_phrase(model: SemanticModel = SALES_MODEL) -> int:
+    """Words of the model's longest name or synonym."""
+    return max(len(phrase.split()) for phrase, *_ in synonym_rows(model))
+
+
+def ngrams(tok, n_max: int):
     """All 1..n_max-grams of a token array, as space-joined strings."""
     def gram_at(n: int):
         # one-argument lambda: a two-argument one is read as (element, index)
@@ -67,7 +70,7 @@ def resolve_synonyms(spark: SparkSession, texts: DataFrame, text_col: str,
             .agg(F.min_by(F.struct("kind", "target"), F.struct("priority", "target")).alias("t"))
             .select("word", "t.kind", "t.target"))
     tok = X.tokens(text_col)
-    phrases = texts.select(F.explode(F.array_distinct(ngrams(tok))).alias("word"))
+    phrases = texts.select(F.explode(F.array_distinct(ngrams(tok, longest_phrase(model)))).alias("word"))
     hits = phrases.join(F.broadcast(best), "word")
     return hits.groupBy("word", "kind", "target").agg(F.count(F.lit(1)).alias("occurrences"))
 
@@ -77,7 +80,7 @@ def _sql_synonyms(model: SemanticModel = SALES_MODEL) -> str:
     tok = X.sql_tokens("text")
     grams = " || ".join(
         f"list_transform(range(0, len(tok) - {n} + 1), lambda i: array_to_string(tok[i + 1:i + {n}], ' '))"
-        for n in range(1, MAX_NGRAM + 1))
+        for n in range(1, longest_phrase(model) + 1))
     return (
         f"WITH syn AS (SELECT * FROM (VALUES {vals}) AS s(word, kind, target, priority)), "
         "best AS (SELECT word, arg_min(kind, (priority, target)) AS kind, arg_min(target, (priority, target)) AS target "
@@ -91,8 +94,7 @@ def _sql_synonyms(model: SemanticModel = SALES_MODEL) -> str:
 @register("synonym_resolution", _sql_synonyms())
 def synonym_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Business words in the user turns of ``conversations`` mapped to the model."""
-    conv = T.spread_table(T.read(spark, sf_dir, "conversations", spread_rows=False)
-                          .filter(F.col("role") == "user"), "conversations")
+    conv = T.read(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     return resolve_synonyms(spark, conv, "text")
 
 
@@ -147,46 +149,31 @@ PROFILE_TABLES = {
 }
 
 
-def _sort_key(df: DataFrame, c: str) -> Column:
-    """An order-preserving key for min/max of any profiled type:
-    ``struct(number, text)`` — numbers, dates and booleans in the first
-    field, strings in the second."""
-    t = df.schema[c].dataType.simpleString()
-    col = F.col(c)
-    if t == "date":
-        num = F.unix_date(col).cast("double")
-    elif t == "boolean":
-        num = col.cast("int").cast("double")
-    elif t == "string":
-        return F.struct(F.lit(None).cast("double").alias("n"), col.alias("s"))
-    else:
-        num = col.cast("double")
-    return F.struct(num.alias("n"), F.lit(None).cast("string").alias("s"))
-
-
-def profile_table(df: DataFrame, table: str, columns) -> DataFrame:
+def profile_table(df: DataFrame, table: str, columns, exact_distinct: bool = True) -> DataFrame:
     """Per column: nulls, distinct non-null values, min, max (as text).
 
-    One pass: every row is stacked into ``(column, value text, sort key)``
-    with ``explode`` and reduced by one partial + final aggregate to
-    distinct values with their counts; nulls, distinct count and min/max
-    (``min_by``/``max_by`` on the typed key) then come from that small
-    result. No COUNT(DISTINCT) fan-out per column, one scan of the table.
+    Nulls, min and max come from one aggregate in the columns' own types (a
+    bigint keeps all its digits). Distinct values are counted exactly, from
+    ``(column, value)`` rows that a partial aggregate collapses before the
+    shuffle, or by the HyperLogLog++ sketch inside that same single aggregate.
     """
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"),
-                 _sort_key(df, c).alias("key")) for c in columns])).alias("s")).select("s.*")
-    # key depends on value alone; grouping by it keeps the aggregate a plain
-    # count (fixed-width hash aggregate) instead of a first() over a struct.
-    values = stacked.groupBy("column_name", "value", "key").agg(F.count(F.lit(1)).alias("n"))
-    nn = F.col("value").isNotNull()
-    return (values.groupBy("column_name")
-            .agg(F.coalesce(F.sum(F.when(~nn, F.col("n"))), F.lit(0)).cast("bigint").alias("nulls"),
-                 F.count_if(nn).alias("distinct_values"),
-                 F.min_by(F.when(nn, F.col("value")), F.when(nn, F.col("key"))).alias("min_value"),
-                 F.max_by(F.when(nn, F.col("value")), F.when(nn, F.col("key"))).alias("max_value"))
-            .select(F.lit(table).alias("table_name"), "column_name", "nulls", "distinct_values",
-                    "min_value", "max_value"))
+    def described(c: str) -> list[Column]:
+        v = F.col(c)
+        facts = [F.lit(c).alias("column_name"), F.count_if(v.isNull()).alias("nulls"),
+                 F.min(v).cast("string").alias("min_value"), F.max(v).cast("string").alias("max_value")]
+        return facts if exact_distinct else [*facts, F.approx_count_distinct(v).alias("distinct_values")]
+
+    wide = df.agg(F.array(*[F.struct(*described(c)) for c in columns]).alias("facts"))
+    rows = wide.select(F.explode("facts").alias("f")).select("f.*")
+    if exact_distinct:
+        stacked = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("s"))
+        distinct = (stacked.select("s.*").filter("value is not null").groupBy("column_name", "value").agg(F.lit(1))
+                    .groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values")))
+        rows = rows.join(distinct, "column_name", "left").withColumn(
+            "distinct_values", F.coalesce("distinct_values", F.lit(0).cast("bigint")))
+    return rows.select(F.lit(table).alias("table_name"), "column_name", "nulls", "distinct_values",
+                       "min_value", "max_value")
 
 
 @register("table_profile", T.with_views(" UNION ALL ".join(
@@ -319,6 +306,5 @@ def _sql_lookup() -> str:
 @register("verified_query_lookup", _sql_lookup())
 def verified_query_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn of ``conversations`` matched to its nearest stored question."""
-    conv = T.spread_table(T.read(spark, sf_dir, "conversations", spread_rows=False)
-                          .filter(F.col("role") == "user"), "conversations")
+    conv = T.read(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     return lookup_verified(spark, conv, ["conv_id", "turn"], "text")

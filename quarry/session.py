@@ -9,6 +9,7 @@ is absent (local tests), never on a configured cluster.
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -46,15 +47,21 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if unset."""
-    current = spark.conf.get(_CHECKPOINT_KEY, None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder: ``spark.checkpoint.dir`` of the session.
+
+    Only a local master may go without that setting (tests, the bench); it gets
+    a temporary folder. Anywhere else executors would write to disks of their
+    own, so a missing setting is an error.
+    """
+    sc = spark.sparkContext
+    current = sc.getConf().get(_CHECKPOINT_KEY) or sc.getCheckpointDir()
     if not current:
+        if not re.match(r"local(\[[^,\]]*(,[^,\]]*)?\])?$", sc.master):
+            raise RuntimeError(f"{_CHECKPOINT_KEY} must name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        spark.conf.set(_CHECKPOINT_KEY, current)
-    spark.sparkContext.setCheckpointDir(current)
-    return spark.sparkContext.getCheckpointDir() or current
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
+    return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -37,12 +37,18 @@ class CsvSpec:
         return ST.StructType([ST.StructField(n, ST.StringType(), True) for n, _ in self.columns])
 
 
-def read_raw(spark: SparkSession, path: str, spec: CsvSpec) -> DataFrame:
-    return (spark.read.schema(spec.string_schema())
+CORRUPT = "_corrupt_record"
+
+
+def read_raw(spark: SparkSession, path: str, spec: CsvSpec, abort: bool = True) -> DataFrame:
+    """All fields as text. A record that does not parse (too few or too many
+    fields) aborts the read, or comes with its line in ``CORRUPT``."""
+    schema = spec.string_schema() if abort else spec.string_schema().add(CORRUPT, ST.StringType())
+    return (spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT)
             .option("header", spec.header)
             .option("quote", '"').option("escape", '"')
             .option("multiLine", spec.multiline)
-            .option("mode", "FAILFAST")
+            .option("mode", "FAILFAST" if abort else "PERMISSIVE")
             .csv(path))
 
 
@@ -59,10 +65,13 @@ def read_typed(spark: SparkSession, path: str, spec: CsvSpec) -> DataFrame:
 
 
 def split_rejects(spark: SparkSession, path: str, spec: CsvSpec, key: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejects) — a reject is a non-null field whose cast fails."""
-    raw = read_raw(spark, path, spec)
-    cleaned = raw.select(*[clean(F.col(n), spec).alias(n) for n, _ in spec.columns])
-    checks = []
+    """(good rows, rejects) — a reject is a non-null field whose cast fails, or a
+    record with too few or too many fields. The key of a reject is null where it
+    does not cast itself; its text then stands in ``raw_value``."""
+    raw = read_raw(spark, path, spec, abort=False)
+    cleaned = raw.select(*[clean(F.col(n), spec).alias(n) for n, _ in spec.columns], CORRUPT)
+    checks = [F.when(F.col(CORRUPT).isNotNull(), F.struct(F.lit(CORRUPT).alias("column"), F.col(CORRUPT).alias("raw"),
+                                                          F.lit("wrong number of fields").alias("reason")))]
     for n, t in spec.columns:
         bad = F.col(n).isNotNull() & F.col(n).try_cast(t).isNull()
         checks.append(F.when(bad, F.struct(F.lit(n).alias("column"), F.col(n).alias("raw"),
@@ -71,7 +80,7 @@ def split_rejects(spark: SparkSession, path: str, spec: CsvSpec, key: str) -> tu
     good = flagged.filter(F.size("_bad") == 0).select(
         *[F.col(n).cast(t).alias(n) for n, t in spec.columns])
     rejects = (flagged.filter(F.size("_bad") > 0)
-               .select(F.col(key).cast("bigint").alias(key), F.explode("_bad").alias("b"))
+               .select(F.col(key).try_cast("bigint").alias(key), F.explode("_bad").alias("b"))
                .select(key, F.col("b.raw").alias("raw_value"), F.col("b.reason").alias("reason")))
     return good, rejects
 

@@ -53,57 +53,10 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# Tables that may arrive as few large row groups, with the key they are
-# spread by (see :func:`spread`): a unique row id, or None for round-robin
-# where no unique single-column id exists (a hash on a repeated key such as
-# an order or conversation id would put a hot key's rows in one task).
-# Fixed-size lookups (region, nation) and small side tables are left as read.
-SPREAD_KEYS = {
-    "lineitem": None, "orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey",
-    "events": "event_id", "documents": "doc_id", "pages": "page_id", "conversations": None,
-    "benchmark": "item_id", "embeddings": "vec_id",
-}
-
-
-def spread(df: DataFrame, key: str | None) -> DataFrame:
-    """Repartition ``df`` only when the scan yields fewer partitions than the
-    session's parallelism (few large row groups). On a cluster reading many
-    splits this is a no-op; on a one-row-group file it turns one busy task
-    into ``defaultParallelism`` of them. Partitioning by a unique row id also
-    satisfies later per-id operators (the text index); without one, rows are
-    spread by their position in the input split, which no key distribution
-    can skew."""
-    spark = df.sparkSession
-    n = spark.sparkContext.defaultParallelism
-    try:
-        few = df.rdd.getNumPartitions() < n
-    except Exception:  # noqa: BLE001 — e.g. a session without RDD access
-        return df
-    if not few:
-        return df
-    if key:
-        return df.repartition(n, key)
-    # A row's position in its input split is unique and the same on a task
-    # retry (the scan order is fixed), so hashing it spreads rows evenly
-    # without the per-partition sort a round-robin repartition needs.
-    return df.repartition(n, F.monotonically_increasing_id())
-
-
-def read(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
-    """A base table. With ``spread_rows`` a few-split scan is spread (see
-    :func:`spread`). A caller that filters the table passes ``False`` and
-    spreads after its filters (:func:`spread_table`): filters pass below a
-    key-hash repartition but not below a position-based one, and a filter
-    must reach the Parquet scan."""
-    df = spark.read.parquet(table_path(sf_dir, name))
-    if not spread_rows or name not in SPREAD_KEYS:
-        return df
-    return spread(df, SPREAD_KEYS[name])
-
-
-def spread_table(df: DataFrame, name: str) -> DataFrame:
-    """Spread an already filtered scan of table ``name``."""
-    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base table as its scan gives it: split sizes are the session's
+    (``spark.sql.files.maxPartitionBytes``), and nothing shuffles raw rows."""
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def register_base_views(spark: SparkSession, sf_dir: str) -> None:
@@ -165,13 +118,12 @@ def fact_sales(spark: SparkSession, sf_dir: str,
     if unknown:
         raise ValueError(f"unknown fact_sales columns: {sorted(unknown)}")
 
-    li = read(spark, sf_dir, "lineitem", spread_rows=False)
+    li = read(spark, sf_dir, "lineitem")
     if date_from is not None:
         li = li.filter(F.col("l_shipdate") >= F.to_timestamp_ntz(F.lit(date_from)))
     if date_to is not None:
         li = li.filter(F.col("l_shipdate") < F.date_add(F.to_date(F.lit(date_to)), 1)
                        .cast("timestamp_ntz"))
-    li = spread_table(li, "lineitem")
 
     exprs: dict[str, Column] = {
         "sale_id": F.col("l_orderkey"),
@@ -190,26 +142,27 @@ def fact_sales(spark: SparkSession, sf_dir: str,
     return li.select(*[exprs[c].alias(c) for c in wanted])
 
 
-def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer feedback bound onto ``documents``.
+COMMENT_COLUMNS = ("comment_id", "article_id", "comment_text", "lang", "source", "satisfaction")
+
+
+def comments(spark: SparkSession, sf_dir: str, columns: Iterable[str] = COMMENT_COLUMNS) -> DataFrame:
+    """Customer feedback bound onto ``documents``, restricted to ``columns``.
 
     ``article_id`` is ``doc_id mod (number of parts)`` (a stand-in, FIXTURES.md
     B.1); the part count is a scalar subquery, evaluated once by Spark.
-    ``satisfaction`` is the document's ``labels.quality`` (left join).
+    ``satisfaction`` is the document's ``labels.quality`` (left join, made only
+    where that column is asked for, so texts are not shuffled without need).
     """
+    wanted = tuple(columns)
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     n_parts = read(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
-    lab = read(spark, sf_dir, "labels").select("doc_id", "quality")
-    return (
-        d.join(lab, "doc_id", "left")
-        .select(
-            F.col("doc_id").alias("comment_id"),
-            (F.col("doc_id") % n_parts).alias("article_id"),
-            F.col("text").alias("comment_text"),
-            "lang", "source",
-            F.col("quality").alias("satisfaction"),
-        )
-    )
+    if "satisfaction" in wanted:
+        d = d.join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    exprs = {"comment_id": F.col("doc_id"), "article_id": F.col("doc_id") % n_parts, "comment_text": F.col("text"),
+             "lang": F.col("lang"), "source": F.col("source")}
+    if "satisfaction" in wanted:
+        exprs["satisfaction"] = F.col("quality")
+    return d.select(*[exprs[c].alias(c) for c in wanted])
 
 
 # ---------------------------------------------------------------------------

@@ -308,14 +308,58 @@ def test_orphans_and_duplicates_with_a_hot_key(spark):
     assert (d.duplicate_keys, d.surplus_rows) == (3, 29 + 1 + 1)
 
 
-def test_spread_by_position_is_even_under_a_hot_key(spark):
-    from quarry.sources.tables import spread
-    rows = [(1, i) for i in range(300)] + [(k, k) for k in range(2, 602)]   # key 1 = a third of the rows
-    df = spark.createDataFrame(rows, "k long, v long").coalesce(1)
-    out = spread(df, None)
-    n = spark.sparkContext.defaultParallelism
-    sizes = [len(p) for p in out.rdd.glom().collect()]
-    assert len(sizes) == n and sum(sizes) == 900
-    assert max(sizes) <= 2 * 900 / n                      # no partition carries the hot key's third
-    keyed = [len(p) for p in spread(df, "k").rdd.glom().collect()]
-    assert max(keyed) >= 300                              # why non-unique keys are not used
+def test_csv_rejects_survive_bad_keys_and_short_records(spark, tmp_path):
+    from quarry.sources.csv import CsvSpec, read_typed, split_rejects
+    (tmp_path / "a.csv").write_text("1,x,2.50\nbad,y,3.00\n3\n4,z,n/a\n5,w,7.25,extra\n6,v,NULL\n")
+    spec = CsvSpec(columns=(("id", "bigint"), ("name", "string"), ("price", "decimal(10,2)")))
+    good, rejects = split_rejects(spark, str(tmp_path), spec, "id")
+    assert sorted(r["id"] for r in good.collect()) == [1, 6]
+    got = {(r["id"], r["raw_value"], r["reason"]) for r in rejects.collect()}
+    assert (None, "bad", "id: not a bigint") in got and (4, "n/a", "price: not a decimal(10,2)") in got
+    assert (3, "3", "wrong number of fields") in got and (5, "5,w,7.25,extra", "wrong number of fields") in got
+    with pytest.raises(Exception):
+        read_typed(spark, str(tmp_path), spec).collect()
+
+
+def test_profile_keeps_all_digits(spark):
+    from quarry.plans.model_ops import profile_table
+    df = spark.createDataFrame([(9007199254740992, None), (9007199254740993, "b")], "n bigint, s string")
+    for exact in (True, False):
+        got = {r.column_name: r for r in profile_table(df, "t", ["n", "s"], exact).collect()}
+        assert (got["n"].min_value, got["n"].max_value, got["n"].distinct_values) == ("9007199254740992", "9007199254740993", 2)
+        assert (got["s"].nulls, got["s"].distinct_values, got["s"].max_value) == (1, 1, "b")
+
+
+def test_exact_ranks_equal_a_full_sort(spark):
+    import random
+    from quarry.operators.search import exact_ranks
+    rng = random.Random(2)
+    rows = [(q, d, round(rng.random(), 1)) for q in range(3) for d in range(300) if rng.random() < 0.8]
+    scores = spark.createDataFrame(rows, "query_id int, doc_id bigint, score double")
+    asked = [(q, d) for q in range(3) for d in range(0, 300, 7)]
+    got = {(r.query_id, r.doc_id): r["rank"] for r in exact_ranks(scores, spark.createDataFrame(asked, "query_id int, doc_id bigint")).collect()}
+    want = {}
+    for q in range(3):
+        for i, (_, d) in enumerate(sorted((-s, d) for x, d, s in rows if x == q)):
+            if (q, d) in set(asked):
+                want[(q, d)] = i + 1
+    assert got == want
+
+
+def test_missing_checkpoint_dir_is_an_error_off_local_mode():
+    from quarry.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "yarn"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())

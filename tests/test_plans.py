@@ -6,9 +6,10 @@ import pytest
 
 from conftest import SF_SMALL
 
-import __spark_entry__ as E
+from quarry.plans import registry
 
-Q = E.queries()
+registry.load_all()
+Q = registry.QUERIES
 SIDE_EFFECT_KEYS = {"csv_ingest", "csv_null_tokens", "csv_rejects", "refresh_incremental", "dense_ids"}
 
 
@@ -59,11 +60,12 @@ def test_bm25_scores_without_pair_shuffle(spark):
 
 
 def test_scan_prunes_columns(spark):
-    """Only used columns are read (plus the spread key on one-row-group files)."""
+    """Only used columns are read, and no raw row is shuffled by number."""
     import re
     p = plan(spark, "category_product_sales")
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", p)
     li = [s for s in schemas if "l_partkey" in s]
     assert li
     cols = {c.split(":")[0] for c in li[0].split(",")}
-    assert cols <= {"l_partkey", "l_extendedprice", "l_orderkey"}
+    assert cols <= {"l_partkey", "l_extendedprice"}
+    assert "REPARTITION_BY_NUM" not in p
