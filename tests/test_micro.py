@@ -162,14 +162,17 @@ def test_line_chunks_bounded(spark):
         assert all(len(c) <= X.CHUNK_SIZE for c in r.c)
 
 
-def test_recursive_split_bounded():
-    for t in TEXTS:
-        chunks = X.recursive_split(t)
-        assert all(0 < len(c) <= X.CHUNK_SIZE for c in chunks)
-        if t.strip():
-            assert chunks
-    md = X.recursive_split("# A\n\n" + "x " * 900 + "\n# B\n\n" + "y " * 900)
-    assert len(md) >= 2 and md[0].startswith("# A")
+def test_recursive_chunks(spark):
+    md = "# A\n\n" + "x " * 900 + "\n# B\n\n" + "y " * 900
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, md, "w" * 4000, None])], "id int, t string")
+    rows = df.select("id", X.recursive_chunks("t").alias("c")).collect()
+    for r in rows[:-1]:
+        assert all(0 < len(c) <= X.CHUNK_SIZE for c in r.c)
+    for r, t in zip(rows, TEXTS):
+        assert bool(r.c) == bool(t.strip(" \t\r\n"))
+    assert rows[len(TEXTS)].c[0].startswith("# A") and any("# B" in c for c in rows[len(TEXTS)].c[1:])
+    words = rows[len(TEXTS) + 1].c
+    assert words[0] == "w" * 1400 and words[1] == "w" * 1500 and "".join([words[0], *(w[100:] for w in words[1:])]) == "w" * 4000
 
 
 # --- stage_files (S5–S9, P5) ---------------------------------------------------
