@@ -17,7 +17,7 @@ the only Python steps (Arrow batches / ``pyspark.ml``).
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -233,6 +233,11 @@ def classification_check(spark: SparkSession, sf_dir: str) -> DataFrame:
             .orderBy("source_file"))
 
 
+def held_out(id_col: str) -> Column:
+    """A quarter of the documents, by id hash, on which the classifier is not trained."""
+    return F.pmod(F.xxhash64(id_col), F.lit(4)) == 0
+
+
 def train_quality_model(spark: SparkSession, sf_dir: str, min_doc_freq: int = 0):
     """Learned scorer on ``labels.quality``: tokens → hashed TF → IDF →
     logistic regression (``pyspark.ml``, distributed fit)."""
@@ -242,7 +247,7 @@ def train_quality_model(spark: SparkSession, sf_dir: str, min_doc_freq: int = 0)
 
     docs = T.read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = T.read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    train = docs.join(labels, "doc_id")
+    train = docs.filter(~held_out("doc_id")).join(labels, "doc_id")
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="tok", pattern=X.TOKEN_SPLIT, toLowercase=True),
         HashingTF(inputCol="tok", outputCol="tf", numFeatures=1 << 18),
@@ -256,7 +261,8 @@ def train_quality_model(spark: SparkSession, sf_dir: str, min_doc_freq: int = 0)
 def classify_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_quality_model(spark, sf_dir)
     docs = T.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return model.transform(docs).select("doc_id", F.col("prediction").cast("int").alias("predicted"))
+    return model.transform(docs).select("doc_id", held_out("doc_id").alias("held_out"),
+                                        F.col("prediction").cast("int").alias("predicted"))
 
 
 # --- prompts (F14, T4) --------------------------------------------------------

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators.quality import duplicate_keys, orphans
 from quarry.plans.registry import TOP_K, register
 from quarry.plans.semantic import SALES_MODEL, SemanticModel, UNBOUND_FIELDS
 from quarry.sources import tables as T
@@ -192,38 +191,65 @@ def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- M9 validation ----------------------------------------------------------
 
+def _key_text(columns) -> Column:
+    """One text per key value (null for a null single column)."""
+    return F.col(columns[0]).cast("string") if len(columns) == 1 else F.to_json(F.struct(*columns))
+
+
 def validate_model(spark: SparkSession, sf_dir: str, model: SemanticModel = SALES_MODEL) -> DataFrame:
-    """``(check, violations)``: declared keys unique, relationships many-to-one
-    without orphans, declared sample values present in the data. Every check
-    is a Spark aggregate; the model only decides which ones run."""
-    parts = []
+    """``(check_name, violations)``: declared keys unique, relationships many-to-one
+    without orphans, declared sample values present in the data.
+
+    Every table is scanned once for its keys: they are stacked into ``(key set,
+    value)`` rows and collapsed by one partial + final aggregate, which serves
+    duplicates and orphans alike. Sample values are flags of one global
+    aggregate a table.
+    """
+    keys: dict[str, set[tuple[str, ...]]] = {}
+    checks, relations = [], []
     for t in model.tables.values():
-        df = t.loader(spark, sf_dir, list(t.primary_key))
-        d = duplicate_keys(df, list(t.primary_key)).select(
-            F.lit(f"primary_key:{t.name}.{','.join(t.primary_key)}").alias("check_name"),
-            F.col("duplicate_keys").alias("violations"))
-        parts.append(d)
+        keys.setdefault(t.name, set()).add(tuple(t.primary_key))
+        checks.append((f"primary_key:{t.name}.{','.join(t.primary_key)}", f"{t.name}.{','.join(t.primary_key)}"))
     for r in model.relationships:
-        child = model.tables[r.left_table].loader(spark, sf_dir, [r.left_column])
-        parent = model.tables[r.right_table].loader(spark, sf_dir, [r.right_column])
-        o = orphans(child, r.left_column, parent, r.right_column).select(
-            F.lit(f"relationship:{r.name}").alias("check_name"), F.col("orphans").alias("violations"))
-        parts.append(o)
-        dup = duplicate_keys(parent, [r.right_column]).select(
-            F.lit(f"many_to_one:{r.name}").alias("check_name"), F.col("duplicate_keys").alias("violations"))
-        parts.append(dup)
+        keys.setdefault(r.left_table, set()).add((r.left_column,))
+        keys.setdefault(r.right_table, set()).add((r.right_column,))
+        relations.append((f"relationship:{r.name}", f"{r.left_table}.{r.left_column}", f"{r.right_table}.{r.right_column}"))
+        checks.append((f"many_to_one:{r.name}", f"{r.right_table}.{r.right_column}"))
+
+    stacked = None
+    for table, sets in keys.items():
+        df = model.tables[table].loader(spark, sf_dir, sorted({c for s in sets for c in s}))
+        part = df.select(F.explode(F.array(*[
+            F.struct(F.lit(f"{table}.{','.join(s)}").alias("key_set"), _key_text(s).alias("k")) for s in sorted(sets)])).alias("s"))
+        stacked = part.select("s.*") if stacked is None else stacked.unionByName(part.select("s.*"))
+    counts = stacked.groupBy("key_set", "k").agg(F.count(F.lit(1)).alias("n"))
+
+    duplicates = counts.groupBy("key_set").agg(F.count_if(F.col("n") > 1).alias("violations"))
+    asked = spark.createDataFrame(checks, "check_name string, key_set string")
+    out = asked.join(duplicates, "key_set", "left").select("check_name", "violations")
+    if relations:
+        ends = spark.createDataFrame(relations, "check_name string, child string, parent string")
+        child = counts.filter("k is not null").join(F.broadcast(ends), F.col("key_set") == F.col("child"))
+        parent = (counts.join(F.broadcast(ends.withColumnRenamed("check_name", "c")), F.col("key_set") == F.col("parent"))
+                  .select(F.col("c").alias("check_name"), "k"))
+        lost = (child.select("check_name", "k", "n").join(parent, ["check_name", "k"], "left_anti")
+                .groupBy("check_name").agg(F.sum("n").cast("bigint").alias("violations")))
+        out = out.unionByName(ends.select("check_name").join(lost, "check_name", "left"))
+
+    by_table: dict[str, list] = {}
     for f in model.fields.values():
-        if not f.sample_values or f.name in UNBOUND_FIELDS:
-            continue
-        df = model.tables[f.table].loader(spark, sf_dir, [f.name])
-        declared = spark.createDataFrame([(v,) for v in f.sample_values], "v string")
-        present = df.select(F.col(f.name).cast("string").alias("v")).distinct()
-        missing = declared.join(present, "v", "left_anti").agg(F.count(F.lit(1)).alias("violations"))
-        parts.append(missing.select(F.lit(f"sample_values:{f.name}").alias("check_name"), "violations"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        if f.sample_values and f.name not in UNBOUND_FIELDS:
+            by_table.setdefault(f.table, []).append(f)
+    for table, fields in by_table.items():
+        df = model.tables[table].loader(spark, sf_dir, [f.name for f in fields])
+
+        def missing(f):
+            there = [F.coalesce(F.max((F.col(f.name).cast("string") == v).cast("bigint")), F.lit(0).cast("bigint"))
+                     for v in f.sample_values]
+            return F.struct(F.lit(f"sample_values:{f.name}").alias("check_name"),
+                            (F.lit(len(there)).cast("bigint") - sum(there[1:], there[0])).alias("violations"))
+        out = out.unionByName(df.agg(F.array(*[missing(f) for f in fields]).alias("s")).select(F.explode("s").alias("s")).select("s.*"))
+    return out.withColumn("violations", F.coalesce("violations", F.lit(0).cast("bigint")))
 
 
 def _sql_validation(model: SemanticModel = SALES_MODEL) -> str:
@@ -265,27 +291,20 @@ VERIFIED_QUESTIONS = (
 def lookup_verified(spark: SparkSession, questions: DataFrame, id_cols, text_col: str) -> DataFrame:
     """Nearest stored question by token Jaccard, per incoming question.
 
-    Intersections come from an equi-join on tokens against the stored
-    questions' tokens (broadcast: bounded by the model), so no question is
-    paired with a stored question it shares nothing with.
+    The stored questions are part of the model (a handful of constants), so each
+    incoming row is scored against all of them in one projection: no shuffle.
     """
-    stored = spark.createDataFrame(list(VERIFIED_QUESTIONS), "name string, question string")
-    st = stored.select("name", F.array_distinct(X.tokens("question")).alias("stok"))
-    st_size = st.select("name", F.size("stok").alias("b"))
-    st_tok = st.select("name", F.explode("stok").alias("token"))
     q = questions.select(*id_cols, F.array_distinct(X.tokens(text_col)).alias("qtok"))
-    q_size = q.select(*id_cols, F.size("qtok").alias("a"))
-    q_tok = q.select(*id_cols, F.explode("qtok").alias("token"))
-    inter = (q_tok.join(F.broadcast(st_tok), "token")
-             .groupBy(*id_cols, "name").agg(F.count(F.lit(1)).alias("i")))
-    scored = (inter.join(q_size, list(id_cols)).join(F.broadcast(st_size), "name")
-              .select(*id_cols, "name",
-                      F.round(F.col("i") / (F.col("a") + F.col("b") - F.col("i")), 6).alias("score")))
-    w = Window.partitionBy(*id_cols).orderBy(F.desc("score"), F.asc("name"))
-    best = scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") == 1).drop("r")
-    return (q_size.join(best, list(id_cols), "left")
-            .select(*id_cols, F.col("name").alias("matched"),
-                    F.coalesce(F.col("score"), F.lit(0.0)).alias("score")))
+
+    def scored(name: str, question: str) -> Column:
+        stok = F.array_distinct(X.tokens(F.lit(question)))
+        both = F.size(F.array_intersect("qtok", stok))
+        score = F.round(both / (F.size("qtok") + F.size(stok) - both), 6)
+        return F.when(both > 0, F.struct((-score).alias("worse"), F.lit(name).alias("name")))
+
+    best = F.array_min(F.array_compact(F.array(*[scored(n, text) for n, text in VERIFIED_QUESTIONS])))
+    return q.select(*id_cols, best.alias("b")).select(
+        *id_cols, F.col("b.name").alias("matched"), F.coalesce(-F.col("b.worse"), F.lit(0.0)).alias("score"))
 
 
 def _sql_lookup() -> str:

@@ -70,6 +70,12 @@ def test_classify_model_labels(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
     assert df.count() == docs
     assert {r.predicted for r in df.select("predicted").distinct().collect()} <= {0, 1}
+    # On documents that it was not trained on, it does no worse than always naming the majority.
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet").select("doc_id", "quality")
+    held = df.filter("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
+    right = sum(r.predicted == r.quality for r in held)
+    majority = max(sum(r.quality == v for r in held) for v in (0, 1))
+    assert held and right >= majority - max(2, len(held) // 20)
 
 
 def test_parse_pages_has_no_tags(spark):
