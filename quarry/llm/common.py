@@ -18,6 +18,8 @@ from quarry.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 CHUNK_BYTES = 1 << 18          # text bytes hashed at a time (a longer single text is one chunk)
 
+FILES_PER_CORE = 2
+
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POW_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -44,6 +46,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stash_narrow(df: DataFrame, name: str) -> DataFrame:
+    """``stash`` for tables of ids and counts: at most FILES_PER_CORE files for every
+    core of the cluster. Shuffle partitions are then written several by one task,
+    one after the other, so a task holds no more than before."""
+    files = FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return stash(df.coalesce(files), name)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 (uint64 in, uint64 out)."""
     x = x ^ (x >> np.uint64(30))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import stash
+from quarry.llm.common import stash_narrow
 
 SALTS = 64
 
@@ -23,14 +23,14 @@ def minima(edges: DataFrame, name: str) -> DataFrame:
     """(u, low): least neighbour of every u. Written out, so that the join with the
     edges has a plain shuffle on either side (a hot node is then split as a skewed
     join) or a broadcast where Spark finds the table small enough."""
-    return stash(edges.groupBy("u").agg(F.min("v").alias("low")), name)
+    return stash_narrow(edges.groupBy("u").agg(F.min("v").alias("low")), name)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): component is the least
     node reachable. Alternates large-star and small-star steps until nothing moves;
     every step is written to the shared folder, so lineage stays short."""
-    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(),
+    edges = stash_narrow(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(),
                   "links")
     mark = None
     while True:
@@ -39,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
                  .select(F.col("v").alias("u"), F.least("low", "u").alias("v")))
         small = large.join(minima(large, "links-low"), "u")
         stars = F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))
-        edges = stash(small.select(F.explode(stars).alias("e")).select("e.*").filter("u <> v").distinct(), "links")
+        edges = stash_narrow(small.select(F.explode(stars).alias("e")).select("e.*").filter("u <> v").distinct(), "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if now == mark:
             break

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.bloom import filter_bits, in_plane, member_plane
-from quarry.llm.common import Words, chunks, mix64, prepare, separators, shingle_hashes, stash, text_buffers
+from quarry.llm.common import Words, chunks, mix64, prepare, separators, shingle_hashes, stash, stash_narrow, text_buffers
 from quarry.llm.links import components, with_minimum
 
 PERMUTATIONS = 128
@@ -137,7 +137,7 @@ def sketch_passes(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFr
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Pairs (a, b) with 100 * |a & b| >= percent * |a | b| on full sets; only texts
     of the pairs (picked by a Bloom filter of their ids) have their sets made and moved."""
-    pairs = stash(pairs, "near-pairs")
+    pairs = stash_narrow(pairs, "near-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
     count = ids.count()
     if not count:
@@ -164,7 +164,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
             .join(sets.withColumnRenamed("id", "b").withColumnRenamed("set", "set_b"), "b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
     linked = 100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)
-    return stash(wide.filter(linked).select("a", "b"), "near-links")
+    return stash_narrow(wide.filter(linked).select("a", "b"), "near-links")
 
 
 def deepened(members: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
@@ -173,11 +173,11 @@ def deepened(members: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
     done, active = None, members
     for depth in DEPTHS:
         key = f"k{depth}"
-        counts = stash(active.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-counts")
+        counts = stash_narrow(active.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-counts")
         sized = active.join(counts, key)
         some = sized.filter(F.col("n") <= REGION).select(F.col(key).alias("region"), "doc_id", "component")
         done = some if done is None else done.unionAll(some)
-        active = stash(sized.filter(F.col("n") > REGION), "near-crowded")
+        active = stash_narrow(sized.filter(F.col("n") > REGION), "near-crowded")
         if depth != DEPTHS[-1]:
             active = active.drop("n")
     part = F.pmod(F.xxhash64("doc_id", F.lit(salt), F.col(f"k{DEPTHS[-1]}")), F.ceil(F.col("n") / REGION))
@@ -198,34 +198,34 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     prepare(docs.sparkSession)
     found = stash(signatures(docs, shingle_words, id_col, text_col), "near-signatures")
     some = found.filter("n_shingles > 0").select("doc_id", "n_shingles", F.struct("h1", "h2", "n_shingles").alias("set"))
-    classes = stash(with_minimum(some, "set", "doc_id", "rep").select("doc_id", "rep"), "near-classes")
-    reps = stash(classes.filter("doc_id = rep").select("doc_id").distinct()
+    classes = stash_narrow(with_minimum(some, "set", "doc_id", "rep").select("doc_id", "rep"), "near-classes")
+    reps = stash_narrow(classes.filter("doc_id = rep").select("doc_id").distinct()
                  .join(found.filter("n_shingles > 0"), "doc_id"), "near-reps")
 
     key = f"k{DEPTHS[0]}"
-    regions = stash(tree_keys(reps).groupBy(key).agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n"))
+    regions = stash_narrow(tree_keys(reps).groupBy(key).agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n"))
                     .filter("n > 1"), "near-regions")
-    members = stash(tree_keys(reps).join(regions.select(key, "leader"), key), "near-members")
+    members = stash_narrow(tree_keys(reps).join(regions.select(key, "leader"), key), "near-members")
     star = members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
     links = confirmed(sketch_passes(star, reps, percent), docs, shingle_words, percent, id_col, text_col)
 
-    groups, salt = stash(components(links), "near-groups"), 0
+    groups, salt = stash_narrow(components(links), "near-groups"), 0
     while True:
         own = (members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
                .withColumn("component", F.coalesce("component", "doc_id")))
-        mixed = stash(own.groupBy(key).agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        mixed = stash_narrow(own.groupBy(key).agg(F.min("component").alias("x"), F.max("component").alias("y"))
                       .filter("x <> y").select(key), "near-mixed")
         if mixed.isEmpty():
             break
-        open_ = stash(own.join(mixed, key).select("doc_id", key, "component"), "near-open")
+        open_ = stash_narrow(own.join(mixed, key).select("doc_id", key, "component"), "near-open")
         deep = tree_keys(reps.join(open_.select("doc_id").distinct(), "doc_id"), DEPTHS)
-        done, crowded = deepened(stash(open_.join(deep, ["doc_id", key]), "near-deep"), salt)
+        done, crowded = deepened(stash_narrow(open_.join(deep, ["doc_id", key]), "near-deep"), salt)
         tests = cross_pairs(crowded if salt else done.unionAll(crowded))
         new = confirmed(sketch_passes(tests, reps, percent), docs, shingle_words, percent, id_col, text_col)
         if new.isEmpty():
             break
         links = links.unionAll(new)
-        groups = stash(components(links), "near-groups")
+        groups = stash_narrow(components(links), "near-groups")
         if crowded.isEmpty():
             break
         salt += 1

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.bloom import filter_bits, in_plane, member_plane
-from quarry.llm.common import Words, chunks, mix64, prepare, separators, stash, text_buffers
+from quarry.llm.common import Words, chunks, mix64, prepare, separators, stash, stash_narrow, text_buffers
 
 UNIT_WORDS = 8                 # least words of a unit (but for a text's last)
 CUT = 6                        # beyond that, one word in CUT begins a new unit
@@ -166,13 +166,13 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     spark = docs.sparkSession
     prepare(spark)
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    shared = stash(unit_rows(base).groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    shared = stash_narrow(unit_rows(base).groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
                    .filter("n > 1").select("digest", "keeper"), "unit-groups")
     bits = filter_bits(shared.count(), MAX_FILTER_BYTES)
     units = stash(context_rows(base, member_plane(shared, "digest", bits), bits), "unit-context").join(shared, "digest")
     stays = "doc_id = keeper and in_doc_first"
     kept = units.filter(stays).select("digest", F.col("left").alias("kept_left"), F.col("right").alias("kept_right"))
-    kept = stash(kept.dropDuplicates(["digest"]), "unit-kept")
+    kept = stash_narrow(kept.dropDuplicates(["digest"]), "unit-kept")
     marked = units.filter(f"not ({stays})").join(kept, "digest").selectExpr(
         "doc_id", "first", "last", "start", "end", "left_at", "right_at",
         agreeing("left", "kept_left"), agreeing("right", "kept_right"))
