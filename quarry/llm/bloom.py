@@ -108,7 +108,7 @@ def _plane(df: DataFrame, key: str, bits: int, least: int) -> np.ndarray:
     parts = df.select(key).mapInPandas(build, "seg int, once binary, twice binary")
     merged = parts.groupBy("seg").applyInPandas(merge, "seg int, plane binary")
     out = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
+    for row in merged.collect():                     # at most bits / 8 bytes
         at = row["seg"] * (seg_bits // 8)
         out[at:at + seg_bits // 8] = np.frombuffer(row["plane"], np.uint8)
     return out

@@ -57,21 +57,18 @@ def size_class(words: int) -> int:
     return max([c for c in CLASSES if c + 2 * stride(c) - 1 <= words], default=1)
 
 
-def bit_table(hashes: np.ndarray) -> np.ndarray:
-    """+1 or -1 per word and bit (int8, words x 64)."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    return bits.view(np.int8) * np.int8(2) - np.int8(1)
+def running_sums(hashes: np.ndarray) -> np.ndarray:
+    """(words + 1) x 64: how often every bit was set so far (modulo 2^16, ample for differences)."""
+    bits = np.ascontiguousarray(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).T)
+    out = np.zeros((64, len(hashes) + 1), np.uint16)
+    np.cumsum(bits, axis=1, dtype=np.uint16, out=out[:, 1:])
+    return np.ascontiguousarray(out.T)
 
 
 def fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash (uint64) of the windows of ``size`` words at ``starts``; ``sums`` are running bit sums."""
-    return np.packbits(sums[starts + size] > sums[starts], axis=1).view(np.uint64).ravel()
-
-
-def running_sums(hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(hashes) + 1, 64), np.int32)
-    np.cumsum(bit_table(hashes), axis=0, dtype=np.int32, out=out[1:])
-    return out
+    """SimHash (uint64) of the windows of ``size`` words at ``starts``: a bit is set
+    where more than half of the words set it."""
+    return np.packbits((sums[starts + size] - sums[starts]) > size // 2, axis=1).view(np.uint64).ravel()
 
 
 def block(prints: np.ndarray, i: int) -> np.ndarray:
@@ -136,7 +133,7 @@ class Index:
         return low / high if high else 0.0
 
     def candidates(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, fingerprint) pairs within RADIUS bits, for all windows of one class."""
+        """(window, fingerprint) pairs within RADIUS bits, for all windows of one class, equal prints first."""
         known, _, _, tables = self.classes[size]
         found_w, found_f = [], []
         for b, (start, rows) in enumerate(tables):
@@ -153,7 +150,9 @@ class Index:
         if not found_w:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         pairs = np.unique(np.concatenate(found_w).astype(np.int64) * len(known) + np.concatenate(found_f))
-        return pairs // len(known), pairs % len(known)
+        w, f = pairs // len(known), pairs % len(known)
+        by = np.argsort(np.bitwise_count(prints[w] ^ known[f]), kind="stable")
+        return w[by], f[by]
 
     def leaks(self, words: Words, texts: int) -> dict[int, dict[int, tuple]]:
         """text -> item -> (similarity, first word, last word + 1), the best place of each item."""
@@ -183,6 +182,8 @@ class Index:
 
     def place(self, words: Words, d: int, first: int, i: int, out: dict) -> None:
         """Compare item ``i`` with the words from ``first`` on, SLACK words more or less at either end."""
+        if out.get(d, {}).get(i, (0.0,))[0] == 1.0:
+            return                                                  # the item was found whole; no place is better
         floor, ceiling, size = int(words.first[d]), int(words.first[d + 1]), len(self.words[i])
         best = (0.0, 0, 0)
         if np.array_equal(words.hash[max(first, floor):first + size], self.words[i]) and first + size <= ceiling:
@@ -191,6 +192,8 @@ class Index:
             around = shingle_hashes(words.hash[max(floor, first - SLACK):min(ceiling, first + size + SLACK)], SHINGLE)
             if not any(s in self.shingles[i] for s in around.tolist()):
                 return                                              # no shingle in common, whatever the place
+            if self.similarity(i, words.hash[max(floor, first):min(ceiling, first + size)]) * 100 < self.percent / 2:
+                return                                              # too far for a few words more or less
             for a in range(max(floor, first - SLACK), min(ceiling, first + SLACK) + 1):
                 for b in range(max(a, first + size - SLACK), min(ceiling, first + size + SLACK) + 1):
                     best = max(best, (self.similarity(i, words.hash[a:b]), -a, b))

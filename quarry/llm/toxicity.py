@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.bloom import filter_bits, may_contain, member_plane
-from quarry.llm.common import mix64, prepare, stash
+from quarry.llm.common import mix64, prepare, stash, stash_narrow
 from quarry.llm.language import fold
 from quarry.llm.letters import gram_codes, letter_runs, text_chunks
 
@@ -102,11 +102,10 @@ def ratio_tables(grams: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
     p(gram) = max(count - D, 0) / context + weight(context) * p(gram without its first letter);
     order 1 is shared by both classes."""
-    counts, tables = levels(grams), {}
+    counts, parts = levels(grams), []
     pooled = counts[1].withColumn("n", F.col("tox") + F.col("ord"))
-    total = pooled.agg(F.sum("n").alias("all"))
-    lower = stash(pooled.join(F.broadcast(total)).select("gram", (F.col("n") / F.col("all")).alias("tox_p"),
-                                                          (F.col("n") / F.col("all")).alias("ord_p")), "toxic-order-1")
+    share = F.col("n") / pooled.agg(F.sum("n")).scalar()
+    lower = stash_narrow(pooled.select("gram", share.alias("tox_p"), share.alias("ord_p")), "toxic-order-1")
     for order in range(2, ORDER + 1):
         level = counts[order].withColumn("context", F.shiftrightunsigned("gram", SYMBOL_BITS))
         contexts = level.groupBy("context").agg(
@@ -124,41 +123,46 @@ def ratio_tables(grams: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
                  .join(lower.withColumnRenamed("gram", "suffix"), "suffix").join(contexts, "context")
                  .select("gram", probability("tox").alias("tox_q"), probability("ord").alias("ord_q"),
                          (F.col("tox") + F.col("ord")).alias("n")))
-        lower = stash(found.withColumnsRenamed({"tox_q": "tox_p", "ord_q": "ord_p"}), f"toxic-order-{order}")
+        lower = stash_narrow(found.withColumnsRenamed({"tox_q": "tox_p", "ord_q": "ord_p"}), f"toxic-order-{order}")
         back = contexts.select(F.col("context").alias("gram"), F.log(weight("tox") / weight("ord")).alias("ratio"),
                                (F.col("tox_all") + F.col("ord_all")).alias("n"))
-        size = TABLE_BITS[order]
-        tables[order] = (slots(lower.select("gram", F.log(F.col("tox_p") / F.col("ord_p")).alias("ratio"), "n"), size, np.nan),
-                         slots(back, size, 0.0))
+        parts += [lower.select("gram", F.log(F.col("tox_p") / F.col("ord_p")).alias("ratio"), "n")
+                  .withColumn("part", F.lit(2 * order)), back.withColumn("part", F.lit(2 * order + 1))]
         lower = lower.drop("n")
-    return tables
+    return slots(parts)
 
 
 def slot_of(codes: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(codes) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def slots(ratios: DataFrame, bits: int, empty: float) -> np.ndarray:
-    """float32 table by hashed n-gram; at most 2^bits rows reach the driver."""
+def slots(parts: list[DataFrame]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """float32 tables by hashed n-gram from (gram, ratio, n, part); part is twice the order,
+    and one more for backoff weights. At most 2^TABLE_BITS rows a table reach the driver."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            at = slot_of(b["gram"].to_numpy(np.int64).view(np.uint64), bits)
-            n = b["n"].to_numpy(np.float64)
-            yield pd.DataFrame({"slot": at.astype(np.int32), "sum": b["ratio"].to_numpy() * n, "n": n})
-
-    table = np.full(1 << bits, empty, np.float32)
-    summed = (ratios.mapInPandas(place, "slot int, sum double, n double").groupBy("slot")
-              .agg((F.sum("sum") / F.sum("n")).cast("float").alias("ratio")))
-
-    def column(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:                              # packed, so the driver gets a few large values
-            yield pd.DataFrame({"slot": [b["slot"].to_numpy(np.int32).tobytes()],
-                                "ratio": [b["ratio"].to_numpy(np.float32).tobytes()]})
-
-    for row in summed.mapInPandas(column, "slot binary, ratio binary").toLocalIterator():
-        table[np.frombuffer(row["slot"], np.int32)] = np.frombuffer(row["ratio"], np.float32)
-    return table
+            part, n, slot = b["part"].to_numpy(), b["n"].to_numpy(np.float64), np.zeros(len(b), np.int32)
+            codes = b["gram"].to_numpy(np.int64).view(np.uint64)
+            for order in TABLE_BITS:
+                own = part // 2 == order
+                slot[own] = slot_of(codes[own], TABLE_BITS[order])
+            yield pd.DataFrame({"part": part, "slot": slot, "sum": b["ratio"].to_numpy() * n, "n": n})
+
+    all_ = parts[0]
+    for part in parts[1:]:
+        all_ = all_.unionByName(part)
+    found = (all_.mapInPandas(place, "part int, slot int, sum double, n double").groupBy("part", "slot")
+             .agg((F.sum("sum") / F.sum("n")).cast("float").alias("ratio")).toArrow())
+    part, slot, ratio = (found.column(c).to_numpy() for c in ("part", "slot", "ratio"))
+    tables = {}
+    for order, bits in TABLE_BITS.items():
+        pair = (np.full(1 << bits, np.nan, np.float32), np.zeros(1 << bits, np.float32))
+        for i, table in enumerate(pair):
+            own = part == 2 * order + i
+            table[slot[own]] = ratio[own]
+        tables[order] = pair
+    return tables
 
 
 def log_ratios(codes: np.ndarray, tables: dict) -> np.ndarray:
@@ -252,15 +256,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, held_out, score, predicted, mean, peak, warm, hot) of every row."""
     spark = docs.sparkSession
     prepare(spark)
-    marks = stash(labels.filter(F.col(label_col).isNotNull() & (fold(F.col(id_col)) != 2))
+    marks = stash_narrow(labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col)) != 2))
                   .groupBy(F.col(id_col).cast("bigint").alias("label_id")).agg((F.max(label_col) > 0).alias("toxic")), "toxic-labels")
     count = marks.count()
     bits = filter_bits(count, MAX_FILTER_BYTES)
     known = member_plane(marks, "label_id", bits)
     own = F.col(id_col).cast("bigint")
-    train = (docs.select(own.alias("label_id"), F.col(text_col).alias("text")).filter(fold(F.col("label_id")).isin(0, 1))
+    train = (docs.select(own.alias("label_id"), F.col(text_col).alias("text"))
+             .filter(F.col("label_id").isNotNull() & fold(F.col("label_id")).isin(0, 1))
              .filter(may_contain(docs, "label_id", known, bits)).join(marks, "label_id"))
-    grams = stash(class_counts(train, "text"), "toxic-grams")
+    grams = stash_narrow(class_counts(train, "text"), "toxic-grams")
     tables = ratio_tables(grams)
     found = stash(features(docs, tables, id_col, text_col), "toxic-features")
     curve = fit_curve(found.filter(fold(F.col("doc_id")) == 3).join(marks, F.col("doc_id") == F.col("label_id")))
