@@ -53,10 +53,20 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+# Session setting for text that comes in files Spark cannot split (one row group,
+# gzip): rows of these tables are dealt by id to so many partitions. Unset by
+# default; a table of many splits never needs it.
+UNSPLITTABLE_KEY = "quarry.unsplittable.partitions"
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table as its scan gives it: split sizes are the session's
-    (``spark.sql.files.maxPartitionBytes``), and nothing shuffles raw rows."""
-    return spark.read.parquet(table_path(sf_dir, name))
+    (``spark.sql.files.maxPartitionBytes``), and no raw row is shuffled unless
+    the session asks for it (``UNSPLITTABLE_KEY``)."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    parts = spark.conf.get(UNSPLITTABLE_KEY, None) if name in TEXT_TABLES else None
+    return df.repartition(int(parts), TEXT_TABLES[name]) if parts else df
 
 
 def register_base_views(spark: SparkSession, sf_dir: str) -> None:
