@@ -211,7 +211,7 @@ def test_search_preview_request(spark):
     from quarry.sources import tables as T
     docs = T.read(spark, SF_SMALL, "documents")
     idx = build_index(docs, "doc_id", "text", attributes=("lang", "source"))
-    text = docs.select("text").head()[0][:200]
+    text = docs.filter("lang = 'en'").select("text").head()[0][:200]
     req = json.dumps({"query": text, "columns": ["source", "lang"], "limit": 3, "filter": {"lang": "en"}})
     out = json.loads(search_preview(idx, docs, req).collect()[0].results)
     assert 1 <= len(out) <= 3 and [r["rank"] for r in out] == list(range(1, len(out) + 1))
