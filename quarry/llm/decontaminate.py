@@ -10,8 +10,8 @@ agree in some block up to ``RADIUS // BLOCKS`` bits, so looking every block up
 among the item blocks with that many bits flipped finds all of them.
 
 A candidate says where the whole item would start in the document. The item's
-size of words from there (and a few words more or less) is compared with the
-item by weighted shingles: five words each, weighted by how few items have the
+size of words from there, as far as the document has them (and a few words more
+or less), is compared with the item by weighted shingles: five words each, weighted by how few items have the
 shingle; a similarity (weighted Jaccard) of ``percent`` or more is a leak.
 
 Documents never shuffle. The index of the items is broadcast; a benchmark over
@@ -189,13 +189,14 @@ class Index:
         if np.array_equal(words.hash[max(first, floor):first + size], self.words[i]) and first + size <= ceiling:
             best = (1.0, -first, first + size)
         else:
-            around = shingle_hashes(words.hash[max(floor, first - SLACK):min(ceiling, first + size + SLACK)], SHINGLE)
+            low, high = max(first, floor), min(first + size, ceiling)   # a copy may be cut off by the text's ends
+            around = shingle_hashes(words.hash[max(floor, low - SLACK):min(ceiling, high + SLACK)], SHINGLE)
             if not any(s in self.shingles[i] for s in around.tolist()):
                 return                                              # no shingle in common, whatever the place
-            if self.similarity(i, words.hash[max(floor, first):min(ceiling, first + size)]) * 100 < self.percent / 2:
+            if self.similarity(i, words.hash[low:high]) * 100 < self.percent / 2:
                 return                                              # too far for a few words more or less
-            for a in range(max(floor, first - SLACK), min(ceiling, first + SLACK) + 1):
-                for b in range(max(a, first + size - SLACK), min(ceiling, first + size + SLACK) + 1):
+            for a in range(max(floor, low - SLACK), min(ceiling, low + SLACK) + 1):
+                for b in range(max(a, high - SLACK), min(ceiling, high + SLACK) + 1):
                     best = max(best, (self.similarity(i, words.hash[a:b]), -a, b))
         if round(best[0] * 100, 9) >= self.percent:
             old = out.setdefault(d, {}).get(i)

@@ -75,6 +75,31 @@ def test_near_copies_long_items(spark):
     assert sum(got[d] == str(d) for d in range(10)) >= 9
 
 
+def test_copies_cut_off_by_the_ends_of_the_document(spark):
+    """Trimmed by 3 to 10 % at the edges, against all windows that the document clips."""
+    rng = random.Random(5)
+    bench = [(i, " ".join(words(rng, rng.randrange(40, 80)))) for i in range(12)]
+    texts, want = [], {}
+    for i, t in bench:
+        w = t.split()
+        for part in (0.03, 0.06, 0.1):
+            cut, rest = max(3, round(part * len(w))), words(rng, 50)
+            for own in (w[cut:] + rest, rest + w[:-cut], w[cut:], w[:-cut]):
+                want[len(texts)] = {i}
+                texts.append((len(texts), " ".join(own)))
+    index, exact = dc.Index(bench, 80), {}
+    for d, t in texts:
+        raw, offsets = dc.text_buffers(pa.array([t], pa.string()))
+        w = dc.Words(raw, offsets, dc.separators(False), fold_latin=True).hash
+        for i, own in enumerate(index.words):
+            if any(index.similarity(i, w[max(0, a):max(0, a + len(own))]) >= 0.8 for a in range(-len(own) // 4, len(w))):
+                exact.setdefault(d, set()).add(i)
+    rows = dc.leak_report(docs(spark, texts), items(spark, bench)).collect()
+    got = {r.doc_id: set(map(int, r.item_ids.split(","))) for r in rows if r.contaminated}
+    assert got == exact == want
+    assert dc.clean(docs(spark, texts), items(spark, bench)).count() == 0
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(0)
     index = dc.Index([(i, " ".join(words(random.Random(i), 20))) for i in range(50)], 80)
