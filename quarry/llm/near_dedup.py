@@ -3,20 +3,25 @@
 A text's set holds its distinct word shingles as 64-bit hashes. Equal sets form
 classes first; one representative of each goes on. ``TREES`` trees order the
 representatives by different sequences of their MinHash values. Two of them are
-neighbours in a tree where their common prefix reaches the depth of the region:
-``DEPTHS[0]`` values, and more where a region holds over ``REGION`` members.
+neighbours in a tree where they share its first ``DEPTH`` values: its region.
 
 Round one compares every member of a region with its leader (smallest id), which
 joins most copies to their group. Round two looks only at regions that still
-hold several groups: they deepen until at most ``REGION`` members share a prefix
-and every pair of different groups is a candidate; what is crowded at full depth
-(copies that differ little, and lie in different groups) is dealt into chunks of
-that size anew, in every tree and in every further round, while rounds find
-links. No step emits all pairs of a large group, and no member is dropped.
-
-Candidates pass a 128-bit one-bit MinHash sketch (its bound lies six standard
-deviations below the threshold) and are then confirmed on full sets. A link at
-the threshold of 0.8 is missed by all trees with a chance of 5e-7.
+hold several groups. In regions of at most ``REGION`` members every pair of
+different groups is a candidate. The members of larger ones go through an exact
+set-similarity join: shingles are ordered from rare to frequent, and two sets at
+the threshold share one among the first ones of both (prefix filter), at
+positions that leave room for the overlap that their sizes ask for. Shingles that
+one set holds alone make no row, so sets that only share boilerplate hardly meet.
+The frequencies that order the shingles may be off (they share ``MAX_SLOTS``
+counters at most): any order is exact, a better one makes fewer candidates. No
+step emits all pairs of a large group, and no member or pair is dropped.
+
+Candidates of small regions pass a 128-bit one-bit MinHash sketch (its bound lies
+six standard deviations below the threshold); all are then confirmed on full sets.
+A pair at the threshold of 0.8 has no region in common with a chance of 9e-5
+(the trees share ``PERMUTATIONS`` values), and is then missed unless both
+are members of crowded regions or others link them.
 
 Defined cases: null and empty texts, and texts without words, have empty sets
 and are linked with nothing; a text of fewer words than a shingle is one
@@ -38,8 +43,10 @@ from quarry.llm.links import components, with_minimum
 
 PERMUTATIONS = 128
 TREES = 48
-DEPTHS = (6, 9, 12)            # prefix lengths that a region can take
-REGION = 32                    # members of a region whose pairs are all candidates
+DEPTH = 6                      # common MinHash values of a region
+REGION = 32                    # members of a region whose pairs are all candidates at once
+MAX_SLOTS = 1 << 22            # counters that order the shingles of crowded members
+SLOTS_PER_SHINGLE = 4
 SKETCH_MARGIN = 20             # bits below the expected agreement of a pair at the threshold (6 sigma)
 MAX_FILTER_BYTES = 64 << 20
 EMIT_ROWS = 4096
@@ -47,7 +54,7 @@ EMIT_ROWS = 4096
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
-_ORDER = np.stack([_rng.permutation(PERMUTATIONS)[:DEPTHS[-1]] for _ in range(TREES)])
+_ORDER = np.stack([_rng.permutation(PERMUTATIONS)[:DEPTH] for _ in range(TREES)])
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int, sep: np.ndarray) -> list[np.ndarray]:
@@ -100,9 +107,8 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, SIGNATURE)
 
 
-def tree_keys(reps: DataFrame, depths: tuple[int, ...] = DEPTHS[:1]) -> DataFrame:
-    """(doc_id, k<depth>...) per representative and tree: hashes of the tree's prefixes."""
-    names = ["doc_id", *(f"k{d}" for d in depths)]
+def tree_keys(reps: DataFrame) -> DataFrame:
+    """(doc_id, region) per representative and tree: hashes of the tree's first DEPTH values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix64(np.arange(1, TREES + 1, dtype=np.uint64))
@@ -111,15 +117,13 @@ def tree_keys(reps: DataFrame, depths: tuple[int, ...] = DEPTHS[:1]) -> DataFram
                 batch = big.slice(lo, EMIT_ROWS)
                 values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
                 state = np.broadcast_to(seeds, (len(values), TREES)).copy()
-                keys = {}
-                for d in range(depths[-1]):
+                for d in range(DEPTH):
                     state = mix64(state * np.uint64(31) + values[:, _ORDER[:, d]])
-                    if d + 1 in depths:
-                        keys[d + 1] = state.view(np.int64).ravel()
                 ids = np.repeat(batch.column(0).to_numpy(), TREES)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(keys[d]) for d in depths)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(state.view(np.int64).ravel())],
+                                                 names=["doc_id", "region"])
 
-    return reps.select("doc_id", "signature").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return reps.select("doc_id", "signature").mapInArrow(run, "doc_id bigint, region bigint")
 
 
 def sketch_passes(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -134,31 +138,39 @@ def sketch_passes(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFr
     return pairs.filter(sizes & (agree >= least)).select("a", "b")
 
 
+def picked_sets(ids: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str):
+    """An iterator function from Arrow batches to (ids, sets) of the texts that a Bloom filter
+    of ``ids`` (column id) picks, and the (id, text) table to map it over."""
+    bits = filter_bits(ids.count(), MAX_FILTER_BYTES)
+    shared = docs.sparkSession.sparkContext.broadcast(member_plane(ids, "id", bits))
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+        sep = separators()
+        for batch in batches:
+            batch = batch.filter(pa.array(in_plane(batch.column(0).to_numpy(zero_copy_only=False), shared.value, bits)))
+            raw, offsets = text_buffers(batch.column(1))
+            for lo, hi in chunks(offsets):
+                yield batch.column(0).slice(lo, hi - lo), shingle_sets(raw, offsets[lo:hi + 1], k, sep)
+
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    return picked, own
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Pairs (a, b) with 100 * |a & b| >= percent * |a | b| on full sets; only texts
     of the pairs (picked by a Bloom filter of their ids) have their sets made and moved."""
     pairs = stash_narrow(pairs, "near-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
-    count = ids.count()
-    if not count:
+    if ids.isEmpty():
         return pairs
-    bits = filter_bits(count, MAX_FILTER_BYTES)
-    plane = member_plane(ids, "id", bits)
-    shared = docs.sparkSession.sparkContext.broadcast(plane)
+    picked, own = picked_sets(ids, docs, k, id_col, text_col)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sep = separators()
-        for batch in batches:
-            batch = batch.filter(pa.array(in_plane(batch.column(0).to_numpy(zero_copy_only=False), shared.value, bits)))
-            raw, offsets = text_buffers(batch.column(1))
-            for lo, hi in chunks(offsets):
-                sets = shingle_sets(raw, offsets[lo:hi + 1], k, sep)
-                ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                values = pa.array(np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(ends, values)],
-                                                 names=["id", "set"])
+        for id_, sets in picked(batches):
+            ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
+            values = pa.array(np.concatenate(sets).view(np.int64))
+            yield pa.RecordBatch.from_arrays([id_, pa.ListArray.from_arrays(ends, values)], names=["id", "set"])
 
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     sets = stash(own.mapInArrow(make, "id bigint, set array<bigint>"), "near-sets")
     wide = (pairs.join(sets.withColumnRenamed("id", "a").withColumnRenamed("set", "set_a"), "a")
             .join(sets.withColumnRenamed("id", "b").withColumnRenamed("set", "set_b"), "b"))
@@ -167,22 +179,60 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
     return stash_narrow(wide.filter(linked).select("a", "b"), "near-links")
 
 
-def deepened(members: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
-    """(region, doc_id, component) with at most REGION members a region, and those
-    rows that were still crowded at full depth (their regions are chunks)."""
-    done, active = None, members
-    for depth in DEPTHS:
-        key = f"k{depth}"
-        counts = stash_narrow(active.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-counts")
-        sized = active.join(counts, key)
-        some = sized.filter(F.col("n") <= REGION).select(F.col(key).alias("region"), "doc_id", "component")
-        done = some if done is None else done.unionAll(some)
-        active = stash_narrow(sized.filter(F.col("n") > REGION), "near-crowded")
-        if depth != DEPTHS[-1]:
-            active = active.drop("n")
-    part = F.pmod(F.xxhash64("doc_id", F.lit(salt), F.col(f"k{DEPTHS[-1]}")), F.ceil(F.col("n") / REGION))
-    crowded = active.select(F.xxhash64(f"k{DEPTHS[-1]}", part).alias("region"), "doc_id", "component")
-    return done, crowded
+def prefixes(members: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(shingle, doc_id, size, position): the rare end of every member's set, as long as a partner at
+    the threshold must meet it there; without shingles that no other member has."""
+    total = members.agg(F.sum("n_shingles")).first()[0]
+    slots = min(MAX_SLOTS, 1 << (total * SLOTS_PER_SHINGLE - 1).bit_length())
+    picked, own = picked_sets(members.select(F.col("doc_id").alias("id")), docs, k, id_col, text_col)
+
+    def slot(s: np.ndarray) -> np.ndarray:
+        return (mix64(s) & np.uint64(slots - 1)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(slots, np.int32)
+        for _, sets in picked(batches):
+            np.add.at(held, slot(np.concatenate(sets)), 1)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at].astype(np.int64))], names=["slot", "n"])
+
+    # At most MAX_SLOTS rows reach the driver.
+    sums = own.mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    counts = np.ones(slots, np.int32)
+    counts[sums.column(0).to_numpy()] = np.minimum(sums.column(1).to_numpy(), 2**31 - 1)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in picked(batches):
+            parts = []
+            for i, s in enumerate(sets):
+                n = shared.value[slot(s)]
+                by = np.lexsort((s, n))[:len(s) - -(-percent * len(s) // 100) + 1]
+                at = np.flatnonzero(n[by] > 1)
+                parts.append((s[by[at]].view(np.int64), np.full(len(at), i), np.full(len(at), len(s)), at))
+            shingle, row, size, at = (np.concatenate(c) for c in zip(*parts))
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), ids.take(pa.array(row)), pa.array(size), pa.array(at)],
+                                             names=["shingle", "doc_id", "size", "position"])
+
+    return own.mapInArrow(emit, "shingle bigint, doc_id bigint, size bigint, position bigint")
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of different components that share a shingle of ``rows`` (``prefixes`` with component)
+    where both sets still have room for the overlap of a link."""
+    # Of the components that meet at a shingle, the largest is not paired with itself.
+    major = (rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("shingle").agg(F.max_by("component", "n").alias("major"), F.count(F.lit(1)).alias("k"))
+             .filter("k > 1").select("shingle", "major"))
+    rows = stash_narrow(rows.join(major, "shingle"), "near-prefixes")
+    cols = ("doc_id", "size", "position", "component")
+    left = rows.filter("component <> major").select("shingle", *(F.col(c).alias(f"{c}_a") for c in cols))
+    right = rows.select("shingle", "major", *(F.col(c).alias(f"{c}_b") for c in cols))
+    room = F.least(F.expr("size_a - position_a"), F.expr("size_b - position_b"))
+    fits = room * (100 + percent) >= F.expr("size_a + size_b") * percent
+    once = F.expr("component_b = major or doc_id_a < doc_id_b")
+    met = left.join(right, (left["shingle"] == right["shingle"]) & F.expr("component_a <> component_b") & once & fits)
+    return met.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
 def cross_pairs(regions: DataFrame) -> DataFrame:
@@ -202,33 +252,26 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     reps = stash_narrow(classes.filter("doc_id = rep").select("doc_id").distinct()
                  .join(found.filter("n_shingles > 0"), "doc_id"), "near-reps")
 
-    key = f"k{DEPTHS[0]}"
-    regions = stash_narrow(tree_keys(reps).groupBy(key).agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n"))
+    regions = stash_narrow(tree_keys(reps).groupBy("region").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n"))
                     .filter("n > 1"), "near-regions")
-    members = stash_narrow(tree_keys(reps).join(regions.select(key, "leader"), key), "near-members")
+    members = stash_narrow(tree_keys(reps).join(regions, "region"), "near-members")
     star = members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
     links = confirmed(sketch_passes(star, reps, percent), docs, shingle_words, percent, id_col, text_col)
 
-    groups, salt = stash_narrow(components(links), "near-groups"), 0
-    while True:
-        own = (members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-               .withColumn("component", F.coalesce("component", "doc_id")))
-        mixed = stash_narrow(own.groupBy(key).agg(F.min("component").alias("x"), F.max("component").alias("y"))
-                      .filter("x <> y").select(key), "near-mixed")
-        if mixed.isEmpty():
-            break
-        open_ = stash_narrow(own.join(mixed, key).select("doc_id", key, "component"), "near-open")
-        deep = tree_keys(reps.join(open_.select("doc_id").distinct(), "doc_id"), DEPTHS)
-        done, crowded = deepened(stash_narrow(open_.join(deep, ["doc_id", key]), "near-deep"), salt)
-        tests = cross_pairs(crowded if salt else done.unionAll(crowded))
-        new = confirmed(sketch_passes(tests, reps, percent), docs, shingle_words, percent, id_col, text_col)
-        if new.isEmpty():
-            break
-        links = links.unionAll(new)
+    groups = stash_narrow(components(links), "near-groups")
+    own = (members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+           .withColumn("component", F.coalesce("component", "doc_id")))
+    mixed = own.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
+    open_ = stash_narrow(own.join(mixed, "region").select("region", "n", "doc_id", "component"), "near-open")
+    if not open_.isEmpty():
+        tests = sketch_passes(cross_pairs(open_.filter(F.col("n") <= REGION)), reps, percent)
+        crowded = stash_narrow(open_.filter(F.col("n") > REGION).select("doc_id", "component").distinct()
+                               .join(reps.select("doc_id", "n_shingles"), "doc_id"), "near-crowded")
+        if not crowded.isEmpty():
+            rows = prefixes(crowded, docs, shingle_words, percent, id_col, text_col)
+            tests = tests.unionAll(prefix_pairs(rows.join(crowded.select("doc_id", "component"), "doc_id"), percent)).distinct()
+        links = links.unionAll(confirmed(tests, docs, shingle_words, percent, id_col, text_col))
         groups = stash_narrow(components(links), "near-groups")
-        if crowded.isEmpty():
-            break
-        salt += 1
 
     merged = (classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
               .select("doc_id", F.coalesce("component", "rep").alias("component_id"))

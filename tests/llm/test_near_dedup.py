@@ -72,6 +72,18 @@ def test_crowded_regions_lose_no_group(spark, monkeypatch):
     assert got == brute(rows, 2)
 
 
+def test_links_inside_a_large_family_on_shared_boilerplate(spark, monkeypatch):
+    """Members are alike by 0.75 to 0.79, so a family stays apart, but for the two with shorter tails (0.82)."""
+    monkeypatch.setattr(near_dedup, "REGION", 2)
+    rng = random.Random(11)
+    shared = [f"s{i}" for i in range(200)]
+    rows = [(i, " ".join(shared + [f"u{rng.randrange(10**9)}" for _ in range(22 if i in (70, 90) else 31)])) for i in range(250)]
+    want = brute(rows, 5)
+    assert sum(not kept for _, _, kept in want.values()) == 1
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == want
+
+
 def test_repeated_rows_and_empty_table(spark):
     out = near_dedup.near_duplicates(docs(spark, [(1, "a b c"), (1, "a b c"), (2, "a b c")]), 2).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [(1, 1, True), (1, 1, True), (2, 1, False)]
