@@ -5,8 +5,10 @@ bigram models, one of random strings and one of ordinary identifiers, score
 every other long token; a token whose log-likelihood ratio per character is at
 least ``MIN_RATIO`` is a ``markov`` span. The models learn from labelled
 samples that the corpus gives: secrets that the base rules found are the random
-class; words of ``IDENTIFIER`` outside them that occur more than once are the
-ordinary one (a random string hardly comes twice). Counts cover all rows.
+class; words of ``IDENTIFIER`` outside them are the ordinary one, but for those of
+runs with digits between letters or of quickly changing case (``MIXED``), as random
+strings have. A secret counts once however often it occurs, a word once for every
+different word before it, so copies of rows teach nothing. Counts cover all rows.
 
 Offsets are code points: the gaps between matches (``split``) and the matches
 (``regexp_extract_all``) alternate, so running lengths give every start.
@@ -35,6 +37,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 TOKEN = "[A-Za-z0-9+/_=-]{16,}"           # scored where it has a letter and a digit
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]{7,}"
+RUN = "[A-Za-z0-9+/_=-]{8,}"              # what words are taken from
+MIXED = "[A-Za-z][0-9]+[A-Za-z]|[a-z][A-Z][a-z]?[A-Z]|[A-Z][a-z][A-Z]"
 ALPHABET = 128                            # ASCII
 SYMBOLS = 66                              # letters, digits, + / _ =
 MIN_RATIO = 0.5                           # nats per character
@@ -82,13 +86,15 @@ def ratios(docs: DataFrame, id_col: str, text_col: str) -> list[float]:
     """Random-to-ordinary log ratio of every pair (ALPHABET x ALPHABET numbers)."""
     spans = base_spans(docs, id_col, text_col).withColumn("some", F.expr("size(assign) + size(access) + size(hex) > 0"))
     secrets = (spans.filter("some").select(F.explode(F.concat("assign", "access", "hex")).alias("s"))
-               .groupBy(F.col("s.value").alias("word")).agg(F.count(F.lit(1)).alias("n")))
+               .select(F.col("s.value").alias("word")).distinct().withColumn("n", F.lit(1)))
     plain = F.col("text")
     for rule in (ASSIGN, ACCESS, HEX):
         plain = F.regexp_replace(plain, rule, " ")
-    words = (spans.select(F.explode(F.regexp_extract_all(F.when(F.col("some"), plain).otherwise(F.col("text")),
-                                                         F.lit(IDENTIFIER), F.lit(0))).alias("word"))
-             .groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    runs = F.regexp_extract_all(F.when(F.col("some"), plain).otherwise(F.col("text")), F.lit(RUN), F.lit(0))
+    named = F.array_join(F.filter(runs, lambda r: ~r.rlike(MIXED)), " ")
+    words = (spans.select(F.regexp_extract_all(named, F.lit(IDENTIFIER), F.lit(0)).alias("w"))
+             .select(F.explode(F.expr("transform(w, (x, i) -> struct(x as word, xxhash64(get(w, i - 1)) as before))")).alias("s"))
+             .select("s.word", "s.before").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     # At most ALPHABET^2 pairs a class reach the driver.
     counts = [{r["pair"]: r["n"] for r in bigrams(side).collect()} for side in (secrets, words)]
     if not counts[1]:

@@ -57,6 +57,22 @@ def test_markov_finds_random_tokens_and_spares_names(spark):
     assert all(got[i].n_markov == 0 for i, _ in data if i < 200)
 
 
+def test_copied_tokens_stay_secrets(spark):
+    """Tokens in 2 and in 1,000 documents score as those in one."""
+    rng = random.Random(2)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    words = "customer order shipment configuration maximum throughput partition handler available repository".split()
+    data = [(i, " ".join(rng.choice(words) for _ in range(200))) for i in range(60)]
+    data += [(100 + i, f"token={key(32)} and password: {key(24)}") for i in range(40)]
+    tokens = [key(32) + "7z" for _ in range(12)]
+    for i, t in enumerate(tokens):
+        data += [(10_000 * (i + 1) + j, f"configuration {t} shipment") for j in range(2 if i < 6 else 1000)]
+    out = secrets.scan(rows(spark, data)).filter("doc_id >= 10000").collect()
+    lost = {r.doc_id // 10_000 for r in out if r.spans != "markov:14:48"}
+    assert len(out) == 6012 and not lost
+
+
 def test_plan_is_native(spark):
     df = secrets.scan(rows(spark, [(1, "password=abcdefgh")] * 2))
     assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
