@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, exact_dedup, language, near_dedup, packing, secrets, site_tree, substring_dedup, toxicity, warc
+from quarry.llm import (
+    bin_completion, decontaminate, exact_dedup, fp_search, language, near_dedup, orchard, packing, secrets, site_tree,
+    substring_dedup, toxicity, warc,
+)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +59,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bin_completion.pack_few(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_fp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fp_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_orchard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orchard.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -67,8 +83,60 @@ QUERIES: dict[str, QueryFn] = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_secrets": op10_secrets,
+    "op11_bin_completion": op11_bin_completion,
+    "op12_fp_search": op12_fp_search,
+    "op13_orchard": op13_orchard,
 }
 
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERMS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED_SQL = f"""
+        WITH q AS (SELECT item_id, unnest({TERMS}) AS term FROM benchmark),
+        i AS (SELECT item_id, term, count(*) AS repeats FROM q GROUP BY ALL),
+        t AS (SELECT row_number() OVER () AS row, doc_id, {TERMS} AS terms FROM documents),
+        c AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS total FROM t WHERE len(terms) > 0),
+        p AS (SELECT row, doc_id, n, term, count(*) AS tf
+              FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM t) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+              FROM p JOIN c ON true WHERE term IN (SELECT term FROM i) GROUP BY term, n_docs),
+        s AS (SELECT item_id, row, doc_id, sum(repeats * w * ((1000000000 * tf)
+                         // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // total))))::BIGINT AS score
+              FROM i JOIN w USING (term) JOIN p USING (term) JOIN c ON true GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20"""
+
+
+def codes_sql() -> str:
+    """Product quantisation by comparing every part with all 64 entries."""
+    away = "list_sum(list_transform(list_zip(p.part, b.entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = ["""v AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS row,
+                     list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vec
+              FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             """p AS (SELECT row, pos, vec[pos * w + 1:(pos + 1) * w] AS part
+              FROM (SELECT row, vec, len(vec) // 16 AS w, unnest(range(16)) AS pos FROM v))""",
+             "b0 AS (SELECT pos, row - 1 AS i, part AS entry FROM p WHERE row <= 64)"]
+    for n in range(3):
+        steps.append(f"""a{n} AS (SELECT row, pos, min({{'d': {away}, 'i': b.i}}) AS near
+              FROM p JOIN b{n} b USING (pos) GROUP BY row, pos)""")
+        if n < 2:
+            steps.append(f"""m{n} AS (SELECT pos, i, list(mean ORDER BY k) AS entry FROM (
+                  SELECT pos, i, k, floor(sum(x) / count(*))::BIGINT AS mean
+                  FROM (SELECT pos, a.near.i AS i, unnest(part) AS x, unnest(range(len(part))) AS k
+                        FROM p JOIN a{n} a USING (row, pos)) GROUP BY pos, i, k) GROUP BY pos, i)""")
+            steps.append(f"""b{n + 1} AS (SELECT pos, i, coalesce(m.entry, b.entry) AS entry
+              FROM b{n} b LEFT JOIN m{n} m USING (pos, i))""")
+    steps.append("""c AS (SELECT row, string_agg(lower(printf('%02x', near.i)), '' ORDER BY pos) AS code,
+                     sum(near.d)::BIGINT AS error FROM a2 GROUP BY row)""")
+    steps.append("""h AS (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY pos, i)) AS codebooks_sha256
+              FROM b2)""")
+    return f"""
+        WITH {', '.join(steps)}
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+        FROM v JOIN c USING (row) JOIN h ON true"""
+
+
 ORACLE: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -87,4 +155,6 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM n WINDOW w AS (PARTITION BY text_sha256)""",
+    "op12_fp_search": RANKED_SQL,
+    "op13_orchard": codes_sql(),
 }
