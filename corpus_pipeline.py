@@ -12,6 +12,11 @@ as Parquet and read again as the next one's docs. The first four keep rows of
 * benchmark: rows that hold a benchmark item (five-word shingles, 0.8) go.
 * packing: windows of 4096 tokens.
 
+Defined cases: rows of null or letterless text go in the first stage; texts of any
+length are read whole; rows that repeat one id and text are one document and stay
+together, of several ids the smallest stays; an empty table gives no pieces; columns
+beside those of ``documents`` are carried to the last stage, whatever their names.
+
 ``ORACLE_SQL`` is None: language models and SimHash have no SQL; the stages are
 tested against brute force instead (tests/llm/test_pipeline.py).
 """
@@ -21,10 +26,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import decontaminate, exact_dedup, language, near_dedup, packing
-from quarry.llm.common import stash
+from quarry.llm.common import fresh_name, stash
 
 SHINGLE_WORDS, PERCENT = 5, 80
 MIN_COSINE = 0.02
+PACKING_WORDS = 100_000        # words a worker remembers while it packs: executors are full by then
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +43,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(docs, SHINGLE_WORDS, PERCENT)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    own = fresh_name(docs, "gone")
+    gone = found.filter("not kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +54,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=PACKING_WORDS)
 
 
 STAGES = [

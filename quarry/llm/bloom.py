@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quarry.llm.common import mix64
+from quarry.llm.common import give_back, mix64
 
 HASHES = 3
 BITS_PER_KEY = 16
@@ -88,6 +88,7 @@ def _plane(df: DataFrame, key: str, bits: int, least: int) -> np.ndarray:
         yield pd.DataFrame(rows, columns=["seg", "once", "twice"])
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back("bloom")
         held, size = [], 0
         for batch in batches:
             held.append(batch[key].to_numpy())

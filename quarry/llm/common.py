@@ -10,6 +10,9 @@ stand; different words collide with a chance of about 2^-60 per pair.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,9 @@ CHUNK_BYTES = 1 << 18          # text bytes hashed at a time (a longer single te
 
 FILES_PER_CORE = 2
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20          # bytes of an Arrow batch, unless the session sets its own
+
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POW_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -31,8 +37,11 @@ WHITE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 
 
 def prepare(spark: SparkSession) -> None:
-    """Shared checkpoint folder known, package importable in Python workers."""
+    """Shared checkpoint folder known, package importable in Python workers, and Arrow
+    batches bounded by bytes: whole texts are long, so a bound on rows is none."""
     ensure_checkpoint_dir(spark)
+    if spark.conf.get(ARROW_BYTES).rstrip("bB") == str(64 << 20):       # Spark's own default
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     ship_package(spark)
 
 
@@ -46,6 +55,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stash_narrow(df: DataFrame, name: str) -> DataFrame:
     """``stash`` for tables of ids and counts: at most FILES_PER_CORE files for every
     core of the cluster. Shuffle partitions are then written several by one task,
@@ -54,6 +71,28 @@ def stash_narrow(df: DataFrame, name: str) -> DataFrame:
     return stash(df.coalesce(files), name)
 
 
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, drop: Callable[[], None]) -> None:
+    """Note that tasks of ``owner`` leave something in this worker process for later tasks."""
+    _KEPT[owner] = drop
+
+
+def give_back(owner: str = "") -> None:
+    """Drop what tasks of other operators left in this reused worker process, and return
+    the memory to the system. Called where a task begins."""
+    others = [o for o in _KEPT if o != owner]
+    for other in others:
+        _KEPT.pop(other)()
+    if others:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):           # another C library: it keeps its free lists
+            pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 (uint64 in, uint64 out)."""
     x = x ^ (x >> np.uint64(30))

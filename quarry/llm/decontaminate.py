@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quarry.llm.common import Words, chunks, mix64, prepare, separators, shingle_hashes, stash, text_buffers
+from quarry.llm.common import Words, chunks, give_back, mix64, prepare, separators, shingle_hashes, stash, text_buffers
 
 SHINGLE = 5
 PERCENT = 80
@@ -282,6 +282,7 @@ def leaks_nothing(shared):
 
     @pandas_udf("boolean")
     def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        give_back("decontaminate")
         index, sep = Index(*shared.value), separators(white_only=False)
         for texts in batches:
             raw, offsets = text_buffers(pa.array(texts, pa.string(), from_pandas=True))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.bloom import filter_bits, may_contain, repeated_plane
-from quarry.llm.common import prepare, stash
+from quarry.llm.common import fresh_name, prepare, stash
 
 MAX_FILTER_BYTES = 64 << 20    # size bound of the broadcast filter
 SALTS = 64                     # parts that a group of equal texts is dealt into for its join
@@ -56,5 +56,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that stay, all columns as they were."""
-    dropped = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    gone = fresh_name(docs, "dropped")
+    dropped = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(gone))
+    return docs.join(dropped, F.col(id_col) == F.col(gone), "left_anti")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quarry.llm.common import prepare
+from quarry.llm.common import fresh_name, give_back, prepare
 from quarry.llm.letters import gram_codes, letter_runs, text_chunks
 
 DIM = 1024
@@ -152,6 +152,7 @@ def predicted(docs: DataFrame, langs: list[str], protos: np.ndarray, text_col: s
 
     @pandas_udf("lang_pred string, score double")
     def found(texts: pd.Series) -> pd.DataFrame:
+        give_back("language")
         lang, score = classify(texts.tolist(), langs, model.value, order, Space(model.value.shape[1]))
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
@@ -170,8 +171,9 @@ def accepted(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: st
     """Rows of ``docs`` whose language is known with a cosine of at least ``least``, columns as they were."""
     prepare(docs.sparkSession)
     langs, protos = prototypes(docs.filter(fold(F.col(id_col)) != 2), text_col, lang_col, dim, order)
-    verdict = docs.withColumn("_found", predicted(docs, langs, protos, text_col, order))
-    return verdict.filter((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least)).select(*docs.columns)
+    found = fresh_name(docs, "found")
+    verdict = docs.withColumn(found, predicted(docs, langs, protos, text_col, order))
+    return verdict.filter((F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= least)).drop(found)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

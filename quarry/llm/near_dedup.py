@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.bloom import filter_bits, in_plane, member_plane
-from quarry.llm.common import Words, chunks, mix64, prepare, separators, shingle_hashes, stash, stash_narrow, text_buffers
+from quarry.llm.common import Words, chunks, give_back, mix64, prepare, separators, shingle_hashes, stash, stash_narrow, text_buffers
 from quarry.llm.links import components, with_minimum
 
 PERMUTATIONS = 128
@@ -81,6 +81,7 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     """Set size, set hash (h1, h2), sketch (s1, s2) and MinHash values of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back("near")
         sep = separators()
         for batch in batches:
             raw, offsets = text_buffers(batch.column(1))

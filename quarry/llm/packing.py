@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import prepare, stash
+from quarry.llm.common import give_back, keep, prepare, row_slices, stash
 
 WINDOW = 4096
 END_ID = 2
 MAX_PIECE = 1024               # longest piece of what does not fill a window alone
 GROUP_WINDOWS = 256            # windows' worth of tokens that one task packs
-CACHE_WORDS = 1_000_000        # words whose ids a task remembers before it starts anew
+CACHE_WORDS = 500_000          # words whose ids a worker remembers in each of two generations
 BATCH_WORDS = 20_000           # unknown words encoded at a time
 BATCH_CHARS = 1 << 19          # characters of texts whose words are looked up together
 
@@ -55,7 +55,8 @@ class Encoder:
 
     PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+)([.,;:!?%&$#*)]*)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # one thread per Spark task slot
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
@@ -68,6 +69,16 @@ class Encoder:
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {"": b""}
+        self.old_known: dict[str, bytes] = {}
+        self.old_stems: dict[str, bytes] = {}
+
+    def make_room(self, more: int) -> None:
+        """A full generation becomes the old one; its words come back when met again, and
+        those met no more go with the next."""
+        if len(self.known) + more > self.cache_words:
+            self.old_known, self.known = self.known, {"": b""}
+        if len(self.stems) + more > self.cache_words:
+            self.old_stems, self.stems = self.stems, {"": b""}
 
     def learn(self, words: list[str]) -> None:
         plain, other, fresh = [], [], set()
@@ -80,7 +91,10 @@ class Encoder:
             stem = stem.lower()
             plain.append((word, stem, tail))
             if stem not in stems:
-                fresh.add(stem)
+                if (ids := self.old_stems.get(stem)) is None:
+                    fresh.add(stem)
+                else:
+                    stems[stem] = ids
             if tail not in known:
                 self.slow([tail])
         if fresh:
@@ -113,19 +127,31 @@ class Encoder:
                 size += len(texts[at])
                 at += 1
             split = [t.replace("\n", " ").split(" ") for t in texts[lo:at]]
-            new = set().union(*split).difference(self.known)
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known, self.stems = {"": b""}, {"": b""}
-                new = set().union(*split) - {""}
+            words = set().union(*split)
+            new = words.difference(self.known)
+            if len(self.known) + len(new) > self.cache_words:
+                self.make_room(len(new))
+                new = words.difference(self.known)
+            if self.old_known:
+                back = new.intersection(self.old_known)
+                self.known.update([(word, self.old_known[word]) for word in back])
+                new -= back
             self.learn(list(new))
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    """One a worker process: later tasks find the words that earlier ones met."""
-    return Encoder(path)
+def shared_encoder(path: str, cache_words: int) -> Encoder:
+    return Encoder(path, cache_words)
+
+
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> Encoder:
+    """One a worker process: later tasks find the words that earlier ones met, until a
+    task of another operator begins there."""
+    give_back("encoder")
+    keep("encoder", shared_encoder.cache_clear)
+    return shared_encoder(path, cache_words)
 
 
 def cut(tokens: int, window: int, max_piece: int) -> list[tuple[int, int]]:
@@ -141,25 +167,26 @@ def cut(tokens: int, window: int, max_piece: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-           window: int = WINDOW, max_piece: int = MAX_PIECE) -> DataFrame:
+           window: int = WINDOW, max_piece: int = MAX_PIECE, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Token pieces of every document (PIECE_SCHEMA); uid tells repeated rows apart."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer_path)
+        ids_of = encoder(tokenizer_path, cache_words)
         uid = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            rows = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), ids_of.encode(texts)):
-                ids += end
-                total = len(ids) // 4
-                for start, length in cut(total, window, max_piece):
-                    rows.append((doc, start, length, zlib.crc32(ids[4 * start:4 * (start + length)]), total, uid))
-                    uid += 1
-            cols = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid"])
+        for whole in batches:
+            for batch in row_slices(whole, 1):
+                rows = []
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for doc, ids in zip(batch.column(0).to_pylist(), ids_of.encode(texts)):
+                    ids += end
+                    total = len(ids) // 4
+                    for start, length in cut(total, window, max_piece):
+                        rows.append((doc, start, length, zlib.crc32(ids[4 * start:4 * (start + length)]), total, uid))
+                        uid += 1
+                cols = list(zip(*rows)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
+                                                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "uid"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, PIECE_SCHEMA)
 
@@ -167,41 +194,44 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Karmarkar-Karp k-way partition: (window of each size, load of each window).
 
-    Slots of partial partitions form a forest: a merge makes k new slots, each
-    the parent of one slot of either side; windows are read off top-down."""
+    A partial partition keeps its filled slots alone, fullest first (at first one slot
+    with one piece); the slots it does not name are empty. Slots form a forest: a
+    slot that a merge joins from either side gets a number of its own, the parent
+    of both; windows are read off top-down."""
     n = len(sizes)
     if n == 0 or k == 1:
         return np.zeros(n, np.int64), np.array([sizes.sum()])
-    order = np.argsort(-sizes, kind="stable")
     heap = []
-    for rank, item in enumerate(order):
-        loads = np.zeros(k, np.int64)
-        loads[0] = sizes[item]
-        slots = np.full(k, -1, np.int64)
-        slots[0] = item
-        heap.append((-int(sizes[item]), rank, loads, slots))
+    for rank, item in enumerate(np.argsort(-sizes, kind="stable").tolist()):
+        size = int(sizes[item])
+        heap.append((-size, rank, [size], [item]))
     merges, nodes, tie = [], n, n
     while len(heap) > 1:
         _, _, la, sa = heapq.heappop(heap)
         _, _, lb, sb = heapq.heappop(heap)
-        loads = la + lb[::-1]                       # descending meets ascending
-        by = np.argsort(-loads, kind="stable")
-        loads, a, b = loads[by], sa[by], sb[::-1][by]
-        slots = np.where((a < 0) & (b < 0), -1, np.arange(nodes, nodes + k))
-        slots = np.where((a >= 0) & (b < 0), a, np.where((b >= 0) & (a < 0), b, slots))
-        both = (a >= 0) & (b >= 0)
-        merges.append((slots[both], a[both], b[both]))
-        nodes += k
-        loads_spread = int(loads[0] - loads[-1])
-        heapq.heappush(heap, (-loads_spread, tie, loads, slots))
+        if len(la) + len(lb) <= k:                  # every filled slot meets an empty one
+            loads, slots = la + lb, sa + sb
+        else:                                       # the fullest of one side meet the emptiest of the other
+            both = len(la) + len(lb) - k
+            alone = k - len(lb)
+            loads, slots = la[:alone] + lb[:k - len(la)], sa[:alone] + sb[:k - len(la)]
+            joined = list(range(nodes, nodes + both))
+            merges.append((joined, sa[alone:], sb[k - len(la):][::-1]))
+            loads += [x + y for x, y in zip(la[alone:], lb[k - len(la):][::-1])]
+            slots += joined
+            nodes += both
+        by = sorted(range(len(loads)), key=loads.__getitem__, reverse=True)
+        loads, slots = [loads[i] for i in by], [slots[i] for i in by]
+        spread = loads[0] - (loads[-1] if len(loads) == k else 0)
+        heapq.heappush(heap, (-spread, tie, loads, slots))
         tie += 1
     _, _, loads, slots = heap[0]
     window = np.full(nodes, -1, np.int64)
-    window[slots[slots >= 0]] = np.flatnonzero(slots >= 0)
-    for parent, a, b in reversed(merges):
-        window[a] = window[parent]
-        window[b] = window[parent]
-    return window[:n], loads
+    window[slots] = np.arange(len(slots))
+    for parents, a, b in reversed(merges):
+        window[a] = window[parents]
+        window[b] = window[parents]
+    return window[:n], np.array(loads + [0] * (k - len(loads)))
 
 
 def pack_group(sizes: np.ndarray, window: int) -> np.ndarray:
@@ -216,10 +246,12 @@ def pack_group(sizes: np.ndarray, window: int) -> np.ndarray:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-         window: int = WINDOW, max_piece: int = MAX_PIECE, group_windows: int = GROUP_WINDOWS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+         window: int = WINDOW, max_piece: int = MAX_PIECE, group_windows: int = GROUP_WINDOWS,
+         cache_words: int = CACHE_WORDS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    ``cache_words`` trades a worker's memory (some 200 bytes a word and generation) for time."""
     prepare(docs.sparkSession)
-    table = stash(pieces(docs, tokenizer_path, id_col, text_col, window, max_piece), "pack-pieces")
+    table = stash(pieces(docs, tokenizer_path, id_col, text_col, window, max_piece, cache_words), "pack-pieces")
     full = table.filter(F.col("length") == window)
     rest = table.filter(F.col("length") < window)
     tokens = rest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]

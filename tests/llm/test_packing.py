@@ -73,3 +73,30 @@ def test_differencing_is_a_partition(seed):
     assert np.bincount(where, weights=sizes, minlength=20).astype(int).tolist() == loads.tolist()
     assert loads.max() - loads.min() < 0.02 * loads.mean()
     assert np.bincount(packing.pack_group(sizes, 2000), weights=sizes).max() <= 2000
+
+
+def test_small_cache_gives_the_same_ids():
+    texts = [f"word{i % 7} Other{i} again, stem{i % 90}s {i}" for i in range(600)]
+    plain, small = packing.Encoder(PATH), packing.Encoder(PATH, cache_words=50)
+    want = list(plain.encode(texts))
+    for _ in range(2):
+        got = [ids for lo in range(0, 600, 20) for ids in small.encode(texts[lo:lo + 20])]
+        assert got == want
+    assert len(small.known) <= 200
+
+
+def test_differencing_of_many_tiny_pieces():
+    import tracemalloc
+    tracemalloc.start()
+    where = packing.pack_group(np.full(100_000, 1), 4096)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+    assert np.bincount(where).max() <= 4096 and where.max() + 1 == 25
+
+
+def test_differencing_loads_add_up():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        sizes, k = rng.integers(1, 50, rng.integers(1, 40)), int(rng.integers(1, 12))
+        where, loads = packing.difference(sizes, k)
+        assert (np.bincount(where, sizes, k).astype(int) == loads).all() and len(loads) == k

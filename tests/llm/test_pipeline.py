@@ -91,3 +91,15 @@ def test_edge_rows_pass_every_stage(spark):
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_clashing_columns_are_carried(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    wide = docs.select("*", *[F.lit(n).alias(c) for n, c in enumerate(
+        ["found", "gone", "dropped", "_found", "_gone", "_dropped", "kept", "digest", "score", "signature", "leaks", "spans"])])
+    narrow = docs
+    for _, stage in cp.STAGES[:-1]:
+        wide, narrow = stage(spark, wide, SF), stage(spark, narrow, SF)
+    assert wide.columns[:len(docs.columns)] == docs.columns and wide.columns[-1] == "spans"
+    assert {r.doc_id for r in wide.collect()} == {r.doc_id for r in narrow.collect()}
+    assert all(r[-12:] == tuple(range(12)) for r in wide.collect())
