@@ -8,10 +8,9 @@ column, not a copy of the code per stage):
 * ``pages`` — raw HTML parsed to markdown (``file_type = 'PAGE'``), stage =
   URL host.
 
-Parsing, classification input, keyword classes and the fixed/line chunkers
-are JVM expressions; classification happens before the chunk explode, so it
-runs once per file. The recursive splitter and the learned classifier are
-the only Python steps (Arrow batches / ``pyspark.ml``).
+Parsing, classification input, keyword classes and all chunkers are JVM
+expressions; classification happens before the chunk explode, so it runs once
+per file. The learned classifier is ``pyspark.ml``.
 """
 
 from __future__ import annotations
@@ -117,7 +116,7 @@ def _sql_files() -> str:
         f"SELECT url, 'PAGE', regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1), {page_md} FROM pages")
 
 
-def _sql_chunks() -> str:
+def sql_chunk_table() -> str:
     cls = X.sql_keyword_class("(source_file || '. ' || left(doc_text, 500))", KEYWORDS)
     return (
         f"WITH files AS ({_sql_files()}), "
@@ -127,7 +126,7 @@ def _sql_chunks() -> str:
         "CAST(i - 1 AS BIGINT) AS chunk_index FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM cf)")
 
 
-register("docs_chunks", _sql_chunks())(chunk_table)
+register("docs_chunks", sql_chunk_table())(chunk_table)
 
 
 # --- chunkers on documents (T2) ---------------------------------------------
@@ -217,7 +216,7 @@ register("classify_rules",
 
 
 @register("classification_check",
-          f"WITH t AS ({_sql_chunks()}) "
+          f"WITH t AS ({sql_chunk_table()}) "
           f"SELECT DISTINCT source_file, product_category, {X.sql_keyword_class('source_file', KEYWORDS)} AS expected_category, "
           f"CASE WHEN product_category = {X.sql_keyword_class('source_file', KEYWORDS)} THEN 'CORRECT' ELSE 'MISMATCH' END "
           "AS classification_result FROM t")
@@ -287,7 +286,7 @@ def describe_files(df: DataFrame, describe_batch, prompt_col: str = "prompt") ->
 # --- checks on the chunk table (Q2, Q3, Q4) --------------------------------------
 
 @register("chunk_counts_by_type",
-          f"WITH t AS ({_sql_chunks()}) SELECT file_type, product_category, CAST(COUNT(*) AS BIGINT) AS chunk_count, "
+          f"WITH t AS ({sql_chunk_table()}) SELECT file_type, product_category, CAST(COUNT(*) AS BIGINT) AS chunk_count, "
           "CAST(COUNT(DISTINCT source_file) AS BIGINT) AS file_count FROM t GROUP BY 1, 2")
 def chunk_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = chunk_table(spark, sf_dir)
@@ -297,7 +296,7 @@ def chunk_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("chunks_per_file",
-          f"WITH t AS ({_sql_chunks()}) SELECT source_file, file_type, product_category, "
+          f"WITH t AS ({sql_chunk_table()}) SELECT source_file, file_type, product_category, "
           "CAST(COUNT(*) AS BIGINT) AS chunks FROM t GROUP BY 1, 2, 3")
 def chunks_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = chunk_table(spark, sf_dir)
@@ -306,7 +305,7 @@ def chunks_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("chunk_quality_nulls",
-          f"WITH t AS ({_sql_chunks()}) SELECT CAST(COUNT(*) FILTER (WHERE chunk_text IS NULL) AS BIGINT) AS null_chunk_text, "
+          f"WITH t AS ({sql_chunk_table()}) SELECT CAST(COUNT(*) FILTER (WHERE chunk_text IS NULL) AS BIGINT) AS null_chunk_text, "
           "CAST(COUNT(*) FILTER (WHERE product_category IS NULL) AS BIGINT) AS null_category, "
           "CAST(COUNT(*) FILTER (WHERE length(chunk_text) = 0) AS BIGINT) AS empty_chunk_text FROM t")
 def chunk_quality_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:

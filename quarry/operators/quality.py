@@ -218,8 +218,9 @@ def with_dense_id(df: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """
     from pyspark.sql import Window
 
-    from quarry.operators.search import materialize
-    base = materialize(df)
+    from quarry.operators.term_index import write_table
+    from quarry.session import scratch_path
+    base = write_table(df, scratch_path(df.sparkSession, "rows"))
     tagged = base.withColumn("_pid", F.spark_partition_id()) \
         .withColumn("_pos", F.monotonically_increasing_id())
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

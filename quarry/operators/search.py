@@ -1,225 +1,98 @@
-"""Search over a text column: an inverted index with attributes, BM25 top-k,
-attribute filters, vector top-k (exact and LSH), reciprocal-rank fusion and
-JSON result rows — all as Spark joins and aggregates.
-
-Plan shape of a BM25 batch search (``explain`` shows it):
-
-1. documents are hash-partitioned by id once; tokens are exploded and
-   counted per (doc, term) *inside* that partitioning, so the postings keep
-   ``HashPartitioning(doc_id)``;
-2. the query terms (a batch of queries, small) go to every task as a
-   broadcast, behind a row-count check; beyond the limit the batch is split
-   into several passes, each under the limit;
-3. term weights need df only for query terms: a broadcast semi-join and a
-   partial aggregate;
-4. per-(query, doc) sums group by keys that contain ``doc_id``, so the
-   aggregate reuses the doc partitioning — no shuffle of candidate pairs;
-5. top-k per query is ``row_number() <= k`` → ``WindowGroupLimit`` keeps k
-   rows per query in every task before the only shuffle.
-
-A frequent term is no skew problem here: postings never move, the query
-side is what is broadcast.
+"""Search keys: BM25 top-k over documents, the chunk table and comments, attribute
+filters, JSON result rows and fusion — on the term-partitioned index of
+``term_index`` — and vector top-k.
+
+An index is built once per session, table folder and text column, and every key that
+searches the same text reads the same tables; a refreshed one is in
+``streaming.refresh``.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators import docs as D
+from quarry.operators import term_index as TI
+from quarry.operators.term_index import BM25_B, BM25_K1, RRF_K
 from quarry.plans.registry import TOP_K, register
 from quarry.sources import tables as T
 
-# BM25 parameters and the RRF constant.
-BM25_K1 = 1.2
-BM25_B = 0.75
-RRF_K = 60
 # Second ranked field of a document: its heading line.
 TITLE_SQL = "split_part(text, chr(10), 1)"
-# Largest query batch (query-term rows) shipped to tasks as a broadcast.
-MAX_BROADCAST_QUERY_TERMS = 2_000_000
 # Largest number of query vectors inlined per scoring pass.
 MAX_INLINE_QUERY_VECTORS = 4096
 
+# The attributes of the reference's two search services, and the
+# stand-in for a comment's date (the data has none): days by id from a first day.
+CHUNK_ATTRIBUTES = ("source_file", "file_type", "product_category", "chunk_index", "stage_name")
+COMMENT_ATTRIBUTES = ("comment_id", "comment_date", "article_id", "article_name")
+COMMENT_DAY, COMMENT_DAYS = "2000-01-01", 700
 
-@dataclass
-class TextIndex:
-    """Postings ``(doc_id, dl, *attributes, term, tf)`` hash-partitioned by
-    doc_id, the lexicon ``(term, df, total_tf)`` and the corpus statistics
-    (document count, mean document length), computed on first use."""
-    postings: DataFrame
-    lexicon: DataFrame
-    doc_lengths: DataFrame
-    attributes: tuple[str, ...]
-    _stats: tuple[int, float] | None = None
-
-    def _corpus(self) -> tuple[int, float]:
-        if self._stats is None:
-            st = self.doc_lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-            self._stats = (int(st["n"]), float(st["avgdl"] or 0.0))
-        return self._stats
-
-    @property
-    def n_docs(self) -> int:
-        return self._corpus()[0]
-
-    @property
-    def avgdl(self) -> float:
-        return self._corpus()[1]
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write the rows once to the shared checkpoint folder and read them back."""
-    from quarry.session import scratch_path
-    path = scratch_path(df.sparkSession, "rows")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-SCRATCH_DB = "quarry_scratch"
-
-
-def write_bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """Write ``df`` as a table bucketed by ``key`` under the shared checkpoint
-    folder and read it back. The table cuts lineage (a replacement executor
-    reads files, it does not recompute), and a bucketed scan reports
-    ``hashpartitioning(key)``, so later per-key aggregates need no shuffle."""
-    from quarry.session import scratch_path
-
-    spark = df.sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH_DB} "
-              f"LOCATION '{scratch_path(spark, SCRATCH_DB)}'")
-    table = f"{SCRATCH_DB}.{name}"
-    (df.write.mode("overwrite").bucketBy(buckets, key)
-     .option("path", scratch_path(spark, name)).saveAsTable(table))
-    return spark.table(table)
-
-
-def _finish_index(rows: DataFrame, attributes, materialized: bool, buckets: int | None = None) -> TextIndex:
-    """Postings rows (one NULL-term row per token-less document) → index."""
-    if materialized:
-        import uuid
-        spark = rows.sparkSession
-        rows = write_bucketed(rows, "doc_id", buckets or spark.sparkContext.defaultParallelism,
-                              f"postings_{uuid.uuid4().hex[:12]}")
-    per_doc = rows.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    postings = rows.filter(F.col("term").isNotNull())
-    # The lexicon stays a plan over the materialised postings (a partial +
-    # final aggregate by term); materialise it too when many query batches
-    # share one index.
-    lexicon = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf"))
-    return TextIndex(postings, lexicon, per_doc, tuple(attributes))
-
-
-def build_index(docs: DataFrame, id_col: str, text_col: str, attributes=(),
-                partitions: int | None = None, materialize: bool = True) -> TextIndex:
-    """Tokenise, explode and count; attributes ride along with each posting
-    so that filters are predicates on the postings, not joins.
-
-    With ``materialize`` the postings are written once as a table bucketed by
-    ``doc_id`` in the session's shared checkpoint folder: tokenising (the
-    costly regex work) runs once however many consumers the plan has,
-    lineage is cut, and the bucketed scan keeps ``hashpartitioning(doc_id)``,
-    so per-document aggregation downstream needs no shuffle. The lexicon is
-    what query batches join against to get term weights (vocabulary-sized,
-    not postings-sized).
-    """
-    spark = docs.sparkSession
-    n = partitions or spark.sparkContext.defaultParallelism
-    # Raw rows are partitioned by id; tokens are made after the shuffle, never shuffled.
-    tok = (docs.repartition(n, id_col)
-           .select(F.col(id_col).alias("doc_id"), X.tokens(text_col).alias("tok"), *attributes)
-           .withColumn("dl", F.size("tok")))
-    # dl and the attributes depend on doc_id alone, so grouping by them too
-    # gives the same groups while the aggregate stays a plain count (a
-    # fixed-width hash aggregate; first() over strings would not be).
-    rows = (tok.select("doc_id", "dl", *attributes, F.explode_outer("tok").alias("term"))
-            .groupBy("doc_id", "dl", *attributes, "term")
-            .agg(F.count("term").alias("tf"))
-            .select("doc_id", "dl", *attributes, "term", "tf"))
-    return _finish_index(rows, attributes, materialize, n)
-
-
-def index_stats(index: TextIndex) -> DataFrame:
-    """Per term: document frequency and total term frequency."""
-    return index.lexicon.select("term", "df", "total_tf")
-
-
-def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return queries.select(F.col(id_col).alias("query_id"),
-                          F.explode(F.array_distinct(X.tokens(text_col))).alias("term"))
-
-
-def _bm25_scores(index: TextIndex, qterms: DataFrame, doc_filter: Column | None = None) -> DataFrame:
-    """``(query_id, doc_id, score)`` of every document that holds a query term."""
-    n_docs, avgdl = F.lit(index.n_docs), F.lit(index.avgdl)
-    # Term weights: the (small, broadcast) query terms looked up in the lexicon.
-    df = F.col("df").cast("double")
-    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (df + F.lit(0.5)))
-    weights = (index.lexicon.join(F.broadcast(qterms), "term")
-               .select("query_id", "term", idf.alias("idf")))
-    post = index.postings if doc_filter is None else index.postings.filter(doc_filter)
-    tf = F.col("tf").cast("double")
-    norm = tf + F.lit(BM25_K1) * (F.lit(1.0 - BM25_B) + F.lit(BM25_B) * F.col("dl") / avgdl)
-    part = F.col("idf") * tf * F.lit(BM25_K1 + 1.0) / norm
-    scored = (post.join(F.broadcast(weights), "term")
-              .groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw")))
-    return scored.select("query_id", "doc_id", F.round("raw", 6).alias("score"))
-
-
-def _best(scores: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _bm25_pass(index: TextIndex, qterms: DataFrame, k: int, doc_filter: Column | None) -> DataFrame:
-    return _best(_bm25_scores(index, qterms, doc_filter), k)
-
-
-@dataclass
-class QueryBatch:
-    """A batch's distinct ``(query_id, term)`` rows and their checked count."""
-    terms: DataFrame
-    n_terms: int
-
-
-def query_batch(queries: DataFrame, id_col: str, text_col: str) -> QueryBatch:
-    qterms = query_terms(queries, id_col, text_col)
-    return QueryBatch(qterms, qterms.count())
-
-
-def bm25_search(index: TextIndex, queries: DataFrame | QueryBatch, id_col: str = "item_id",
-                text_col: str = "text", k: int = TOP_K, doc_filter: Column | None = None) -> DataFrame:
-    """Top-k documents per query: ``(query_id, rank, doc_id, score)``.
-
-    Corpus statistics (N, avgdl, df) always come from the whole index; a
-    ``doc_filter`` on attribute columns only restricts which documents can be
-    returned (search-service semantics). ``queries`` may be a prepared
-    :class:`QueryBatch`, so several indexes can be searched with one batch.
-    """
-    batch = queries if isinstance(queries, QueryBatch) else query_batch(queries, id_col, text_col)
-    qterms, n_terms = batch.terms, batch.n_terms
-    if n_terms <= MAX_BROADCAST_QUERY_TERMS:
-        out = _bm25_pass(index, qterms, k, doc_filter)
-    else:
-        # Split the batch by query id into passes that each fit a broadcast.
-        passes = math.ceil(n_terms / MAX_BROADCAST_QUERY_TERMS)
-        parts = [_bm25_pass(index, qterms.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i), k, doc_filter)
-                 for i in range(passes)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-    return out.select("query_id", "rank", "doc_id", "score")
-
-
-def sql_bm25(text_expr: str, k: int, doc_filter: str | None = None, extra_cols: str = "") -> str:
-    """DuckDB form of :func:`bm25_search` over ``documents`` × ``benchmark``."""
+
+def heading(text: str = "text") -> Column:
+    return F.split_part(F.col(text), F.lit("\n"), F.lit(1))
+
+
+def searched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+def searched_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searched_documents(spark, sf_dir).withColumn("text", heading())
+
+
+def searched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table; a chunk's id is its file and place."""
+    return D.chunk_table(spark, sf_dir).select(
+        F.concat("source_file", F.lit("#"), F.col("chunk_index").cast("string")).alias("doc_id"),
+        F.col("chunk_text").alias("text"), *CHUNK_ATTRIBUTES)
+
+
+def searched_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_add(F.lit(COMMENT_DAY).cast("date"), (F.col("comment_id") % COMMENT_DAYS).cast("int"))
+    articles = T.dim_article(spark, sf_dir).select("article_id", "article_name")
+    return (T.comments(spark, sf_dir, ("comment_id", "article_id", "comment_text")).join(articles, "article_id")
+            .select(F.col("comment_id").alias("doc_id"), F.col("comment_text").alias("text"), "comment_id",
+                    day.alias("comment_date"), "article_id", "article_name"))
+
+
+SEARCHED = {
+    "documents": (searched_documents, ("lang", "source")),
+    "headings": (searched_headings, ("lang", "source")),
+    "chunks": (searched_chunks, CHUNK_ATTRIBUTES),
+    "comments": (searched_comments, COMMENT_ATTRIBUTES),
+}
+_BUILT: dict[tuple[str, str, str], TI.TermIndex] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str, name: str) -> TI.TermIndex:
+    """The session's index of a searched text; built when first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _BUILT:
+        source, attributes = SEARCHED[name]
+        _BUILT[key] = TI.build(source(spark, sf_dir), "doc_id", "text", attributes)
+    return _BUILT[key]
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> TI.Batch:
+    """Every ``benchmark`` passage as a query."""
+    return TI.batch(T.read(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def sql_bm25(text_expr: str, k: int, doc_filter: str | None = None, extra_cols: str = "",
+             docs: str = "documents", out: str = "") -> str:
+    """DuckDB form of a search over ``docs`` (doc_id, text, attributes) × ``benchmark``;
+    ``out`` names attributes to return."""
     flt = f"WHERE {doc_filter}" if doc_filter else ""
+    own = f"JOIN docs o ON o.doc_id = r.doc_id" if out else ""
+    cols = "".join(f", o.{c}" for c in out.split(", ")) if out else ""
     return (
-        f"WITH d AS (SELECT doc_id, {X.sql_tokens(text_expr)} AS tok{extra_cols} FROM documents), "
+        f"WITH docs AS (SELECT * FROM {docs}), "
+        f"d AS (SELECT doc_id, {X.sql_tokens(text_expr)} AS tok{extra_cols} FROM docs), "
         "dl AS (SELECT doc_id, len(tok) AS dl FROM d), "
         "st AS (SELECT COUNT(*) AS n_docs, AVG(dl) AS avgdl FROM dl), "
         "post AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(tok) AS term FROM d) GROUP BY 1, 2), "
@@ -233,19 +106,7 @@ def sql_bm25(text_expr: str, k: int, doc_filter: str | None = None, extra_cols:
         "WHERE p.doc_id IN (SELECT doc_id FROM cand) GROUP BY 1, 2), "
         "r AS (SELECT query_id, doc_id, ROUND(raw, 6) AS score, "
         "ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY ROUND(raw, 6) DESC, doc_id) AS rank FROM s) "
-        f"SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= {k}")
-
-
-def _documents_index(spark: SparkSession, sf_dir: str, text: Column | None = None,
-                     materialize: bool = True) -> TextIndex:
-    d = T.read(spark, sf_dir, "documents")
-    if text is not None:
-        d = d.withColumn("text", text)
-    return build_index(d, "doc_id", "text", attributes=("lang", "source"), materialize=materialize)
-
-
-def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.read(spark, sf_dir, "benchmark").select("item_id", "text")
+        f"SELECT query_id, CAST(rank AS INTEGER) AS rank, r.doc_id, score{cols} FROM r {own} WHERE rank <= {k}")
 
 
 # --- keys -------------------------------------------------------------------
@@ -255,14 +116,12 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
           "post AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(tok) AS term FROM d) GROUP BY 1, 2) "
           "SELECT term, CAST(COUNT(*) AS BIGINT) AS df, CAST(SUM(tf) AS BIGINT) AS total_tf FROM post GROUP BY term")
 def search_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One consumer (the lexicon): a single pass, nothing to materialise.
-    return index_stats(_documents_index(spark, sf_dir, materialize=False))
+    return index_of(spark, sf_dir, "documents").lexicon()
 
 
 @register("search_topk", sql_bm25("text", TOP_K))
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ``benchmark`` passage as a query over all ``documents``."""
-    return bm25_search(_documents_index(spark, sf_dir), _benchmark(spark, sf_dir), "item_id", "text")
+    return TI.search(index_of(spark, sf_dir, "documents"), _benchmark(spark, sf_dir), TOP_K)
 
 
 FILTER_LANG = "en"
@@ -270,17 +129,7 @@ FILTER_LANG = "en"
 
 @register("search_filtered", sql_bm25("text", TOP_K, doc_filter=f"lang = '{FILTER_LANG}'", extra_cols=", lang"))
 def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25_search(_documents_index(spark, sf_dir), _benchmark(spark, sf_dir), "item_id", "text",
-                       doc_filter=F.col("lang") == FILTER_LANG)
-
-
-def results_json(hits: DataFrame, docs: DataFrame, columns=("source", "lang")) -> DataFrame:
-    """One JSON text per query: the ranked ``results`` array with chosen columns."""
-    j = hits.join(docs.select("doc_id", *columns), "doc_id")
-    item = F.struct(F.col("rank"), F.col("doc_id"), *[F.col(c) for c in columns], F.col("score"))
-    return (j.groupBy("query_id")
-            .agg(F.sort_array(F.collect_list(item)).alias("results"))
-            .select("query_id", F.to_json("results").alias("results")))
+    return TI.search(index_of(spark, sf_dir, "documents"), _benchmark(spark, sf_dir), TOP_K, F.col("lang") == FILTER_LANG)
 
 
 @register("search_results_json",
@@ -288,46 +137,36 @@ def results_json(hits: DataFrame, docs: DataFrame, columns=("source", "lang")) -
           "to_json(list({'rank': h.rank, 'doc_id': h.doc_id, 'source': d.source, 'lang': d.lang, 'score': h.score} "
           "ORDER BY h.rank))::VARCHAR AS results FROM h JOIN documents d ON h.doc_id = d.doc_id GROUP BY h.query_id")
 def search_results_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search_topk(spark, sf_dir)
-    return results_json(hits, T.read(spark, sf_dir, "documents"))
+    index = index_of(spark, sf_dir, "documents")
+    hits = TI.search(index, _benchmark(spark, sf_dir), TOP_K)
+    return TI.results_json(TI.with_attributes(index, hits, ("source", "lang")), ("source", "lang"))
 
 
-def exact_ranks(scores: DataFrame, asked: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, rank)`` in the full ranking of ``scores``, for the rows of
-    ``asked`` (query_id, doc_id) that the ranking holds.
+CHUNKS_FILE_TYPE = "TEXT"
 
-    A rank is one plus the number of better rows. Every scored row falls into a
-    bucket, the number of asked rows of its query that are better than it; the
-    buckets are counted with a partial aggregate, so no scored row is shuffled
-    or sorted, and running sums over a query's few buckets are the ranks.
-    """
-    better = F.struct((-F.col("score")).alias("s"), F.col("doc_id").alias("d"))
-    own = scores.join(asked, ["query_id", "doc_id"]).select("query_id", "doc_id", better.alias("key"))
-    marks = own.groupBy("query_id").agg(F.array_sort(F.collect_list("key")).alias("marks"))
-    counts = (scores.join(marks, "query_id")
-              .select("query_id", F.size(F.filter("marks", lambda m: m < better)).alias("bucket"), "marks")
-              .groupBy("query_id", "bucket").agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("query_id").orderBy("bucket")
-    sums = counts.select("query_id", "bucket", F.sum("n").over(w).alias("rank"))
-    places = marks.select("query_id", F.posexplode("marks").alias("bucket", "key"))
-    return places.join(sums, ["query_id", "bucket"]).select("query_id", F.col("key.d").alias("doc_id"), "rank")
-
-
-def fuse(rankings: list[DataFrame], k: int) -> DataFrame:
-    """Reciprocal rank fusion of full-depth rankings, each given as all its scores
-    ``(query_id, doc_id, score)``.
-
-    With constant c, a document outside the best ``c + 2k`` of both rankings scores
-    at most 2 / (2c + 2k + 1), less than the k-th document of one ranking alone
-    (1 / (c + k)). So candidates from that depth are enough, and each gets its
-    exact rank in every ranking."""
-    depth = RRF_K + 2 * k
-    tops = [_best(r, depth).select("query_id", "doc_id") for r in rankings]
-    asked = tops[0]
-    for t in tops[1:]:
-        asked = asked.unionByName(t)
-    asked = materialize(asked.distinct())
-    return rrf([exact_ranks(r, asked) for r in rankings], k)
+
+@register("search_chunks", sql_bm25(
+    "text", TOP_K, doc_filter=f"file_type = '{CHUNKS_FILE_TYPE}' AND chunk_index > 0", extra_cols=", file_type, chunk_index",
+    docs=f"(SELECT source_file || '#' || chunk_index AS doc_id, chunk_text AS text, * FROM ({D.sql_chunk_table()}))",
+    out=", ".join(CHUNK_ATTRIBUTES)))
+def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk search with the reference's five attributes, two of them as filters."""
+    index = index_of(spark, sf_dir, "chunks")
+    hits = TI.search(index, _benchmark(spark, sf_dir), TOP_K,
+                     (F.col("file_type") == CHUNKS_FILE_TYPE) & (F.col("chunk_index") > 0))
+    return TI.with_attributes(index, hits, CHUNK_ATTRIBUTES)
+
+
+@register("search_comments", T.with_views(sql_bm25(
+    "text", TOP_K, docs="(SELECT c.comment_id AS doc_id, c.comment_text AS text, c.comment_id, "
+    f"CAST(DATE '{COMMENT_DAY}' + CAST(c.comment_id % {COMMENT_DAYS} AS INTEGER) AS DATE) AS comment_date, c.article_id, a.article_name "
+    "FROM comments c JOIN dim_article a ON c.article_id = a.article_id)", out=", ".join(COMMENT_ATTRIBUTES)),
+    "comments", "dim_article"))
+def search_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback search with the reference's four attributes."""
+    index = index_of(spark, sf_dir, "comments")
+    hits = TI.search(index, _benchmark(spark, sf_dir), TOP_K)
+    return TI.with_attributes(index, hits, COMMENT_ATTRIBUTES)
 
 
 def _ranked_sql(name: str, text_expr: str) -> str:
@@ -343,22 +182,8 @@ def _ranked_sql(name: str, text_expr: str) -> str:
           f"SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, rrf FROM r WHERE rank <= {TOP_K}")
 def search_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion of two fields of a document: its whole text, and its heading (first line)."""
-    terms = query_terms(_benchmark(spark, sf_dir), "item_id", "text")
-    body = _documents_index(spark, sf_dir)
-    heading = _documents_index(spark, sf_dir, F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), materialize=False)
-    return fuse([materialize(_bm25_scores(i, terms)) for i in (body, heading)], TOP_K)
-
-
-def rrf(rankings: list[DataFrame], k: int) -> DataFrame:
-    """Reciprocal rank fusion of ``(query_id, rank, doc_id)`` lists."""
-    u = None
-    for r in rankings:
-        part = r.select("query_id", "doc_id", (F.lit(1.0) / (F.lit(RRF_K) + F.col("rank"))).alias("c"))
-        u = part if u is None else u.unionByName(part)
-    f = u.groupBy("query_id", "doc_id").agg(F.round(F.sum("c"), 6).alias("rrf"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("rrf"), F.asc("doc_id"))
-    return (f.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "doc_id", "rrf"))
+    indexes = [index_of(spark, sf_dir, name) for name in ("documents", "headings")]
+    return TI.fused(indexes, _benchmark(spark, sf_dir), TOP_K)
 
 
 # --- vectors ----------------------------------------------------------------
@@ -542,19 +367,19 @@ def vector_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approx.join(recall, "query_id")
 
 
-def search_preview(index: TextIndex, docs: DataFrame, request: str) -> DataFrame:
+def search_preview(index: TI.TermIndex, spark: SparkSession, request: str) -> DataFrame:
     """The reference's preview call: a JSON request ``{"query": ..., "columns":
     [...], "limit": k, "filter": {"col": value}}`` (parsed on the driver; it is
-    a request, not data) → one row with the ``results`` JSON array."""
+    a request, not data) → one row with the ``results`` JSON array. ``columns``
+    and ``filter`` name attributes of the index."""
     import json as _json
 
     req = _json.loads(request)
-    spark = docs.sparkSession
-    q = spark.createDataFrame([(0, req["query"])], "item_id long, text string")
+    asked = TI.batch(spark.createDataFrame([(0, req["query"])], "item_id long, text string"), "item_id", "text")
     flt = None
     for col, val in (req.get("filter") or {}).items():
         cond = F.col(col) == F.lit(val)
         flt = cond if flt is None else flt & cond
-    hits = bm25_search(index, q, "item_id", "text", k=int(req.get("limit", TOP_K)), doc_filter=flt)
+    hits = TI.search(index, asked, int(req.get("limit", TOP_K)), flt)
     cols = tuple(req.get("columns") or ())
-    return results_json(hits, docs, cols).select("results")
+    return TI.results_json(TI.with_attributes(index, hits, cols) if cols else hits, cols).select("results")

@@ -41,5 +41,5 @@ def load_all() -> None:
     from quarry.operators import analytics, docs, feedback, policy, quality, search  # noqa: F401
     from quarry.plans import model_ops  # noqa: F401
     from quarry.streaming import refresh  # noqa: F401
-    from quarry.sources import csv, files  # noqa: F401
+    from quarry.sources import csv, files, load  # noqa: F401
     from quarry.functions import json  # noqa: F401

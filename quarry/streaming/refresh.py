@@ -1,12 +1,21 @@
-"""Incremental refresh of the search index (the reference's ``TARGET_LAG`` /
-directory refresh) as Structured Streaming.
+"""Refresh of the search index (the reference's ``TARGET_LAG`` / directory
+refresh) as Structured Streaming over a stream of changes.
 
-New document files in an input folder are picked up by a file-source stream;
-each micro-batch tokenises only its new documents and writes their postings
-to ``<postings>/batch_id=<n>`` with overwrite, so a replayed batch (after an
-executor or driver loss) rewrites the same folder instead of appending twice.
-The stream's checkpoint records which files were consumed. Corpus-level
-numbers (N, df, avgdl) are re-aggregated from all postings when read.
+A change is ``(op, seq, doc_id, text, *attributes)``: ``upsert`` adds a document or
+replaces it, ``delete`` takes it out; of the changes of one document the one with the
+largest ``seq`` counts, whenever it arrives. New files in an input folder are picked up
+by a file-source stream, and each micro-batch writes one segment:
+
+* ``changes/batch_id=<n>`` — ``(doc_id, seq, op)``, the newest change of every document
+  in the batch; a delete is a tombstone;
+* ``rows/batch_id=<n>`` — the term rows of its upserts, only those are tokenised.
+
+Folders are overwritten, so a replayed batch (after the loss of an executor or
+the driver) leaves no second copy; a file delivered again makes a segment of older or
+equal ``seq``, which changes nothing. Readers take the newest change of every document
+over all segments and the rows of that one segment. ``merge`` writes the live
+documents as a new base and then names it in a log; segments up to it need
+no longer be read.
 
 ``trigger(availableNow=True)`` processes what has arrived and stops (a
 scheduled refresh); ``processingTime`` gives a standing refresh with a lag.
@@ -16,67 +25,146 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.functions import text as X
-from quarry.operators.search import TextIndex, _finish_index, index_stats
+from quarry.operators import term_index as TI
 from quarry.plans.registry import register
 from quarry.session import scratch_path
 from quarry.sources import tables as T
 
-
-def batch_postings(batch: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   attributes=("lang", "source")) -> DataFrame:
-    docs = batch.select(F.col(id_col).alias("doc_id"), X.tokens(text_col).alias("tok"), *attributes) \
-        .withColumn("dl", F.size("tok"))
-    return (docs.select("doc_id", "dl", *attributes, F.explode_outer("tok").alias("term"))
-            .groupBy("doc_id", "dl", *attributes, "term")
-            .agg(F.count("term").alias("tf")))
-
-
-def start_refresh(spark: SparkSession, input_dir: str, postings_dir: str, checkpoint_dir: str,
-                  schema, available_now: bool = True, lag: str = "1 day",
+ATTRIBUTES = ("lang", "source")
+NO_BASE = -1
+
+
+def newest(changes: DataFrame, *columns: str) -> DataFrame:
+    """The newest change of every document (by seq, then by segment)."""
+    order = F.struct(*[c for c in ("seq", "batch_id") if c in changes.columns])
+    kept = F.max_by(F.struct(*columns), order).alias("c")
+    return changes.groupBy("doc_id").agg(kept).select("doc_id", "c.*")
+
+
+class Segments:
+    """Segments of one index under ``folder``."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: ST.StructType, attributes=ATTRIBUTES):
+        self.spark, self.folder, self.attributes = spark, folder.rstrip("/"), tuple(attributes)
+        kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+        own = "".join(f", {a} {kinds[a]}" for a in self.attributes)
+        self.row_schema = f"doc_id {kinds['doc_id']}, dl int{own}, term string, tf bigint, batch_id bigint"
+        self.change_schema = f"doc_id {kinds['doc_id']}, seq bigint, op string, batch_id bigint"
+
+    def write(self, changes: DataFrame, batch_id: int) -> None:
+        """One segment; the batch's older changes of a document are left out."""
+        own = TI.write_table(newest(changes, "seq", "op", "text", *self.attributes),
+                             scratch_path(self.spark, "refresh-batch"))
+        (TI.term_rows(own.filter("op = 'upsert'"), "doc_id", "text", self.attributes)
+         .write.mode("overwrite").parquet(f"{self.folder}/rows/batch_id={batch_id}"))
+        own.select("doc_id", "seq", "op").write.mode("overwrite").parquet(f"{self.folder}/changes/batch_id={batch_id}")
+
+    def open(self) -> None:
+        """Log of bases, begun once."""
+        (self.spark.createDataFrame([(NO_BASE, "")], "upto bigint, path string")
+         .write.mode("ignore").parquet(f"{self.folder}/log"))
+
+    def base(self) -> tuple[int, str]:
+        log = self.spark.read.schema("upto bigint, path string").parquet(f"{self.folder}/log")
+        row = log.orderBy(F.desc("upto")).first()
+        return row["upto"], row["path"]
+
+    def live(self) -> tuple[DataFrame, DataFrame]:
+        """(newest change per document, term rows of the documents that are not deleted)."""
+        upto, path = self.base()
+        rows = self.spark.read.schema(self.row_schema).parquet(f"{self.folder}/rows").filter(F.col("batch_id") > upto)
+        changes = self.spark.read.schema(self.change_schema).parquet(f"{self.folder}/changes").filter(F.col("batch_id") > upto)
+        if upto != NO_BASE:
+            rows = rows.unionByName(self.spark.read.schema(self.row_schema).parquet(f"{path}/rows"))
+            changes = changes.unionByName(self.spark.read.schema(self.change_schema).parquet(f"{path}/changes"))
+        state = newest(changes, "seq", "op", "batch_id")
+        own = state.filter("op = 'upsert'").select("doc_id", "batch_id")
+        return state, rows.join(own, ["doc_id", "batch_id"], "left_semi")
+
+    def merge(self) -> None:
+        """All segments into a new base. Tombstones stay: a late change of smaller seq must not bring
+        a deleted document back."""
+        state, rows = self.live()
+        upto = state.agg(F.max("batch_id")).first()[0]
+        if upto is None or upto == self.base()[0]:
+            return
+        path = f"{self.folder}/base-{upto}"
+        rows.write.mode("overwrite").parquet(f"{path}/rows")
+        state.write.mode("overwrite").parquet(f"{path}/changes")
+        (self.spark.createDataFrame([(upto, path)], "upto bigint, path string")
+         .write.mode("append").parquet(f"{self.folder}/log"))
+
+    def index(self) -> TI.TermIndex:
+        """The index of the live documents."""
+        path = scratch_path(self.spark, "term-index")
+        rows = TI.write_table(self.live()[1].drop("batch_id"), f"{path}/rows")
+        return TI.from_rows(rows, self.attributes, path)
+
+
+def start_refresh(segments: Segments, input_dir: str, checkpoint_dir: str, schema: ST.StructType,
+                  available_now: bool = True, lag: str = "1 day",
                   max_files_per_trigger: int | None = None) -> StreamingQuery:
-    reader = spark.readStream.schema(schema)
+    reader = segments.spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(input_dir)
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch_postings(batch).write.mode("overwrite")
-         .parquet(f"{postings_dir.rstrip('/')}/batch_id={batch_id}"))
-
-    w = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
+    segments.open()
+    w = (reader.parquet(input_dir).writeStream.foreachBatch(segments.write)
+         .option("checkpointLocation", checkpoint_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=lag)
     return w.start()
 
 
-def read_index(spark: SparkSession, postings_dir: str) -> TextIndex:
-    """The refreshed index: postings of all batches (token-less documents are
-    one NULL-term row each, so document count and mean length include them);
-    lexicon and corpus statistics are re-aggregated here."""
-    rows = spark.read.parquet(postings_dir).drop("batch_id")
-    return _finish_index(rows, ("lang", "source"), materialized=False)
+def changes_of(docs: DataFrame, op: str, seq: int) -> DataFrame:
+    return docs.select(F.lit(op).alias("op"), F.lit(seq).cast("bigint").alias("seq"), "doc_id", "text", *ATTRIBUTES)
+
+
+def refreshed(spark: SparkSession, drops: list[DataFrame], merge_after: int | None = None) -> Segments:
+    """Segments after each of ``drops`` arrived in one folder and a scheduled refresh ran."""
+    input_dir, folder = scratch_path(spark, "refresh-input"), scratch_path(spark, "refresh-index")
+    ckpt = scratch_path(spark, "refresh-checkpoint")
+    segments = Segments(spark, folder, drops[0].schema)
+    for n, drop in enumerate(drops):
+        drop.write.mode("append").parquet(input_dir)
+        start_refresh(segments, input_dir, ckpt, drop.schema).awaitTermination()
+        if n == merge_after:
+            segments.merge()
+    return segments
+
 
+def _stats_sql(where: str = "") -> str:
+    return (f"WITH d AS (SELECT doc_id, {X.sql_tokens('text')} AS tok FROM documents{where}), "
+            "post AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(tok) AS term FROM d) GROUP BY 1, 2) "
+            "SELECT term, CAST(COUNT(*) AS BIGINT) AS df, CAST(SUM(tf) AS BIGINT) AS total_tf FROM post GROUP BY term")
 
-# Arrival order of the test: English documents first, then all others.
+
+# Arrival order of the keys: English documents first, then all others; documents of one
+# source are deleted later.
 FIRST_ARRIVAL_LANG = "en"
+DELETED_SOURCE = "src3"
 
 
-@register("refresh_incremental",
-          f"WITH d AS (SELECT doc_id, {X.sql_tokens('text')} AS tok FROM documents), "
-          "post AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(tok) AS term FROM d) GROUP BY 1, 2) "
-          "SELECT term, CAST(COUNT(*) AS BIGINT) AS df, CAST(SUM(tf) AS BIGINT) AS total_tf FROM post GROUP BY term")
+@register("refresh_incremental", _stats_sql())
 def refresh_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive in two drops; two scheduled refreshes consume them;
     the refreshed index's term statistics equal a batch build's."""
     docs = T.read(spark, sf_dir, "documents")
-    input_dir = scratch_path(spark, "refresh-input")
-    postings_dir = scratch_path(spark, "refresh-postings")
-    ckpt = scratch_path(spark, "refresh-checkpoint")
     first = F.col("lang").eqNullSafe(F.lit(FIRST_ARRIVAL_LANG))
-    for drop in (docs.filter(first), docs.filter(~first)):
-        drop.write.mode("append").parquet(input_dir)
-        q = start_refresh(spark, input_dir, postings_dir, ckpt, docs.schema)
-        q.awaitTermination()
-    return index_stats(read_index(spark, postings_dir))
+    return refreshed(spark, [changes_of(docs.filter(first), "upsert", 1),
+                             changes_of(docs.filter(~first), "upsert", 2)]).index().lexicon()
+
+
+@register("refresh_changes", _stats_sql(f" WHERE source IS DISTINCT FROM '{DELETED_SOURCE}'"))
+def refresh_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts, updates, deletes and a drop delivered again: the first drop holds every
+    document's heading only, the second replaces it by the whole text, the third
+    deletes one source; then the second drop arrives once more. Segments are merged half way."""
+    docs = T.read(spark, sf_dir, "documents")
+    whole = changes_of(docs, "upsert", 2)
+    gone = docs.filter(F.col("source") == DELETED_SOURCE)
+    drops = [changes_of(docs.withColumn("text", F.split_part("text", F.lit("\n"), F.lit(1))), "upsert", 1), whole,
+             changes_of(gone.withColumn("text", F.lit(None).cast("string")), "delete", 3), whole]
+    return refreshed(spark, drops, merge_after=1).index().lexicon()

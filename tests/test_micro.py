@@ -207,13 +207,13 @@ def test_read_contents_and_copy_by_manifest(spark, tmp_path):
 def test_search_preview_request(spark):
     import json
     from conftest import SF_SMALL
-    from quarry.operators.search import build_index, search_preview
+    from quarry.operators.search import index_of, search_preview
     from quarry.sources import tables as T
     docs = T.read(spark, SF_SMALL, "documents")
-    idx = build_index(docs, "doc_id", "text", attributes=("lang", "source"))
+    idx = index_of(spark, SF_SMALL, "documents")
     text = docs.filter("lang = 'en'").select("text").head()[0][:200]
     req = json.dumps({"query": text, "columns": ["source", "lang"], "limit": 3, "filter": {"lang": "en"}})
-    out = json.loads(search_preview(idx, docs, req).collect()[0].results)
+    out = json.loads(search_preview(idx, spark, req).collect()[0].results)
     assert 1 <= len(out) <= 3 and [r["rank"] for r in out] == list(range(1, len(out) + 1))
     assert all(r["lang"] == "en" for r in out)
 
@@ -335,12 +335,13 @@ def test_profile_keeps_all_digits(spark):
 
 def test_exact_ranks_equal_a_full_sort(spark):
     import random
-    from quarry.operators.search import exact_ranks
+    from quarry.operators.term_index import exact_ranks
     rng = random.Random(2)
     rows = [(q, d, round(rng.random(), 1)) for q in range(3) for d in range(300) if rng.random() < 0.8]
     scores = spark.createDataFrame(rows, "query_id int, doc_id bigint, score double")
     asked = [(q, d) for q in range(3) for d in range(0, 300, 7)]
-    got = {(r.query_id, r.doc_id): r["rank"] for r in exact_ranks(scores, spark.createDataFrame(asked, "query_id int, doc_id bigint")).collect()}
+    marks = scores.join(spark.createDataFrame(asked, "query_id int, doc_id bigint"), ["query_id", "doc_id"])
+    got = {(r.query_id, r.doc_id): r["rank"] for r in exact_ranks(scores, marks).collect()}
     want = {}
     for q in range(3):
         for i, (_, d) in enumerate(sorted((-s, d) for x, d, s in rows if x == q)):

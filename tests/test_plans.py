@@ -10,7 +10,7 @@ from quarry.plans import registry
 
 registry.load_all()
 Q = registry.QUERIES
-SIDE_EFFECT_KEYS = {"csv_ingest", "csv_null_tokens", "csv_rejects", "refresh_incremental", "dense_ids"}
+SIDE_EFFECT_KEYS = {"csv_ingest", "csv_null_tokens", "csv_rejects", "refresh_incremental", "refresh_changes", "dense_ids"}
 
 
 def plan(spark, key, mode="formatted"):
@@ -49,14 +49,18 @@ def test_grouped_topk_uses_window_group_limit(spark):
         assert "WindowGroupLimit" in plan(spark, key), key
 
 
-def test_bm25_scores_without_pair_shuffle(spark):
+def test_search_reads_only_its_terms(spark):
+    """A request of two words: its buckets' folders, its terms in the scan's filter, and no
+    grouping of the frequent word's postings beyond them."""
     import re
-    p = plan(spark, "search_topk")
-    assert "Bucketed: true" in p                      # postings read with their doc_id buckets
-    exchanges = re.findall(r"Arguments: hashpartitioning\(([^)]*)\)", p)
-    keys = [re.sub(r"#\d+L?", "", e) for e in exchanges]
-    assert not any("query_id" in k and "doc_id" in k for k in keys)   # no (query, doc) pair shuffle
-    assert any(k.startswith("query_id,") for k in keys)               # only the top-k merge
+    from quarry.operators import search as S, term_index as TI
+    index = S.index_of(spark, SF_SMALL, "documents")
+    words = [r.term for r in index.lexicon().orderBy("df", "term").limit(2).collect()]
+    asked = TI.batch(spark.createDataFrame([(0, " ".join(words))], "item_id long, text string"), "item_id", "text")
+    p = _explain(TI.search(index, asked, 3))
+    buckets = re.findall(r"PartitionFilters: \[.*?bucket#\d+ IN(?:SET)? \(?([\d, ]+)\)?", p)
+    assert buckets and all(len(b.split(",")) <= 2 < index.buckets for b in buckets)
+    assert re.search(r"PushedFilters: \[.*In\(term, \[", p)
 
 
 def test_scan_prunes_columns(spark):
