@@ -10,7 +10,8 @@ from quarry.plans import registry
 
 registry.load_all()
 Q = registry.QUERIES
-SIDE_EFFECT_KEYS = {"csv_ingest", "csv_null_tokens", "csv_rejects", "refresh_incremental", "refresh_changes", "dense_ids"}
+SIDE_EFFECT_KEYS = {"csv_ingest", "csv_null_tokens", "csv_rejects", "load_dim_article", "load_dim_customer", "load_fact_sales", "load_comments", "directory_changes",
+                     "refresh_incremental", "refresh_changes", "dense_ids"}
 
 
 def plan(spark, key, mode="formatted"):
