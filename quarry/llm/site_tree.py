@@ -1,18 +1,24 @@
 """Main text of web pages by site style trees (operator 4).
 
-Pages of one host are merged into a style tree: a node stands for all elements
-with the same path of tags, classes and ids. Over the host's pages a node has a
-presentation importance, the entropy of its child sequences, and a content
-importance, one minus the mean entropy of the texts in its branch over the
+Pages of one host are merged into a style tree over their whole visible DOM: a node
+stands for all elements with the same path of tags, classes and ids. Over the host's
+pages a node has a presentation importance, the entropy of its child sequences, and a
+content importance, one minus the mean entropy of the texts in its branch over the
 pages (base: the number of pages, so a text on one page gives 1 and the same
-text on all gives 0). Their mix is the node's importance. From each page go the
-branches of low importance, and before them those whose role says what they
-are: menus, headers, footers, sidebars, notices, adverts, forms, comments. A
+text on all gives 0). Their mix is the node's importance, and from each page go the
+branches of low importance.
+
+A host of few pages says nothing about its branches, and menus or comments may differ on
+every page. So what an element says of itself is a prior: navigation, header, footer,
+sidebar and form elements, lists of links, and elements all of whose words in a class or id
+token are such words (``cookie-notice``, ``sidebarLeft``; not ``has-sidebar`` or
+``related-work``). The prior never takes a branch that holds an ``article`` or
+``main`` element, and names and forms none with more than half of the page's text. A
 page with ``article`` or ``main`` elements gives what stands in them.
 
-Equal pages count once in a tree, so copies of a page do not make its text look
-like a template, and a branch that holds half of a page's text always stays.
-Trees are sums: a host may hold any share of the pages. Nodes to be removed are
+Pages of equal main text count once in a tree, so copies of a page do not make its text
+look like a template, and a branch that holds half of the text left by the prior always
+stays. Trees are sums: a host may hold any share of the pages. Nodes to be removed are
 broadcast up to ``MAX_BROADCAST_NODES``; beyond that they are joined by node.
 
 Defined cases: null and empty html have empty text; a null url is a host of its
@@ -26,6 +32,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -51,16 +58,19 @@ CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "td", "th", "tr", "tbo
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
         "option": ({"option"}, {"select", "datalist"})}
-# What an element's name, role, class or id says about it.
-GONE_TAGS = frozenset("""head script style title noscript template nav footer aside form button select input textarea iframe
-    object embed svg canvas audio video menu dialog map datalist search xmp noembed noframes""".split())
+# Elements without text of the page, and what an element's name, role, class or id says about it.
+UNSEEN_TAGS = frozenset("""head script style title noscript template button select option optgroup input textarea iframe
+    object embed svg canvas audio video map datalist xmp noembed noframes""".split())
+GONE_TAGS = frozenset("nav footer aside menu dialog search".split())
 GONE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 GONE_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar
     navigation menu breadcrumb breadcrumbs masthead sidebar aside widget related recommended comment comments disqus respond
     reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login
     share sharing social toolbar pagination pager copyright disclaimer""".split())
+NEUTRAL_WORDS = frozenset("""left right top bottom upper lower main primary secondary site page global inner outer box block
+    container wrapper wrap area list bar section panel group item items row column title heading button buttons link links
+    text content mobile desktop small large fixed sticky footer header form id thread tree policy""".split())
 EDGE_WORDS = frozenset("header footer".split())        # noise, unless they are an article's own
-OWN_WORDS = frozenset("article post entry story content main".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>
     |<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S | re.X)
@@ -70,31 +80,66 @@ HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("tag", "name", "noise", "own", "parts", "parent")
+    __slots__ = ("tag", "name", "unseen", "gone", "named", "own", "parts", "parent", "size", "holds")
 
     def __init__(self, tag: str, attributes: str, parent: "Node | None"):
         self.tag, self.parent, self.parts = tag, parent, []
         self.own = tag in ("article", "main") or (parent is not None and parent.own)
-        self.name, words = tag, set()
-        hidden = False
+        self.size, self.holds = 0, False            # characters of the branch; whether it holds an article
+        self.name, tokens = tag, []
+        hidden = role = False
         if attributes and not attributes.isspace():
             for key, a, b, c in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), a or b or c
                 if key in ("class", "id"):
                     self.name += f" {key}=" + re.sub(r"\d+", "0", value)
-                    words.update(w.lower() for w in NAME_WORD.findall(value))
+                    tokens += value.split()
                 elif key == "role":
                     self.name += f" role={value}"
-                    hidden |= value.lower() in GONE_ROLES
+                    role |= value.lower() in GONE_ROLES
                 elif key == "hidden" or (key == "aria-hidden" and value == "true"):
                     hidden = True
                 elif key == "style" and "display:none" in value.replace(" ", "").lower():
                     hidden = True
-        self.noise = hidden or tag in GONE_TAGS or (tag == "header" and not self.own)
-        if tag not in ("html", "body", "article", "main"):
-            self.noise |= bool(words & GONE_WORDS) or (bool(words & EDGE_WORDS) and not words & OWN_WORDS and not self.own)
-        elif tag in ("article", "main"):
-            self.noise |= bool(words & {"comment", "comments", "reply", "replies", "ad", "ads", "advert"})
+        self.unseen = hidden or tag in UNSEEN_TAGS
+        self.gone = role or tag in GONE_TAGS or (tag == "header" and not self.own)
+        self.named = tag == "form" or (tag not in ("html", "body") and any(says_noise(t, self.own) for t in tokens))
+
+
+@lru_cache(1 << 14)
+def says_noise(token: str, own: bool) -> bool:
+    """Whether all words of a class or id token are words of noise or neutral ones, and one of them noise."""
+    words = {w.lower() for w in NAME_WORD.findall(token)}
+    noise = words & GONE_WORDS
+    if noise:
+        return words <= GONE_WORDS | NEUTRAL_WORDS
+    return not own and bool(words & EDGE_WORDS) and words <= EDGE_WORDS | NEUTRAL_WORDS - {"content", "main", "text", "title"}
+
+
+def measure(root: Node) -> None:
+    """Sizes of the branches, without unseen elements, and which hold an article."""
+    done, stack = [], [root]
+    while stack:
+        top = stack.pop()
+        done.append(top)
+        stack += [p for p in top.parts if isinstance(p, Node) and not p.unseen]
+    for top in reversed(done):
+        top.size = sum(len(p.strip()) if isinstance(p, str) else p.size for p in top.parts)
+        top.holds = any(isinstance(p, Node) and not p.unseen and (p.holds or p.tag in ("article", "main")) for p in top.parts)
+
+
+def removed(root: Node, linked: bool):
+    """Whether the prior takes an element out of the page of ``root`` (measured)."""
+
+    def test(node: Node) -> bool:
+        if node.unseen:
+            return True
+        if node.holds:
+            return False
+        if node.gone or (node.named and node.size <= BULK * root.size):
+            return True
+        return linked and is_menu(node)
+    return test
 
 
 def parse(page: str) -> Node:
@@ -216,14 +261,14 @@ def has_links(page: str) -> bool:
     return page.count("<a") + page.count("<A") >= MENU_LINKS
 
 
-def roots(root: Node) -> list[Node]:
+def roots(root: Node, gone) -> list[Node]:
     """Where the text is: outermost articles, else mains, else the whole page."""
     for tag in ("article", "main"):
         found, stack = [], [root]
         while stack:
             top = stack.pop()
             for part in reversed(top.parts):
-                if isinstance(part, Node) and not part.noise:
+                if isinstance(part, Node) and not gone(part):
                     if part.tag == tag:
                         found.append(part)
                     else:
@@ -245,11 +290,10 @@ def order(root: Node, found: list[Node]) -> list[Node]:
     return out
 
 
-def candidate_blocks(page: str) -> list[tuple[str, tuple[Node, ...]]]:
-    """Blocks of a page after the branches went whose role says what they are."""
-    linked = has_links(page)
-    gone = (lambda n: n.noise or is_menu(n)) if linked else (lambda n: n.noise)
-    return [b for root in roots(parse(page)) for b in blocks(root, gone)]
+def candidate_blocks(root: Node, linked: bool) -> list[tuple[str, tuple[Node, ...]]]:
+    """Blocks of a page that the prior leaves."""
+    gone = removed(root, linked)
+    return [b for top in roots(root, gone) for b in blocks(top, gone)]
 
 
 def paths_of(host: str, around: tuple[Node, ...], known: dict) -> list[int]:
@@ -258,7 +302,7 @@ def paths_of(host: str, around: tuple[Node, ...], known: dict) -> list[int]:
     while node is not None:
         chain.append(node.name)
         node = node.parent
-    path, out = "/".join(reversed(chain)), []
+    path, out = "".join(f"/{name}" for name in reversed(chain)), []
     for element in around:
         path = f"{path}/{element.name}"
         if path not in known:
@@ -269,10 +313,11 @@ def paths_of(host: str, around: tuple[Node, ...], known: dict) -> list[int]:
 
 def tree_rows(host: str, page: str) -> list[tuple[int, int, int, int]]:
     """(node, kind, feature, page): kind 0 the node's child sequences, kind 1 the texts in its branch."""
-    found = candidate_blocks(page)
-    whole = key_of(*(text for text, _ in found))
+    root = parse(page)
+    measure(root)
+    whole = key_of(*(text for text, _ in candidate_blocks(root, has_links(page))))
     texts, styles, known = set(), {}, {}
-    for text, around in found:
+    for text, around in blocks(root, lambda node: node.unseen):
         feature = key_of(text.lower())
         for key, element in zip(paths_of(host, around, known), around):
             texts.add((key, feature))
@@ -282,8 +327,8 @@ def tree_rows(host: str, page: str) -> list[tuple[int, int, int, int]]:
     return [(key, 0, style, whole) for key, style in styles.items()] + [(key, 1, text, whole) for key, text in texts]
 
 
-def low_nodes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """Keys of the tree nodes whose importance is low."""
+def importances(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """(node, m, importance) of every tree node; m is the number of its pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,15 +352,23 @@ def low_nodes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     presentation = (log_m - F.col("s") / F.col("m")) / log_m                # -sum p log p, base m
     content = 1 - F.col("t") / F.col("texts") / log_m
     share = F.pow(F.lit(GAMMA), F.col("styles"))
-    return (sums.filter((F.col("m") >= MIN_PAGES) & (F.col("texts") > 0))
-            .filter((1 - share) * presentation + share * content < LOW).select("node"))
+    mixed = (1 - share) * presentation + share * content
+    return sums.filter("texts > 0").select("node", "m", F.when(F.col("m") > 1, mixed).otherwise(1.0).alias("importance"))
+
+
+def low_nodes(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """Keys of the tree nodes whose importance is low."""
+    return importances(pages, url_col, html_col).filter(
+        (F.col("m") >= MIN_PAGES) & (F.col("importance") < LOW)).select("node")
 
 
 def main_text(url: str | None, page: str | None, low) -> str:
     """Text of one page; ``low`` says whether a tree node is of low importance."""
     if not page:
         return ""
-    found = candidate_blocks(page)
+    root = parse(page)
+    measure(root)
+    found = candidate_blocks(root, has_links(page))
     host, known = host_of(url), {}
     total = sum(len(t) for t, _ in found)
     branch: dict[int, int] = {}
