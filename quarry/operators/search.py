@@ -1,6 +1,6 @@
 """Search keys: BM25 top-k over documents, the chunk table and comments, attribute
 filters, JSON result rows and fusion — on the term-partitioned index of
-``term_index`` — and vector top-k.
+``term_index`` — and vector top-k, by comparing all or on ``vector_index``.
 
 An index is built once per session, table folder and text column, and every key that
 searches the same text reads the same tables; a refreshed one is in
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.operators import docs as D
 from quarry.operators import term_index as TI
+from quarry.operators import vector_index as VI
 from quarry.operators.term_index import BM25_B, BM25_K1, RRF_K
 from quarry.plans.registry import TOP_K, register
 from quarry.sources import tables as T
@@ -281,90 +282,39 @@ _SQL_CENTROIDS = (
     "unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label)")
 
 
-@register("vector_topk",
-          f"WITH {_SQL_CENTROIDS}, s AS (SELECT c.query_id, e.vec_id, ROUND("
-          "list_dot_product(CAST(e.embedding AS DOUBLE[]), c.vec) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), "
-          "CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(c.vec, c.vec))), 6) AS score FROM embeddings e, c), "
-          "r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) "
-          f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= {TOP_K}")
+def sql_vector_topk() -> str:
+    return (f"WITH {_SQL_CENTROIDS}, s AS (SELECT c.query_id, e.vec_id, ROUND("
+            "list_dot_product(CAST(e.embedding AS DOUBLE[]), c.vec) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), "
+            "CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(c.vec, c.vec))), 6) AS score FROM embeddings e, c), "
+            "r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) "
+            f"SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= {TOP_K}")
+
+
+@register("vector_topk", sql_vector_topk())
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = T.read(spark, sf_dir, "embeddings")
     return vector_search(emb.select("vec_id", "embedding"), label_centroids(emb))
 
 
-# Fixed values of the LSH: bands × bits sign-random-projection, seed.
-LSH_BANDS, LSH_BITS, LSH_SEED = 12, 6, 7
-
-
-def _hyperplanes(dim: int) -> list[list[float]]:
-    import numpy as np
-    rng = np.random.default_rng(LSH_SEED)
-    return rng.standard_normal((LSH_BANDS * LSH_BITS, dim)).round(6).tolist()
-
-
-def band_rows(df: DataFrame, id_col: str, vec_col: str, planes: list[list[float]]) -> DataFrame:
-    """``(id, band, code)`` for every row: per Arrow batch, one matrix product
-    with the (fixed, 72 × dim) hyperplanes gives the sign bits, packed into
-    ``LSH_BANDS`` codes of ``LSH_BITS`` bits (first bit most significant)."""
-    import numpy as np
-    import pandas as pd
-
-    pmat = np.asarray(planes, dtype=np.float64)
-    weights = 1 << np.arange(LSH_BITS - 1, -1, -1)
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            v = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            bits = (v @ pmat.T >= 0).astype(np.int64).reshape(len(v), LSH_BANDS, LSH_BITS)
-            codes = (bits * weights).sum(axis=2)
-            yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), LSH_BANDS),
-                                "band": np.tile(np.arange(LSH_BANDS, dtype=np.int32), len(v)),
-                                "code": codes.ravel().astype(np.int32)})
-
-    return df.select(id_col, vec_col).mapInPandas(run, f"{id_col} {id_type}, band int, code int")
-
-
-def vector_search_lsh(vectors: DataFrame, queries: DataFrame, dim: int, k: int = TOP_K) -> DataFrame:
-    """Approximate top-k: candidates share at least one LSH band code with the
-    query (equi-join on (band, code), the query side broadcast, size-checked);
-    only they are scored with the exact cosine and ranked."""
-    planes = _hyperplanes(dim)
-    vb = band_rows(vectors, "vec_id", "embedding", planes)
-    # The broadcast side is (query, band) rows: checked against the same
-    # limit as exact search; larger query sets run in several passes.
-    passes = max(1, math.ceil(queries.count() / MAX_INLINE_QUERY_VECTORS))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    out = None
-    for i in range(passes):
-        qs = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        qb = band_rows(qs, "query_id", "vec", planes)
-        # Candidate pairs (ids only, de-duplicated), then the exact cosine for
-        # candidates only: vectors joined by id, query vectors broadcast.
-        pairs = vb.join(F.broadcast(qb), ["band", "code"]).select("query_id", "vec_id").distinct()
-        cand = (pairs.join(vectors.select("vec_id", "embedding"), "vec_id")
-                .join(F.broadcast(qs.select("query_id", "vec")), "query_id")
-                .select("query_id", "vec_id",
-                        F.round(cosine(F.col("vec"), _as_double(F.col("embedding"))), 6).alias("score")))
-        part = (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-                .select("query_id", "rank", "vec_id", "score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+@register("vector_topk_lists", sql_vector_topk())
+def vector_topk_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same top-k from the inverted-list index: exact, by bounds, not by comparing all."""
+    emb = T.read(spark, sf_dir, "embeddings")
+    return VI.search(VI.build(emb), label_centroids(emb), TOP_K)[0]
 
 
-@register("vector_topk_lsh")
-def vector_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LSH top-k with its recall against the exact top-k, per query."""
+@register("vector_lists_recall",
+          f"WITH {_SQL_CENTROIDS} SELECT query_id, CAST({TOP_K} AS BIGINT) AS found, CAST({TOP_K} AS BIGINT) AS asked, "
+          "true AS recall_reached FROM c")
+def vector_lists_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per query: hits of the index among the exact top-k, and whether recall is 0.95 or more."""
     emb = T.read(spark, sf_dir, "embeddings")
-    dim = len(emb.select("embedding").head()[0])
-    q = label_centroids(emb)
-    approx = vector_search_lsh(emb.select("vec_id", "embedding"), q, dim)
-    exact = vector_search(emb.select("vec_id", "embedding"), q).select("query_id", "vec_id", F.lit(1).alias("hit"))
-    recall = (approx.join(exact, ["query_id", "vec_id"], "left")
-              .groupBy("query_id").agg((F.count("hit") / F.lit(TOP_K)).alias("recall")))
-    return approx.join(recall, "query_id")
+    queries = label_centroids(emb)
+    exact = vector_search(emb.select("vec_id", "embedding"), queries).select("query_id", "vec_id")
+    hits = VI.search(VI.build(emb), queries, TOP_K)[0].select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return (exact.join(hits, ["query_id", "vec_id"], "left").groupBy("query_id")
+            .agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("asked"))
+            .withColumn("recall_reached", F.col("found") >= F.lit(0.95) * F.col("asked")))
 
 
 def search_preview(index: TI.TermIndex, spark: SparkSession, request: str) -> DataFrame:

@@ -35,7 +35,7 @@ def test_every_key_has_a_callable(entry):
     q = entry.queries()
     assert set(ORACLE) <= set(q)
     rows_only = set(registry.QUERIES) - set(registry.ORACLE)
-    assert rows_only == {"classify_model", "vector_topk_lsh"}
+    assert rows_only == {"classify_model"}
 
 
 def test_entry_smoke(spark, entry):

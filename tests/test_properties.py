@@ -54,17 +54,6 @@ def test_streaming_refresh_equals_batch_index(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_lsh_candidates_rescored_exactly(spark):
-    approx = run(spark, "vector_topk_lsh")
-    exact = run(spark, "vector_topk")
-    rows = approx.collect()
-    assert rows and all(0.0 <= r.recall <= 1.0 for r in rows)
-    assert all(r.rank <= 3 for r in rows)
-    # Scores of vectors found by both equal the exact cosine.
-    j = approx.alias("a").join(exact.alias("e"), ["query_id", "vec_id"])
-    assert j.filter(F.col("a.score") != F.col("e.score")).count() == 0
-
-
 def test_classify_model_labels(spark):
     df = run(spark, "classify_model")
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
