@@ -11,14 +11,10 @@ and a = v.c: q.v <= a b + sqrt(1 - a^2) sqrt(1 - b^2). Over a list's range of a
 bounds every score in it. The ``FIRST`` lists of highest bound give each query a floor,
 its k-th best score there; then every other list whose bound reaches the floor is read,
 and no other. So the result is that of comparing all, and how much is read depends on how
-well the vectors gather; ``candidates`` reports it. Within a list the same bound, row by
+well the vectors gather: little where they do, nearly all where they spread evenly in many
+dimensions; ``candidates`` reports it. Within a list the same bound, row by
 row from the stored cosines, spares the vectors that cannot reach the floor.
 
-In many dimensions certain bounds are loose unless vectors gather closely. What q and v
-have beside the centre agree then about as random directions do: with mean zero and a
-deviation of 1 / sqrt(dimension - 1). ``deviations`` bounds that agreement instead; its
-recall is measured against comparing all.
-
 Defined cases: vectors that are null, of another length than the first one, or zero have no
 cosine and are left out; ties go by ascending id.
 """
@@ -113,16 +109,13 @@ def build(vectors: DataFrame, path: str | None = None) -> VectorIndex:
     return VectorIndex(table, centres, low, high, size)
 
 
-def bound(a_low, a_high, b, part: float = 1.0):
-    """Largest q.v for v.c in [a_low, a_high] and q.c = b, if what q and v have beside c
-    agrees by ``part`` at most (1: whatever it is)."""
-    side = part * np.sqrt(np.maximum(0, 1 - b * b))
-    # a b + side sqrt(1 - a^2) rises up to a = b / |(b, side)| and falls after it.
-    best = np.clip(b / np.maximum(np.sqrt(b * b + side * side), 1e-300), a_low, a_high)
-    return best * b + side * np.sqrt(np.maximum(0, 1 - best * best))
+def bound(a_low, a_high, b):
+    """Largest possible q.v for v.c in [a_low, a_high] and q.c = b."""
+    best = np.clip(b, a_low, a_high)
+    return best * b + np.sqrt(np.maximum(0, 1 - best * best)) * np.sqrt(np.maximum(0, 1 - b * b))
 
 
-def _scan(index: VectorIndex, asked: dict[int, list[int]], q: np.ndarray, ids: list, kind: str, floor: np.ndarray, k: int, part: float) -> DataFrame:
+def _scan(index: VectorIndex, asked: dict[int, list[int]], q: np.ndarray, ids: list, kind: str, floor: np.ndarray, k: int) -> DataFrame:
     """Local top-k of the (list, queries) pairs of ``asked``: (query_id, vec_id, score); only these lists are read."""
     spark = index.vectors.sparkSession
     dimension = q.shape[1]
@@ -138,7 +131,7 @@ def _scan(index: VectorIndex, asked: dict[int, list[int]], q: np.ndarray, ids: l
             for one in np.unique(which).tolist():
                 rows = np.flatnonzero(which == one)
                 for j in asked.get(one, ()):
-                    able = rows[bound(own[rows], own[rows], to_centre[j, one], part) >= floor[j] - SLACK]
+                    able = rows[bound(own[rows], own[rows], to_centre[j, one]) >= floor[j] - SLACK]
                     if len(able):
                         score = np.round(v[able] @ q[j], 6)
                         best = np.lexsort((vec_id[able], -score))[:k]
@@ -163,32 +156,27 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def search(index: VectorIndex, queries: DataFrame, k: int, deviations: float | None = None) -> tuple[DataFrame, DataFrame]:
+def search(index: VectorIndex, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Exact cosine top-k of each query (query_id, vec): (query_id, rank, vec_id, score), and how
-    many vectors were compared with each query (query_id, candidates).
-
-    With ``deviations`` the bounds are of that many standard deviations of the agreement of
-    two random directions instead of certain ones (see the module's text): a vector that
-    belongs to the best is left out with a chance of about the normal tail beyond it."""
+    many vectors were compared with each query (query_id, candidates)."""
     spark = queries.sparkSession
     passes = max(1, -(-queries.count() // MAX_QUERIES))
     out = None
     for i in range(passes):
         some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        found = _pass(spark, index, some, k, deviations)
+        found = _pass(spark, index, some, k)
         out = found if out is None else tuple(a.unionByName(b) for a, b in zip(out, found))
     return out
 
 
-def _pass(spark: SparkSession, index: VectorIndex, queries: DataFrame, k: int, deviations: float | None) -> tuple[DataFrame, DataFrame]:
+def _pass(spark: SparkSession, index: VectorIndex, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     kind = queries.schema["query_id"].dataType.simpleString()
     rows = queries.select("query_id", "vec").collect()
     if not rows or not len(index.centres):
         none = spark.createDataFrame([], f"query_id {kind}, rank int, vec_id bigint, score double")
         return none, none.select("query_id", F.lit(0).cast("bigint").alias("candidates"))
     q, ids = unit(np.array([r["vec"] for r in rows], np.float64)), [r["query_id"] for r in rows]
-    part = 1.0 if deviations is None else min(1.0, deviations / math.sqrt(max(1, q.shape[1] - 1)))
-    bounds = bound(index.low, index.high, q @ index.centres.T, part)
+    bounds = bound(index.low, index.high, q @ index.centres.T)
     bounds[:, index.size == 0] = -np.inf
     order = np.argsort(-bounds, axis=1, kind="stable")
 
@@ -199,12 +187,12 @@ def _pass(spark: SparkSession, index: VectorIndex, queries: DataFrame, k: int, d
     np.put_along_axis(first, order[:, :FIRST], True, axis=1)
     first &= np.isfinite(bounds)
     none = np.full(len(q), -np.inf)
-    start = write_table(_scan(index, by_list(first), q, ids, kind, none, k, part), scratch_path(spark, "first-lists"))
+    start = write_table(_scan(index, by_list(first), q, ids, kind, none, k), scratch_path(spark, "first-lists"))
     at = {query: i for i, query in enumerate(ids)}
     floor = none.copy()
     for row in best(start, k).filter(F.col("rank") == k).select("query_id", "score").collect():    # one a query
         floor[at[row["query_id"]]] = row["score"]
     rest = ~first & np.isfinite(bounds) & (bounds >= floor[:, None] - SLACK)
-    found = start.unionByName(write_table(_scan(index, by_list(rest), q, ids, kind, floor, k, part), scratch_path(spark, "other-lists")))
+    found = start.unionByName(write_table(_scan(index, by_list(rest), q, ids, kind, floor, k), scratch_path(spark, "other-lists")))
     return (best(found, k).select("query_id", "rank", "vec_id", "score"),
             found.groupBy("query_id").agg(F.sum("seen").alias("candidates")))
