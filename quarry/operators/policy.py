@@ -4,15 +4,20 @@ The policy acts on ``article_id`` (the reference attaches it to that column):
 admins see every row, an entitled role sees the rows whose article belongs
 to one of its categories, any other role sees nothing.
 
-Spark form: a ``left_semi`` join of the fact with the entitled articles —
+Spark form for one role: a ``left_semi`` join of the fact with the entitled articles —
 never an unqualified correlated predicate, which would bind to the inner
 table and let every row through. The role is a literal, so the plan folds to
-exactly one branch (no join for admins, an empty relation for unknown roles).
+exactly one branch (no join for admins, no row for unknown roles).
+
+For many roles at once every product carries its role set, one bit a role: an
+expression over its category, no join and no copy of a row per role. Facts are
+aggregated by role set, and only the few sets are expanded to roles; the same bit set
+on an index's postings filters a search.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.plans.registry import register
@@ -107,13 +112,50 @@ register("row_policy_role_b", _visible_sql(f"WHERE da.article_category IN ({_in(
     lambda spark, sf_dir: visible_sales(spark, sf_dir, ROLE_B))
 
 
-@register("row_policy_denied", "SELECT CAST(COUNT(*) AS BIGINT) AS visible_rows FROM lineitem WHERE FALSE")
-def row_policy_denied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fs = apply_policy(spark, sf_dir, T.fact_sales(spark, sf_dir, ["article_id"]), ROLE_OTHER)
-    return fs.agg(F.count(F.lit(1)).alias("visible_rows"))
+_POLICY_ROLES = (ADMIN_ROLES[0], ROLE_A, ROLE_B, ROLE_OTHER)
+MAX_ROLES = 62                 # bits of a role set
 
 
-_POLICY_ROLES = (ADMIN_ROLES[0], ROLE_A, ROLE_B, ROLE_OTHER)
+def role_bit(role: str, roles=_POLICY_ROLES) -> int:
+    return 1 << tuple(roles).index(role)
+
+
+def role_set(category: str = "article_category", roles=_POLICY_ROLES,
+             grants: dict[str, tuple[str, ...]] = ROLE_GRANTS) -> Column:
+    """Bits of the roles that may see a product of ``category``: admins always, granted
+    roles by category, others never (a null category is for admins alone)."""
+    if len(roles) > MAX_ROLES:
+        raise ValueError(f"at most {MAX_ROLES} roles at a time")
+    out = F.lit(sum(role_bit(r, roles) for r in roles if r in ADMIN_ROLES)).cast("bigint")
+    for r in roles:
+        if r not in ADMIN_ROLES and grants.get(r):
+            seen = F.coalesce(F.col(category).isin(*grants[r]), F.lit(False))
+            out = out + F.when(seen, F.lit(role_bit(r, roles))).otherwise(0)
+    return out
+
+
+def expand_roles(sets: DataFrame, column: str = "role_set", roles=_POLICY_ROLES) -> DataFrame:
+    """One row per row and role of its set, in the column ``role``."""
+    named = F.array(*[F.when(F.col(column).bitwiseAND(role_bit(r, roles)) != 0, F.lit(r)) for r in roles])
+    return sets.withColumn("role", F.explode(F.array_compact(named))).drop(column)
+
+
+def sales_with_roles(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """Sales with the role set of their product."""
+    art = T.dim_article(spark, sf_dir).select("article_id", role_set().alias("role_set"))
+    return T.fact_sales(spark, sf_dir, sorted({*columns, "article_id"})).join(art, "article_id")
+
+
+@register("row_policy_denied", T.with_views(
+    f"SELECT '{ROLE_OTHER}' AS role, CAST(0 AS BIGINT) AS visible_rows, CAST(COUNT(*) AS BIGINT) AS hidden_rows, "
+    "CAST(COUNT(DISTINCT fs.article_id) AS BIGINT) AS hidden_articles FROM fact_sales fs JOIN dim_article da "
+    "ON fs.article_id = da.article_id", "fact_sales", "dim_article"))
+def row_policy_denied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default deny: what a role without grants sees of the sales, and what it does not."""
+    seen = F.col("role_set").bitwiseAND(role_bit(ROLE_OTHER)) != 0
+    return sales_with_roles(spark, sf_dir, []).agg(
+        F.lit(ROLE_OTHER).alias("role"), F.count_if(seen).alias("visible_rows"), F.count_if(~seen).alias("hidden_rows"),
+        F.count_distinct(F.when(~seen, F.col("article_id"))).alias("hidden_articles"))
 
 
 def _metric_under_policy_sql() -> str:
@@ -135,50 +177,31 @@ def _metric_under_policy_sql() -> str:
     return T.with_views(" UNION ALL ".join(parts), "fact_sales", "dim_article")
 
 
-def visibility(spark: SparkSession, sf_dir: str, roles=_POLICY_ROLES,
-               grants: dict[str, tuple[str, ...]] = ROLE_GRANTS) -> DataFrame:
-    """``(role, article_id)``: which products each role may see. Admin roles
-    get every product (``explode``, no join); granted roles get the products
-    of their categories (the grant table is config-sized and broadcast);
-    other roles get nothing."""
-    art = T.dim_article(spark, sf_dir).select("article_id", "article_category")
-    admins = [r for r in roles if r in ADMIN_ROLES]
-    granted = {r: c for r, c in grants.items() if r in roles}
-    parts = []
-    if admins:
-        parts.append(art.select(F.explode(F.array(*[F.lit(r) for r in admins])).alias("role"), "article_id"))
-    if granted:
-        parts.append(art.join(F.broadcast(entitlements(spark, granted)), "article_category")
-                     .select("role", "article_id"))
-    if not parts:
-        return spark.createDataFrame([], "role string, article_id bigint")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 @register("metric_under_policy", _metric_under_policy_sql())
 def metric_under_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five metrics as each role sees them, all roles in one scan of the
-    fact: every sale row meets the roles allowed to see its product (the
-    policy, applied below the aggregate — R4), then the model's own metric
-    expressions aggregate per role. A role that sees nothing keeps its row
-    (counts 0, sums NULL), as the per-role view would give."""
-    from quarry.plans.semantic import SALES_MODEL
-    metrics = ["total_revenue", "transaction_count", "units_sold", "unique_customers", "avg_order_value"]
-    need = sorted({c for m in metrics for c in SALES_MODEL.metrics[m].needs} | {"article_id"})
-    fact = T.fact_sales(spark, sf_dir, need)
-    seen = fact.join(visibility(spark, sf_dir), "article_id")
-    per_role = seen.groupBy("role").agg(*[SALES_MODEL.metrics[m].column() for m in metrics])
+    """The five metrics as each role sees them, all roles in one scan of the fact.
+
+    Sales are reduced to one row per (role set of the product, customer). Sums go on by
+    role set, a handful of rows, and only these are expanded to roles. A customer is seen
+    by the union of the role sets of what they bought, so customers are counted by
+    that union and again only the unions are expanded: no sale and no customer is
+    copied per role. A role that sees nothing keeps its row (counts 0, sums NULL)."""
+    facts = sales_with_roles(spark, sf_dir, ["sale_id", "customer_id", "quantity_sold", "total_price"])
+    base = facts.groupBy("role_set", "customer_id").agg(
+        F.sum("total_price").alias("revenue"), F.count("total_price").alias("priced"), F.count("sale_id").alias("sales"),
+        F.sum("quantity_sold").alias("units"))
+    sums = expand_roles(base.groupBy("role_set").agg(*[F.sum(c).alias(c) for c in ("revenue", "priced", "sales", "units")]))
+    sums = sums.groupBy("role").agg(*[F.sum(c).alias(c) for c in ("revenue", "priced", "sales", "units")])
+    unions = base.filter("customer_id IS NOT NULL").groupBy("customer_id").agg(F.bit_or("role_set").alias("role_set"))
+    buyers = expand_roles(unions.groupBy("role_set").agg(F.count(F.lit(1)).alias("buyers")))
+    buyers = buyers.groupBy("role").agg(F.sum("buyers").alias("buyers"))
     roles = spark.createDataFrame([(r,) for r in _POLICY_ROLES], "role string")
     zero = F.lit(0).cast("bigint")
-    return (roles.join(per_role, "role", "left")
-            .select("role", "total_revenue",
-                    F.coalesce("transaction_count", zero).alias("transaction_count"),
-                    "units_sold",
-                    F.coalesce("unique_customers", zero).alias("unique_customers"),
-                    "avg_order_value"))
+    revenue = F.col("revenue").cast(T.SUM_MONEY)
+    return (roles.join(sums, "role", "left").join(buyers, "role", "left")
+            .select("role", revenue.alias("total_revenue"), F.coalesce("sales", zero).alias("transaction_count"),
+                    F.col("units").alias("units_sold"), F.coalesce("buyers", zero).alias("unique_customers"),
+                    F.round(revenue.cast("double") / F.nullif(F.col("priced"), zero), 6).alias("avg_order_value")))
 
 
 def _grants_sql() -> str:

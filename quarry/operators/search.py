@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import docs as D
+from quarry.operators import policy as P
 from quarry.operators import term_index as TI
 from quarry.operators import vector_index as VI
 from quarry.operators.term_index import BM25_B, BM25_K1, RRF_K
@@ -55,17 +56,17 @@ def searched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def searched_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_add(F.lit(COMMENT_DAY).cast("date"), (F.col("comment_id") % COMMENT_DAYS).cast("int"))
-    articles = T.dim_article(spark, sf_dir).select("article_id", "article_name")
+    articles = T.dim_article(spark, sf_dir).select("article_id", "article_name", P.role_set().alias("role_set"))
     return (T.comments(spark, sf_dir, ("comment_id", "article_id", "comment_text")).join(articles, "article_id")
             .select(F.col("comment_id").alias("doc_id"), F.col("comment_text").alias("text"), "comment_id",
-                    day.alias("comment_date"), "article_id", "article_name"))
+                    day.alias("comment_date"), "article_id", "article_name", "role_set"))
 
 
 SEARCHED = {
     "documents": (searched_documents, ("lang", "source")),
     "headings": (searched_headings, ("lang", "source")),
     "chunks": (searched_chunks, CHUNK_ATTRIBUTES),
-    "comments": (searched_comments, COMMENT_ATTRIBUTES),
+    "comments": (searched_comments, (*COMMENT_ATTRIBUTES, "role_set")),
 }
 _BUILT: dict[tuple[str, str, str], TI.TermIndex] = {}
 
@@ -170,6 +171,17 @@ def search_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TI.with_attributes(index, hits, COMMENT_ATTRIBUTES)
 
 
+@register("search_comments_by_role", T.with_views(sql_bm25(
+    "text", TOP_K, doc_filter=f"article_category IN ({', '.join(repr(c) for c in P.ROLE_GRANTS[P.ROLE_B])})",
+    extra_cols=", article_category", docs="(SELECT c.comment_id AS doc_id, c.comment_text AS text, a.article_name, a.article_category "
+    "FROM comments c JOIN dim_article a ON c.article_id = a.article_id)", out="article_name"), "comments", "dim_article"))
+def search_comments_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback search as a granted role sees it: the role's bit in the postings' role set."""
+    index = index_of(spark, sf_dir, "comments")
+    hits = TI.search(index, _benchmark(spark, sf_dir), TOP_K, F.col("role_set").bitwiseAND(P.role_bit(P.ROLE_B)) != 0)
+    return TI.with_attributes(index, hits, ("article_name",))
+
+
 def _ranked_sql(name: str, text_expr: str) -> str:
     return f"{name} AS (SELECT * FROM ({sql_bm25(text_expr, 2**31 - 1)}))"
 
