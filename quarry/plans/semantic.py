@@ -198,7 +198,7 @@ _METRICS = [
 ]
 
 SALES_MODEL = SemanticModel(
-    name="sales_data_semantic_view",
+    name="sales_model",
     tables={
         "fact_sales": Table("fact_sales", ("sale_id",), _fact_loader),
         "dim_article": Table("dim_article", ("article_id",), _article_loader),
