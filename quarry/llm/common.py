@@ -126,7 +126,7 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         lo = hi
 
 
-def row_slices(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES * 8):
+def row_slices(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES * 16):
     """Slices of an Arrow batch whose texts together stay near ``limit`` bytes (one
     longer text is a slice of its own), so Python copies of texts stay few."""
     _, offsets = text_buffers(batch.column(column))
