@@ -10,7 +10,7 @@ import __spark_entry__ as E
 from oracle_check import digest, duck
 
 ORACLE = E.oracle_sql()
-PATH_BOUND = {"file_inventory", "stage_manifest_check"}
+PATH_BOUND = {"file_inventory", "stage_manifest_check", "late_contents"}
 
 
 @pytest.fixture(scope="module")
