@@ -38,7 +38,7 @@ def register(key: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 def load_all() -> None:
     # Importing the modules fills the maps.
     from quarry.plans import verified  # noqa: F401
-    from quarry.operators import analytics, docs, feedback, policy, quality, search  # noqa: F401
+    from quarry.operators import analytics, docs, feedback, outbox, policy, quality, search  # noqa: F401
     from quarry.plans import model_ops, qualified, values  # noqa: F401
     from quarry.streaming import refresh  # noqa: F401
     from quarry.sources import csv, files, load  # noqa: F401
