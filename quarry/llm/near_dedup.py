@@ -1,27 +1,35 @@
 """Near-duplicate groups by a MinHash LSH forest (operator 2).
 
 A text's set holds its distinct word shingles as 64-bit hashes. Equal sets form
-classes first; one representative of each goes on. ``TREES`` trees order the
-representatives by different sequences of their MinHash values. Two of them are
-neighbours in a tree where they share its first ``DEPTH`` values: its region.
-
-Round one compares every member of a region with its leader (smallest id), which
-joins most copies to their group. Round two looks only at regions that still
-hold several groups. In regions of at most ``REGION`` members every pair of
-different groups is a candidate. The members of larger ones go through an exact
-set-similarity join: shingles are ordered from rare to frequent, and two sets at
-the threshold share one among the first ones of both (prefix filter), at
-positions that leave room for the overlap that their sizes ask for. Shingles that
-one set holds alone make no row, so sets that only share boilerplate hardly meet.
-The frequencies that order the shingles may be off (they share ``MAX_SLOTS``
-counters at most): any order is exact, a better one makes fewer candidates. No
-step emits all pairs of a large group, and no member or pair is dropped.
-
-Candidates of small regions pass a 128-bit one-bit MinHash sketch (its bound lies
-six standard deviations below the threshold); all are then confirmed on full sets.
-A pair at the threshold of 0.8 has no region in common with a chance of 9e-5
-(the trees share ``PERMUTATIONS`` values), and is then missed unless both
-are members of crowded regions or others link them.
+classes first; one representative of each goes on. The forest has ``TREES``
+sorted orders of the representatives, each by another sequence of ``DEEPEST``
+MinHash values (a tree's signature). Spark sorts all orders by ranges of (tree, signature, id),
+which a frequent signature cannot keep from being split. One walk over the sorted
+rows then reads, for every row, how many rows share its first values.
+
+The depth adapts to the region: a row's region are the rows that share its first
+SHALLOWEST values if these are at most ``REGION``, else those that share one more, up
+to ``BASE``. Where even that is crowded, the walk goes on to ``DEEPEST`` values for the nearest
+copies only, and the crowded region is left to an exact join (below). The walk knows
+``REGION`` rows on either side of a row; rows near the edge of a range are
+decided by a second walk over the edges of all ranges (4 * REGION rows of each).
+
+Round one compares a row with its longest-common-prefix neighbour in every order and
+with the leader (smallest id) of its region, which joins most copies to their
+group. Round two looks only at regions that still hold several groups. In those of
+at most ``REGION`` rows every pair of different groups is a candidate. The members
+of crowded ones go through an exact set-similarity join: shingles are ordered from
+rare to frequent, and two sets at the threshold share one among the first ones of
+both (prefix filter), at positions that leave room for the overlap that their sizes
+ask for. Shingles that one set holds alone make no row. The frequencies that order the
+shingles may be off (they share ``MAX_SLOTS`` counters at most): any order is exact, a
+better one makes fewer candidates. No member or pair is dropped.
+
+All candidates pass a 128-bit one-bit MinHash sketch (its bound lies six standard
+deviations below the threshold, a chance of 1e-9 for a link) and are then confirmed on full
+sets. A pair at the threshold of 0.8 shares ``BASE`` values in no order with a chance of 9e-5
+(the trees share ``PERMUTATIONS`` values); it is then missed unless it meets in a shallower
+region, both are members of crowded ones, or others link them.
 
 Defined cases: null and empty texts, and texts without words, have empty sets
 and are linked with nothing; a text of fewer words than a shingle is one
@@ -43,7 +51,7 @@ from quarry.llm.links import components, with_minimum
 
 PERMUTATIONS = 128
 TREES = 48
-DEPTH = 6                      # common MinHash values of a region
+SHALLOWEST, BASE, DEEPEST = 5, 6, 8    # common MinHash values of a region: least, most, and of nearest copies
 REGION = 32                    # members of a region whose pairs are all candidates at once
 MAX_SLOTS = 1 << 22            # counters that order the shingles of crowded members
 SLOTS_PER_SHINGLE = 4
@@ -54,7 +62,7 @@ EMIT_ROWS = 4096
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
-_ORDER = np.stack([_rng.permutation(PERMUTATIONS)[:DEPTH] for _ in range(TREES)])
+_ORDER = np.stack([_rng.permutation(PERMUTATIONS)[:DEEPEST] for _ in range(TREES)])
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int, sep: np.ndarray) -> list[np.ndarray]:
@@ -108,23 +116,130 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, SIGNATURE)
 
 
+SORTED = "tree int, k1 bigint, k2 bigint, doc_id bigint"
+FOUND = f"{SORTED}, due boolean, region bigint, n int, leader bigint, neighbour bigint"
+
+
 def tree_keys(reps: DataFrame) -> DataFrame:
-    """(doc_id, region) per representative and tree: hashes of the tree's first DEPTH values."""
+    """(tree, k1, k2, doc_id) per representative and tree: DEEPEST values of 16 bits in the tree's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = mix64(np.arange(1, TREES + 1, dtype=np.uint64))
+        places = np.array([48, 32, 16, 0], np.uint64)
+        trees = np.arange(TREES, dtype=np.int32)
         for big in batches:
             for lo in range(0, big.num_rows, EMIT_ROWS):
                 batch = big.slice(lo, EMIT_ROWS)
                 values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
-                state = np.broadcast_to(seeds, (len(values), TREES)).copy()
-                for d in range(DEPTH):
-                    state = mix64(state * np.uint64(31) + values[:, _ORDER[:, d]])
+                own = values[:, _ORDER].astype(np.uint64)                    # rows x trees x DEEPEST
+                keys = [np.bitwise_or.reduce(own[:, :, part] << places, axis=2).view(np.int64).ravel()
+                        for part in (slice(0, 4), slice(4, 8))]
                 ids = np.repeat(batch.column(0).to_numpy(), TREES)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(state.view(np.int64).ravel())],
-                                                 names=["doc_id", "region"])
-
-    return reps.select("doc_id", "signature").mapInArrow(run, "doc_id bigint, region bigint")
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(trees, len(values))), *map(pa.array, keys), pa.array(ids)],
+                                                 names=["tree", "k1", "k2", "doc_id"])
+
+    return reps.select("doc_id", "signature").mapInArrow(run, SORTED)
+
+
+class Stretch:
+    """Rows of the sorted orders that follow one another, and how they share first values."""
+
+    def __init__(self, tree: np.ndarray, k1: np.ndarray, k2: np.ndarray, ids: np.ndarray):
+        self.ids, n = ids, len(ids)
+        self.key = {d: k2 >> (128 - 16 * d) for d in range(SHALLOWEST, DEEPEST + 1)}     # the first four values are k1
+        same, shared = np.zeros(n, bool), np.zeros(n + 1, np.int8)
+        same[1:] = (tree[1:] == tree[:-1]) & (k1[1:] == k1[:-1])
+        self.start, self.run, self.length = {}, {}, {}
+        for d in range(SHALLOWEST, DEEPEST + 1):
+            with_last = same.copy()
+            with_last[1:] &= self.key[d][1:] == self.key[d][:-1]
+            shared[:-1] += with_last
+            self.start[d] = np.flatnonzero(~with_last)
+            self.run[d] = np.cumsum(~with_last) - 1
+            self.length[d] = np.diff(np.append(self.start[d], n))[self.run[d]]
+        self.shared = shared                                    # depth steps in common with the row before (and 0 at the end)
+        self.seed = mix64(mix64(tree.astype(np.uint64) + np.uint64(1)) ^ k1.view(np.uint64))
+
+    def regions(self) -> tuple[np.ndarray, ...]:
+        """(region, n, leader, neighbour) of every row; n is over REGION for a crowded one, 1 for none."""
+        n = len(self.ids)
+        depth = np.full(n, BASE)
+        for d in range(BASE - 1, SHALLOWEST - 1, -1):
+            depth[self.length[d] <= REGION] = d
+        region, size, leader = np.zeros(n, np.uint64), np.ones(n, np.int64), self.ids.copy()
+        for d in range(SHALLOWEST, DEEPEST + 1):
+            low = np.minimum.reduceat(self.ids, self.start[d])[self.run[d]]
+            if d <= BASE:
+                own = depth == d
+                region[own] = mix64(self.seed[own] + mix64(self.key[d][own].view(np.uint64) * np.uint64(16) + np.uint64(d)))
+                size[own] = np.minimum(self.length[d][own], REGION + 1)
+                leader[own] = low[own]
+            else:
+                closer = (size > REGION) & (self.length[d] > 1)
+                leader[closer] = low[closer]
+        back = self.shared[:-1] >= self.shared[1:]
+        near = np.where(back, np.roll(self.ids, 1), np.roll(self.ids, -1))
+        neighbour = np.where(np.maximum(self.shared[:-1], self.shared[1:]) > 0, near, self.ids)
+        return region.view(np.int64), size, leader, neighbour
+
+
+def walk(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
+    """Regions of the rows of one sorted range, and the rows at its edges as they are (due: not
+    decided here). With ``edges`` the batches hold the edges of all ranges, whose due rows are decided."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    rows = [np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64, bool)]
+    done = 0                                                    # rows decided or given on, of those still held
+    ahead = 0 if edges else 2 * REGION                          # rows seen before the ones held, up to the edge's length
+
+    def edge(lo: int, hi: int, due: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(hi - lo, pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.array(c[lo:hi]) for c in rows[:4]), pa.array(due), none,
+                                           pa.nulls(hi - lo, pa.int32()), none, none], names=names)
+
+    def decided(lo: int, hi: int) -> pa.RecordBatch:
+        region, n, leader, neighbour = (c[lo:hi] for c in Stretch(*rows[:4]).regions())
+        own = n > 1
+        if edges:
+            own &= rows[4][lo:hi]
+        return pa.RecordBatch.from_arrays([*(pa.array(c[lo:hi][own]) for c in rows[:4]), pa.array(np.zeros(own.sum(), bool)),
+                                           pa.array(region[own]), pa.array(n[own].astype(np.int32)), pa.array(leader[own]),
+                                           pa.array(neighbour[own])], names=names)
+
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]]
+        due = batch.column(4).to_numpy(zero_copy_only=False) if edges else np.zeros(batch.num_rows, bool)
+        rows = [np.concatenate(c) for c in zip(rows, [*new, due])]
+        if ahead and len(rows[0]) >= 4 * REGION:                # the range's beginning
+            yield edge(0, 2 * REGION, np.arange(2 * REGION) < REGION)
+            done, ahead = REGION, 0
+        if not ahead and len(rows[0]) - REGION - done >= EMIT_ROWS:
+            yield decided(done, len(rows[0]) - REGION)
+            drop = max(0, len(rows[0]) - 2 * REGION - (0 if edges else REGION))
+            done = len(rows[0]) - REGION - drop
+            rows = [c[drop:] for c in rows]
+    n = len(rows[0])
+    if edges:
+        if n > done:
+            yield decided(done, n)
+    elif ahead:                                                 # a short range is all edge
+        if n:
+            yield edge(0, n, np.ones(n, bool))
+    else:
+        if n - REGION > done:
+            yield decided(done, n - REGION)
+        yield edge(n - 2 * REGION, n, np.arange(2 * REGION) >= REGION)
+
+
+def forest_regions(reps: DataFrame) -> DataFrame:
+    """(region, n, leader, neighbour, doc_id) of every row and tree that shares a region with another."""
+    order = ["tree", "k1", "k2", "doc_id"]
+    keys = stash(tree_keys(reps), "near-keys")
+    ranges = keys.repartitionByRange(*order).sortWithinPartitions(*order)
+    first = stash(ranges.mapInArrow(lambda batches: walk(batches, False), FOUND), "near-ranges")
+    # 4 * REGION rows of every range: of a size that follows the number of partitions, not the rows.
+    rest = first.filter("region is null").select(*order, "due").coalesce(1).sortWithinPartitions(*order)
+    rest = rest.mapInArrow(lambda batches: walk(batches, True), FOUND)
+    cols = ["region", "n", "leader", "neighbour", "doc_id"]
+    return first.filter("region is not null").select(*cols).unionAll(rest.select(*cols))
 
 
 def sketch_passes(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -253,10 +368,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     reps = stash_narrow(classes.filter("doc_id = rep").select("doc_id").distinct()
                  .join(found.filter("n_shingles > 0"), "doc_id"), "near-reps")
 
-    regions = stash_narrow(tree_keys(reps).groupBy("region").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n"))
-                    .filter("n > 1"), "near-regions")
-    members = stash_narrow(tree_keys(reps).join(regions, "region"), "near-members")
-    star = members.filter("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct()
+    members = stash_narrow(forest_regions(reps), "near-members")
+    star = members.select(F.col("doc_id").alias("a"), F.explode(F.array("leader", "neighbour")).alias("b")).filter("a <> b")
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = confirmed(sketch_passes(star, reps, percent), docs, shingle_words, percent, id_col, text_col)
 
     groups = stash_narrow(components(links), "near-groups")
@@ -265,13 +379,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     mixed = own.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region")
     open_ = stash_narrow(own.join(mixed, "region").select("region", "n", "doc_id", "component"), "near-open")
     if not open_.isEmpty():
-        tests = sketch_passes(cross_pairs(open_.filter(F.col("n") <= REGION)), reps, percent)
+        tests = cross_pairs(open_.filter(F.col("n") <= REGION))
         crowded = stash_narrow(open_.filter(F.col("n") > REGION).select("doc_id", "component").distinct()
                                .join(reps.select("doc_id", "n_shingles"), "doc_id"), "near-crowded")
         if not crowded.isEmpty():
             rows = prefixes(crowded, docs, shingle_words, percent, id_col, text_col)
             tests = tests.unionAll(prefix_pairs(rows.join(crowded.select("doc_id", "component"), "doc_id"), percent)).distinct()
-        links = links.unionAll(confirmed(tests, docs, shingle_words, percent, id_col, text_col))
+        links = links.unionAll(confirmed(sketch_passes(tests, reps, percent), docs, shingle_words, percent, id_col, text_col))
         groups = stash_narrow(components(links), "near-groups")
 
     merged = (classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import links, near_dedup
@@ -57,6 +59,72 @@ def test_components_match_brute_force(spark, k, seed):
     assert got == brute(rows, k)
 
 
+def sorted_orders(rng, n):
+    """Rows of a few trees whose signatures share first values often, some regions crowded."""
+    rows = set()
+    while len(rows) < n:
+        v = [rng.choice((1, 1, 1, 40000))] + [0] * 3 + [rng.choice((7, 7, 7, 9, rng.randrange(50))) for _ in range(4)]
+        k1, k2 = (int.from_bytes(b"".join(x.to_bytes(2, "big") for x in part), "big", signed=True) for part in (v[:4], v[4:]))
+        rows.add((rng.randrange(3), k1, k2, rng.randrange(10**6)))
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("cuts", [[], [1], [40, 100], [500, 501, 900, 2600], list(range(50, 3000, 97))])
+def test_walk_finds_regions_of_adaptive_depth(cuts):
+    """Whatever the ranges, every row gets the region that a count over all rows gives it."""
+    rng = random.Random(5)
+    rows = sorted_orders(rng, 3000)
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+    def batch(part, due=None):
+        cols = [pa.array(c, t) for c, t in zip(zip(*part), types)]
+        return pa.RecordBatch.from_arrays(cols + ([pa.array(due)] if due else []),
+                                          names=["tree", "k1", "k2", "doc_id", "due"][:4 + bool(due)])
+
+    found, edges = [], []
+    for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+        parts = [batch(rows[i:min(i + 700, b)]) for i in range(a, b, 700)]
+        for r in (r for out in near_dedup.walk(iter(parts), False) for r in out.to_pylist()):
+            (edges if r["region"] is None else found).append(r)
+    edges.sort(key=lambda r: (r["tree"], r["k1"], r["k2"], r["doc_id"]))
+    if edges:
+        last = batch([(r["tree"], r["k1"], r["k2"], r["doc_id"]) for r in edges], [r["due"] for r in edges])
+        found += [r for out in near_dedup.walk(iter([last]), True) for r in out.to_pylist()]
+    got = {(r["tree"], r["k1"], r["k2"], r["doc_id"]): r for r in found}
+    assert len(got) == len(found)
+
+    def prefix(row, d):
+        return row[0], row[1], row[2] >> (128 - 16 * d)
+
+    groups = {d: {} for d in range(near_dedup.SHALLOWEST, near_dedup.BASE + 1)}
+    for d, g in groups.items():
+        for row in rows:
+            g.setdefault(prefix(row, d), []).append(row)
+    regions = {}
+    for row in rows:
+        d = next((d for d, g in groups.items() if len(g[prefix(row, d)]) <= near_dedup.REGION), near_dedup.BASE)
+        same = groups[d][prefix(row, d)]
+        if len(same) == 1:
+            assert row not in got
+            continue
+        r = got[row]
+        assert r["n"] == min(len(same), near_dedup.REGION + 1)
+        regions.setdefault((d, *prefix(row, d)), set()).add(r["region"])
+        assert r["neighbour"] in {x[3] for x in same} | {x[3] for x in groups[near_dedup.SHALLOWEST][prefix(row, near_dedup.SHALLOWEST)]}
+        if len(same) <= near_dedup.REGION:
+            assert r["leader"] == min(x[3] for x in same)
+    assert all(len(x) == 1 for x in regions.values())
+    assert len(set.union(*regions.values())) == len(regions)
+    assert any(r["n"] > near_dedup.REGION for r in found) and any(1 < r["n"] <= near_dedup.REGION for r in found)
+
+
+def test_signature_keys_sort_by_values():
+    values = np.arange(near_dedup.PERMUTATIONS, dtype=np.uint16)
+    own = values[near_dedup._ORDER]
+    assert own.shape == (near_dedup.TREES, near_dedup.DEEPEST)
+    assert all(len(set(row)) == near_dedup.DEEPEST for row in own.tolist())
+
+
 def test_crowded_regions_lose_no_group(spark, monkeypatch):
     """Many copies that differ a little: regions over the limit at every depth."""
     monkeypatch.setattr(near_dedup, "REGION", 4)
