@@ -148,37 +148,62 @@ PROFILE_TABLES = {
 }
 
 
-def profile_table(df: DataFrame, table: str, columns, exact_distinct: bool = True) -> DataFrame:
-    """Per column: nulls, distinct non-null values, min, max (as text).
+PROFILE = ("table_name", "column_name", "nulls", "distinct_values", "min_value", "max_value", "top_value", "top_count")
+
 
-    Nulls, min and max come from one aggregate in the columns' own types (a
-    bigint keeps all its digits). Distinct values are counted exactly, from
-    ``(column, value)`` rows that a partial aggregate collapses before the
-    shuffle, or by the HyperLogLog++ sketch inside that same single aggregate.
+def profile_table(df: DataFrame, table: str, columns, exact_distinct: bool = True) -> DataFrame:
+    """Per column: nulls, distinct non-null values, min, max and the most frequent value (all as
+    text; ties by value) with its count, from one scan.
+
+    Exact: ``(column, value)`` rows, which a partial aggregate collapses before the
+    shuffle, are counted; bounds are taken from the counted values in the columns' own types
+    (a bigint keeps all its digits). Otherwise one aggregate with sketches: HyperLogLog++ for the
+    distinct values and ``approx_top_k`` for the most frequent one. A table without
+    rows has zero counts and null values.
     """
-    def described(c: str) -> list[Column]:
-        v = F.col(c)
-        facts = [F.lit(c).alias("column_name"), F.count_if(v.isNull()).alias("nulls"),
-                 F.min(v).cast("string").alias("min_value"), F.max(v).cast("string").alias("max_value")]
-        return facts if exact_distinct else [*facts, F.approx_count_distinct(v).alias("distinct_values")]
-
-    wide = df.agg(F.array(*[F.struct(*described(c)) for c in columns]).alias("facts"))
-    rows = wide.select(F.explode("facts").alias("f")).select("f.*")
-    if exact_distinct:
-        stacked = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("s"))
-        distinct = (stacked.select("s.*").filter("value is not null").groupBy("column_name", "value").agg(F.lit(1))
-                    .groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_values")))
-        rows = rows.join(distinct, "column_name", "left").withColumn(
-            "distinct_values", F.coalesce("distinct_values", F.lit(0).cast("bigint")))
-    return rows.select(F.lit(table).alias("table_name"), "column_name", "nulls", "distinct_values",
-                       "min_value", "max_value")
+    if not exact_distinct:
+        def described(c: str) -> list[Column]:
+            v, top = F.col(c), F.expr(f"get(filter(approx_top_k(`{c}`, 2), x -> x.item is not null), 0)")
+            return [F.lit(c).alias("column_name"), F.count_if(v.isNull()).alias("nulls"),
+                    F.approx_count_distinct(v).alias("distinct_values"), F.min(v).cast("string").alias("min_value"),
+                    F.max(v).cast("string").alias("max_value"), top["item"].cast("string").alias("top_value"),
+                    F.coalesce(top["count"], F.lit(0).cast("bigint")).alias("top_count")]
+        wide = df.agg(F.array(*[F.struct(*described(c)) for c in columns]).alias("facts"))
+        rows = wide.select(F.explode("facts").alias("f")).select("f.*")
+        return rows.select(F.lit(table).alias("table_name"), *PROFILE[1:])
+
+    kinds = dict(df.dtypes)
+    counted = (df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("s"))
+        .groupBy("s.column_name", "s.value").agg(F.count(F.lit(1)).alias("n")))
+
+    def bound(pick) -> Column:
+        own = [pick(F.when(F.col("column_name") == c, F.col("value").cast(kinds[c]))).cast("string") for c in columns]
+        return F.coalesce(*own)
+
+    top = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("n"), "value")))
+    facts = counted.groupBy("column_name").agg(
+        F.sum(F.when(F.col("value").isNull(), F.col("n"))).alias("nulls"), F.count("value").alias("distinct_values"),
+        bound(F.min).alias("min_value"), bound(F.max).alias("max_value"), top.alias("top"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+
+    def zero(c: Column) -> Column:
+        return F.coalesce(c, F.lit(0).cast("bigint"))
+
+    return names.join(facts, "column_name", "left").select(
+        F.lit(table).alias("table_name"), "column_name", zero(F.col("nulls")).alias("nulls"),
+        zero(F.col("distinct_values")).alias("distinct_values"), "min_value", "max_value",
+        F.col("top.value").alias("top_value"), zero(-F.col("top.n")).alias("top_count"))
 
 
 @register("table_profile", T.with_views(" UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS nulls, "
     f"CAST(COUNT(DISTINCT {c}) AS BIGINT) AS distinct_values, CAST(MIN({c}) AS VARCHAR) AS min_value, "
-    f"CAST(MAX({c}) AS VARCHAR) AS max_value FROM {t}"
+    f"CAST(MAX({c}) AS VARCHAR) AS max_value, "
+    f"(SELECT CAST({c} AS VARCHAR) FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} "
+    f"ORDER BY COUNT(*) DESC, CAST({c} AS VARCHAR) LIMIT 1) AS top_value, "
+    f"COALESCE((SELECT CAST(COUNT(*) AS BIGINT) FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} "
+    f"ORDER BY COUNT(*) DESC LIMIT 1), 0) AS top_count FROM {t}"
     for t, cols in PROFILE_TABLES.items() for c in cols), *PROFILE_TABLES.keys()))
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
