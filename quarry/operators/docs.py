@@ -283,6 +283,55 @@ def describe_files(df: DataFrame, describe_batch, prompt_col: str = "prompt") ->
     return df.withColumn("description", run(F.col(prompt_col)))
 
 
+def described_chunks(files: DataFrame, describe_batch) -> DataFrame:
+    """Chunk rows of files that hold no text: one row per file of ``files`` (source_file,
+    stage_name) with the model's description as chunk 0, classified by the file's name. Files without
+    a name, and those that the model says nothing about, make no row."""
+    own = files.filter(F.col("source_file").isNotNull()).select(
+        "source_file", "stage_name", X.prompt(X.DESCRIBE_PROMPT, "source_file").alias("prompt"))
+    described = describe_files(own, describe_batch).filter(F.length("description") > 0)
+    return described.select(
+        "source_file", F.lit("IMAGE").alias("file_type"), X.keyword_class("source_file", KEYWORDS).alias("product_category"),
+        "stage_name", F.col("description").alias("chunk_text"), F.lit(0).cast("bigint").alias("chunk_index"),
+    ).select(*CHUNK_COLUMNS)
+
+
+def echo_model(prompts: list[str]) -> list[str]:
+    """Stand-in for the caller's description model: it repeats what it was asked."""
+    return ["Asked: " + p for p in prompts]
+
+
+DESCRIBED_COLUMNS = ", ".join(CHUNK_COLUMNS)
+
+
+@register("docs_chunks_described",
+          f"SELECT {DESCRIBED_COLUMNS} FROM ({sql_chunk_table()}) UNION ALL SELECT {DESCRIBED_COLUMNS} FROM ("
+          f"SELECT url AS source_file, 'IMAGE' AS file_type, {X.sql_keyword_class('url', KEYWORDS)} AS product_category, "
+          "regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1) AS stage_name, "
+          "'Asked: ' || replace('" + X.DESCRIBE_PROMPT.replace("'", "''") + "', '{0}', url) AS chunk_text, "
+          "CAST(0 AS BIGINT) AS chunk_index FROM pages WHERE url IS NOT NULL)")
+def docs_chunks_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table with all branches: chunks of texts and pages, and a description row per page image
+    (the data holds no images: every page stands for the image at its address)."""
+    images = T.read(spark, sf_dir, "pages").select(
+        F.col("url").alias("source_file"), F.try_parse_url(F.col("url"), F.lit("HOST")).alias("stage_name"))
+    return chunk_table(spark, sf_dir).unionByName(described_chunks(images, echo_model))
+
+
+@register("classification_confusion",
+          f"WITH t AS ({sql_chunk_table()}) SELECT expected_category, product_category, CAST(COUNT(*) AS BIGINT) AS files, "
+          "CAST(SUM(chunks) AS BIGINT) AS chunks FROM (SELECT source_file, product_category, "
+          f"{X.sql_keyword_class('source_file', KEYWORDS)} AS expected_category, COUNT(*) AS chunks FROM t GROUP BY 1, 2, 3) "
+          "GROUP BY 1, 2")
+def classification_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and chunks by expected and assigned class: the off-diagonal rows are the mismatches."""
+    files = chunk_table(spark, sf_dir).groupBy("source_file", "product_category").agg(F.count(F.lit(1)).alias("chunks"))
+    return (files.withColumn("expected_category", X.keyword_class("source_file", KEYWORDS))
+            .groupBy("expected_category", "product_category")
+            .agg(F.count(F.lit(1)).alias("files"), F.sum("chunks").alias("chunks"))
+            .orderBy("expected_category", "product_category"))
+
+
 # --- checks on the chunk table (Q2, Q3, Q4) --------------------------------------
 
 @register("chunk_counts_by_type",
