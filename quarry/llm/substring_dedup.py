@@ -139,14 +139,15 @@ def unit_rows(docs: DataFrame, min_words: int, windows: bool) -> DataFrame:
     return docs.mapInArrow(run, "digest bigint, doc_id bigint")
 
 
-MARKED = ("digest bigint, doc_id bigint, text_key bigint, in_doc_first boolean, first bigint, last bigint, start bigint, "
+MARKED = ("digest bigint, doc_id bigint, text_key bigint, in_doc_first boolean, may_stay boolean, first bigint, last bigint, start bigint, "
           "end bigint, left array<int>, right array<int>, left_at array<int>, right_at array<int>")
 
 
-def context_rows(docs: DataFrame, plane: np.ndarray, bits: int, min_words: int, windows: bool) -> DataFrame:
-    """Units whose digest may repeat; windows with the words beside them: 32-bit hashes, nearest
-    first, and the offsets to which each would extend the unit."""
-    shared = docs.sparkSession.sparkContext.broadcast(plane)
+def context_rows(docs: DataFrame, planes: tuple[np.ndarray, np.ndarray], bits: int, min_words: int, windows: bool) -> DataFrame:
+    """Units whose digest may repeat (first plane); windows with the words beside them: 32-bit hashes,
+    nearest first, and the offsets to which each would extend the unit. ``may_stay``: the first
+    in a document that may be the earliest one (second plane, of digest ^ doc_id)."""
+    shared = docs.sparkSession.sparkContext.broadcast(planes)
     names = [c.split()[0] for c in MARKED.split(", ")]
     beside = np.arange(window_sizes(min_words)[1] - 1)
 
@@ -161,11 +162,12 @@ def context_rows(docs: DataFrame, plane: np.ndarray, bits: int, min_words: int,
             raw, offsets = text_buffers(batch.column(2))
             for lo, hi in chunks(offsets):
                 u = Units(raw, offsets[lo:hi + 1], min_words, windows)
-                pick = np.flatnonzero(in_plane(u.digest, shared.value, bits))
+                pick = np.flatnonzero(in_plane(u.digest, shared.value[0], bits))
                 w, first = u.words, u.occurrence()[pick] == 0
                 short = (w.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 start, end = u.chars[w.start], u.chars[w.end]
                 a, b, d = u.first[pick], u.last[pick], u.doc[pick]
+                stay = first & in_plane(u.digest[pick] ^ ids[lo:hi][d], shared.value[1], bits)
                 at = u.chars[u.begin][d]                                     # code points before the text
                 left, right = a[:, None] - 1 - beside, b[:, None] + beside
                 on_left = (left >= w.first[d][:, None]) & u.window[pick][:, None]
@@ -173,7 +175,7 @@ def context_rows(docs: DataFrame, plane: np.ndarray, bits: int, min_words: int,
                 left_row, right_row = np.nonzero(on_left)[0], np.nonzero(on_right)[0]
                 left, right = left[on_left], right[on_right]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(u.digest[pick]), pa.array(ids[lo:hi][d]), pa.array(keys[lo:hi][d]), pa.array(first),
+                    pa.array(u.digest[pick]), pa.array(ids[lo:hi][d]), pa.array(keys[lo:hi][d]), pa.array(first), pa.array(stay),
                     pa.array(a - w.first[d]), pa.array(b - w.first[d]), pa.array(start[a] - at), pa.array(end[b - 1] - at),
                     lists(on_left, short[left]), lists(on_right, short[right]),
                     lists(on_left, start[left] - at[left_row]), lists(on_right, end[right] - at[right_row]),
@@ -205,10 +207,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
                           .agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
                           .filter("n > 1").select("digest", "keeper"), "unit-groups")
     bits = filter_bits(shared.count(), MAX_FILTER_BYTES)
-    units = context_rows(base, member_plane(shared, "digest", bits), bits, min_words, windows)
+    planes = tuple(member_plane(shared.selectExpr(f"{key} as key"), "key", bits) for key in ("digest", "digest ^ keeper"))
+    units = context_rows(base, planes, bits, min_words, windows)
     salt = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int")
     units = stash(units.withColumn("salt", salt), "unit-context")
-    at_keeper = units.filter("in_doc_first").withColumnRenamed("doc_id", "keeper").join(shared, ["digest", "keeper"])
+    at_keeper = (units.filter("may_stay").select("digest", F.col("doc_id").alias("keeper"), "text_key", "left", "right")
+                 .join(shared, ["digest", "keeper"]))
     kept = at_keeper.groupBy("digest").agg(F.min(F.struct("keeper", "text_key", "left", "right")).alias("k"))
     kept = units.select("digest", "salt").distinct().join(kept, "digest").select(
         "digest", "salt", "k.keeper", F.col("k.text_key").alias("kept_key"),
