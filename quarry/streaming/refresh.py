@@ -8,7 +8,8 @@ by a file-source stream, and each micro-batch writes one segment:
 
 * ``changes/batch_id=<n>`` — ``(doc_id, seq, op)``, the newest change of every document
   in the batch; a delete is a tombstone;
-* ``rows/batch_id=<n>`` — the term rows of its upserts, only those are tokenised.
+* ``rows/batch_id=<n>`` — a row per upserted document with its tokens; only those are tokenised,
+  and of changes that an earlier segment already holds (a file delivered again) none is.
 
 Folders are overwritten, so a replayed batch (after the loss of an executor or
 the driver) leaves no second copy; a file delivered again makes a segment of older or
@@ -52,19 +53,35 @@ class Segments:
         self.spark, self.folder, self.attributes = spark, folder.rstrip("/"), tuple(attributes)
         kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
         own = "".join(f", {a} {kinds[a]}" for a in self.attributes)
-        self.row_schema = f"doc_id {kinds['doc_id']}, dl int{own}, term string, tf bigint, batch_id bigint"
+        self.row_schema = f"doc_id {kinds['doc_id']}, dl int{own}, words string, batch_id bigint"
         self.change_schema = f"doc_id {kinds['doc_id']}, seq bigint, op string, batch_id bigint"
 
     def write(self, changes: DataFrame, batch_id: int) -> None:
-        """One segment; the batch's older changes of a document are left out."""
-        own = TI.write_table(newest(changes, "seq", "op", "text", *self.attributes),
-                             scratch_path(self.spark, "refresh-batch"))
-        (TI.term_rows(own.filter("op = 'upsert'"), "doc_id", "text", self.attributes)
+        """One segment; the batch's older changes of a document are left out, and those no newer than
+        what earlier segments hold. Ids and numbers alone decide that: texts are shuffled only where
+        some changes of a batch count and others do not."""
+        known = newest(self.changes().filter(F.col("batch_id") < batch_id), "seq").withColumnRenamed("seq", "known").alias("k")
+        last = changes.groupBy("doc_id").agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("times"))
+        met = last.alias("l").join(known, F.col("l.doc_id").eqNullSafe(F.col("k.doc_id")), "left")
+        met = TI.write_table(met.select("l.doc_id", "seq", "times", (F.col("known").isNull() | (F.col("seq") > F.col("known"))).alias("fresh")),
+                             scratch_path(self.spark, "refresh-met"))
+        n = met.agg(F.sum("times").alias("rows"), F.count_if("fresh").alias("fresh"), F.max("times").alias("times")).first()
+        own = changes
+        if n["fresh"] == 0:
+            own = changes.filter(F.lit(False))
+        elif n["fresh"] < n["rows"]:
+            pick = met.filter("fresh").select(F.col("doc_id").alias("d"), F.col("seq").alias("s"))
+            own = changes.join(pick, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("seq") == F.col("s")), "left_semi")
+            if n["times"] > 1:
+                own = TI.write_table(newest(own, "seq", "op", "text", *self.attributes), scratch_path(self.spark, "refresh-batch"))
+        (TI.doc_rows(own.filter("op = 'upsert'"), "doc_id", "text", self.attributes)
          .write.mode("overwrite").parquet(f"{self.folder}/rows/batch_id={batch_id}"))
         own.select("doc_id", "seq", "op").write.mode("overwrite").parquet(f"{self.folder}/changes/batch_id={batch_id}")
 
     def open(self) -> None:
-        """Log of bases, begun once."""
+        """Log of bases, begun once, and the folders of segments."""
+        for kind, schema in (("rows", self.row_schema), ("changes", self.change_schema)):
+            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.folder}/{kind}/batch_id={NO_BASE}")
         (self.spark.createDataFrame([(NO_BASE, "")], "upto bigint, path string")
          .write.mode("ignore").parquet(f"{self.folder}/log"))
 
@@ -73,22 +90,42 @@ class Segments:
         row = log.orderBy(F.desc("upto")).first()
         return row["upto"], row["path"]
 
-    def live(self) -> tuple[DataFrame, DataFrame]:
-        """(newest change per document, term rows of the documents that are not deleted)."""
+    def read(self, kind: str) -> DataFrame:
+        """``rows`` or ``changes`` of the base and the segments after it."""
+        schema = {"rows": self.row_schema, "changes": self.change_schema}[kind]
         upto, path = self.base()
-        rows = self.spark.read.schema(self.row_schema).parquet(f"{self.folder}/rows").filter(F.col("batch_id") > upto)
-        changes = self.spark.read.schema(self.change_schema).parquet(f"{self.folder}/changes").filter(F.col("batch_id") > upto)
-        if upto != NO_BASE:
-            rows = rows.unionByName(self.spark.read.schema(self.row_schema).parquet(f"{path}/rows"))
-            changes = changes.unionByName(self.spark.read.schema(self.change_schema).parquet(f"{path}/changes"))
-        state = newest(changes, "seq", "op", "batch_id")
+        found = self.spark.read.schema(schema).parquet(f"{self.folder}/{kind}").filter(F.col("batch_id") > upto)
+        return found if upto == NO_BASE else found.unionByName(self.spark.read.schema(schema).parquet(f"{path}/{kind}"))
+
+    def changes(self) -> DataFrame:
+        return self.read("changes")
+
+    def live_docs(self) -> tuple[DataFrame, DataFrame]:
+        """(newest change per document, rows of the documents that are not deleted). Segments of which
+        every document is live are taken as they are, those without any are not read; only rows of
+        the others meet the changes."""
+        state = TI.write_table(newest(self.changes(), "seq", "op", "batch_id"), scratch_path(self.spark, "refresh-state"))
+        written = self.changes().filter("op = 'upsert'").groupBy("batch_id").agg(F.count(F.lit(1)).alias("written"))
         own = state.filter("op = 'upsert'").select("doc_id", "batch_id")
-        return state, rows.join(own, ["doc_id", "batch_id"], "left_semi")
+        counts = written.join(own.groupBy("batch_id").agg(F.count(F.lit(1)).alias("live")), "batch_id").collect()
+        whole = [r["batch_id"] for r in counts if r["live"] == r["written"]]
+        some = [r["batch_id"] for r in counts if r["live"] < r["written"]]
+        rows = self.read("rows")
+        found = rows.filter(F.col("batch_id").isin(whole))
+        if some:
+            found = found.unionByName(rows.filter(F.col("batch_id").isin(some))
+                                      .join(own.filter(F.col("batch_id").isin(some)), ["doc_id", "batch_id"], "left_semi").select(*rows.columns))
+        return state, found
+
+    def live(self) -> tuple[DataFrame, DataFrame]:
+        """(newest change per document, term rows of the documents that are not deleted)."""
+        state, rows = self.live_docs()
+        return state, TI.term_rows(rows, *self.attributes, "batch_id")
 
     def merge(self) -> None:
         """All segments into a new base. Tombstones stay: a late change of smaller seq must not bring
         a deleted document back."""
-        state, rows = self.live()
+        state, rows = self.live_docs()
         upto = state.agg(F.max("batch_id")).first()[0]
         if upto is None or upto == self.base()[0]:
             return
@@ -101,7 +138,7 @@ class Segments:
     def index(self) -> TI.TermIndex:
         """The index of the live documents."""
         path = scratch_path(self.spark, "term-index")
-        rows = TI.write_table(self.live()[1].drop("batch_id"), f"{path}/rows")
+        rows = TI.write_table(self.live_docs()[1].drop("batch_id"), f"{path}/rows")
         return TI.from_rows(rows, self.attributes, path)
 
 
