@@ -69,8 +69,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for whole in batches:
             for batch in row_slices(whole, 1):
                 rows = []
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc, ids in zip(batch.column(0).to_pylist(), ids_of.encode(texts)):
+                for doc, ids in zip(batch.column(0).to_pylist(), ids_of.encode(batch.column(1))):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * window)):
                         some = ids[at:at + 4 * window]

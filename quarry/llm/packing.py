@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import give_back, keep, prepare, row_slices, stash
+from quarry.llm.common import chunks, give_back, keep, prepare, row_slices, stash, text_buffers
 
 WINDOW = 4096
 END_ID = 2
@@ -37,23 +37,40 @@ MAX_PIECE = 1024               # longest piece of what does not fill a window al
 GROUP_WINDOWS = 256            # windows' worth of tokens that one task packs
 CACHE_WORDS = 500_000          # words whose ids a worker remembers in each of two generations
 BATCH_WORDS = 20_000           # unknown words encoded at a time
-BATCH_CHARS = 1 << 19          # characters of texts whose words are looked up together
+BATCH_BYTES = 1 << 20          # bytes of texts whose words are looked up together
 
 PIECE_SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, uid bigint")
 
 
+def letters_and_marks() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lookup tables of bytes: ASCII letters; ASCII punctuation that a word may be cut
+    before; the same without the apostrophe, for cuts after it. The signs of special
+    tokens are no punctuation here."""
+    letter, before = np.zeros(256, bool), np.zeros(256, bool)
+    letter[[*range(65, 91), *range(97, 123)]] = True
+    before[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+    before[list(b"<|>")] = False
+    after = before.copy()
+    after[ord("'")] = False
+    return letter, before, after
+
+
 class Encoder:
     """Ids of whole texts, one tokenizer call per distinct word.
 
-    The tokenizer's pre-tokenizer never joins characters across white space and
-    its normaliser works within a word, so the ids of a text are those of its
-    space-separated words in order; a word is encoded once and remembered. A
-    word of plain Latin letters, perhaps with closing punctuation, is one
-    letter run and one punctuation run to the pre-tokenizer: its letters go, in
-    lower case, straight to the merges, many words a call (the mark that ends a
-    word tells their ids apart)."""
+    The tokenizer's pre-tokenizer never joins characters across white space, nor letters
+    and punctuation, and its normaliser works within a word, so the ids of a text are
+    those of its words in order; a word is encoded once and remembered. A word begins
+    with the space before it, at punctuation after a letter, or at a letter after
+    punctuation (but an apostrophe, which takes letters along, and the signs of special
+    tokens). Its first letter goes in lower case if white space stands before it and
+    ASCII behind it, where no mark can join it. Arrow finds the distinct words of a block
+    and gathers their ids. A word of plain Latin letters is one letter run to the
+    pre-tokenizer: it goes, in lower case, straight to the merges, many words a call (the
+    mark that ends a word tells their ids apart)."""
 
-    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+)([.,;:!?%&$#*)]*)")
+    PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u024f]+")
+    LETTER, BEFORE, AFTER = letters_and_marks()
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.cache_words = cache_words
@@ -67,78 +84,71 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
-        self.old_known: dict[str, bytes] = {}
-        self.old_stems: dict[str, bytes] = {}
-
-    def make_room(self, more: int) -> None:
-        """A full generation becomes the old one; its words come back when met again, and
-        those met no more go with the next."""
-        if len(self.known) + more > self.cache_words:
-            self.old_known, self.known = self.known, {"": b""}
-        if len(self.stems) + more > self.cache_words:
-            self.old_stems, self.stems = self.stems, {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        plain, other, fresh = [], [], set()
-        match, stems, known = self.PLAIN.fullmatch, self.stems, self.known
+        """Ids of words not known yet. A full generation becomes the old one; its words come
+        back when met again, and those met no more go with the next."""
+        back = self.old.keys() & words if self.old else ()
+        self.known.update([(word, self.old[word]) for word in back])
+        plain, other = [], []
         for word in words:
-            if (m := match(word)) is None:
-                other.append(word)
-                continue
-            stem, tail = m.group(1, 2)
-            stem = stem.lower()
-            plain.append((word, stem, tail))
-            if stem not in stems:
-                if (ids := self.old_stems.get(stem)) is None:
-                    fresh.add(stem)
-                else:
-                    stems[stem] = ids
-            if tail not in known:
-                self.slow([tail])
-        if fresh:
-            fresh = list(fresh)
-            ids = np.array(self.merges.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
+            if word not in back:
+                (plain if self.PLAIN.fullmatch(word) else other).append(word)
+        if plain:
+            ids = self.merges.encode_batch_fast([" ".join(plain).lower()], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
             marks = np.flatnonzero(self.closes[ids]) + 1
-            if len(marks) == len(fresh):
-                raw, lo = ids.tobytes(), 0
-                for stem, hi in zip(fresh, (marks * 4).tolist()):
-                    self.stems[stem] = raw[lo:hi]
-                    lo = hi
+            if len(marks) == len(plain):
+                raw, ends = ids.tobytes(), (marks * 4).tolist()
+                self.known.update([(word, raw[lo:hi]) for word, lo, hi in zip(plain, [0, *ends], ends)])
             else:                                           # a vocabulary without that mark
-                other += [word for word, _, _ in plain]
-                plain = []
-        known.update([(word, stems[stem] + known[tail]) for word, stem, tail in plain])
-        self.slow(other)
-
-    def slow(self, words: list[str]) -> None:
-        for lo in range(0, len(words), BATCH_WORDS):
-            some = words[lo:lo + BATCH_WORDS]
+                other += plain
+        for lo in range(0, len(other), BATCH_WORDS):
+            some = other[lo:lo + BATCH_WORDS]
             for word, enc in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.known[word] = np.array(enc.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of every text."""
-        at = 0
-        while at < len(texts):
-            size, lo = 0, at
-            while at < len(texts) and (at == lo or size < BATCH_CHARS):
-                size += len(texts[at])
-                at += 1
-            split = [t.replace("\n", " ").split(" ") for t in texts[lo:at]]
-            words = set().union(*split)
-            new = words.difference(self.known)
+    def words(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where the words of the texts between ``bounds`` begin; writes spaces for line
+        feeds, and small first letters, into ``raw``."""
+        raw[raw == 10] = 32
+        space, letter, ascii_ = raw == 32, self.LETTER[raw], raw < 128
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[:-1] = space
+        begins[bounds] = True
+        wide = np.zeros(len(raw), bool)                     # last byte of a letter from \u00c0 to \u00ff
+        wide[1:] = (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        begins[1:-1] |= (letter | wide)[:-1] & self.BEFORE[raw[1:]]
+        begins[1:-1] |= self.AFTER[raw[:-1]] & letter[1:]
+        first = letter.copy()
+        first[1:] &= space[:-1]
+        first[:-1] &= ascii_[1:]
+        raw[first] |= 32
+        return np.flatnonzero(begins)
+
+    def encode(self, texts: pa.Array | list[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of every text (null: none)."""
+        data, offsets = text_buffers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        for lo, hi in chunks(offsets, BATCH_BYTES):
+            bounds = offsets[lo:hi + 1] - offsets[lo]
+            raw = data[offsets[lo]:offsets[hi]].copy()
+            begins = self.words(raw, bounds)
+            block = pa.LargeStringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(raw))
+            block = block.dictionary_encode()
+            words = block.dictionary.to_numpy(zero_copy_only=False).tolist()
+            new = [word for word in words if word not in self.known]
             if len(self.known) + len(new) > self.cache_words:
-                self.make_room(len(new))
-                new = words.difference(self.known)
-            if self.old_known:
-                back = new.intersection(self.old_known)
-                self.known.update([(word, self.old_known[word]) for word in back])
-                new -= back
-            self.learn(list(new))
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+                self.old, self.known = self.known, {}
+                new = words
+            self.learn(new)
+            ids = pa.array(map(self.known.__getitem__, words), pa.large_binary(), size=len(words)).take(block.indices)
+            _, ends, joined = ids.buffers()
+            ends = np.frombuffer(ends, np.int64)[np.searchsorted(begins, bounds)].tolist()
+            joined = memoryview(joined) if joined is not None else b""
+            for a, b in zip(ends, ends[1:]):
+                yield bytes(joined[a:b])
 
 
 @cache
@@ -177,8 +187,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for whole in batches:
             for batch in row_slices(whole, 1):
                 rows = []
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc, ids in zip(batch.column(0).to_pylist(), ids_of.encode(texts)):
+                for doc, ids in zip(batch.column(0).to_pylist(), ids_of.encode(batch.column(1))):
                     ids += end
                     total = len(ids) // 4
                     for start, length in cut(total, window, max_piece):

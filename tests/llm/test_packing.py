@@ -100,3 +100,36 @@ def test_differencing_loads_add_up():
         sizes, k = rng.integers(1, 50, rng.integers(1, 40)), int(rng.integers(1, 12))
         where, loads = packing.difference(sizes, k)
         assert (np.bincount(where, sizes, k).astype(int) == loads).all() and len(loads) == k
+
+
+def encodes(texts, ids):
+    from tokenizers import Tokenizer
+    want = Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)
+    return [np.frombuffer(b, "<u4").tolist() for b in ids] == [e.ids for e in want]
+
+
+def test_a_word_is_learnt_once_whatever_its_first_case_and_marks():
+    stems = ["".join(chr(97 + (i * k) % 26) for k in (1, 3, 5, 7)) + "en\u00e9" * (i % 2) for i in range(200)]
+    texts = [" ".join(w + tail for w in stems for tail in ("", ",", ".", "!?", ";", ")", ":")),
+             "\n".join(("(" if i % 3 else "") + w.title() for i, w in enumerate(stems))]
+    enc = packing.Encoder(PATH)
+    assert encodes(texts, enc.encode(texts))
+    assert len(enc.known) < 2.5 * len(set(stems))
+
+
+def test_cut_words_keep_the_ids_of_marks_apostrophes_and_special_tokens():
+    parts = ["T", "J", "\u030c", "\u0331", "\u0338", "\u0130", "\u00c9", "\u00e9", "\u00d7", "\u00f7", "\u03a3", "\u212a",
+             "'", "'s", "'LL", "s", "t", ",", ".", "-", "_", "(", "\"", "\u201d", "\u2026", "=", "<", "|", ">", "7", " ", "\n", "\t",
+             "\u00a0", "\x0b", "\x1c", "<|endoftext|>", "<|ENDOFTEXT|>", " The", "\ud55c", "\u1112"]
+    rng = np.random.default_rng(8)
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(0, 12, 8000)]
+    for c in range(0xA0, 0x500):
+        texts.append(f" T{chr(c)}x \u00c9{chr(c)}. a,{chr(c)} ({chr(c)}a \u00c9,{chr(c)}\n{chr(c)}J{chr(c)}'s {chr(c)}, {chr(c)}T -{chr(c)}- I{chr(c)}")
+    assert encodes(texts, packing.Encoder(PATH).encode(texts))
+
+
+def test_texts_without_words_between_others():
+    enc = packing.Encoder(PATH)
+    for texts in ([""], ["", ""], ["a", "", "", "b"], [" ", "\n", ""], [""] * 3 + ["A"]):
+        assert encodes(texts, enc.encode(texts))
+    assert list(enc.encode([None, "a", None])) == [b"", *enc.encode(["a"]), b""]
